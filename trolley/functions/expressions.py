@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-# Digits kept for reported doubles, and for ranking on sums whose addition order varies.
-REPORT_DIGITS = 6
-RANK_DIGITS = 10
+# Reported doubles and ranking keys are snapped to a binary grid (2^-30 and 2^-34). Model weights are
+# often short decimals (0.9^a * 0.7^b / 2), so a decimal rounding digit would sit exactly on a half
+# and two engines that add in a different order would round to different sides; a binary grid point
+# is never such a value, and x * 2^n is exact.
+REPORT_SCALE = float(2 ** 30)
+RANK_SCALE = float(2 ** 34)
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def report(c: str | Column, digits: int = REPORT_DIGITS) -> Column:
-    """Round a reported double so that engines that add in a different order agree."""
-    return F.round(col(c), digits)
+def report(c: str | Column, scale: float = REPORT_SCALE) -> Column:
+    """Snap a reported double to the 2^-30 grid so that engines that add in another order agree."""
+    return F.round(col(c) * F.lit(scale)) / F.lit(scale)
 
 
 def rank_key(c: str | Column) -> Column:
-    """Sort key for scores that are sums of floats: equal up to 1e-10 counts as a tie."""
-    return F.round(col(c), RANK_DIGITS)
+    """Sort key for scores that are sums of floats: equal up to 2^-34 counts as a tie."""
+    return F.round(col(c) * F.lit(RANK_SCALE)) / F.lit(RANK_SCALE)
 
 
 def cosine(dot: str | Column, nsq_a: str | Column, nsq_b: str | Column) -> Column:

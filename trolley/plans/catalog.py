@@ -191,3 +191,111 @@ def q_rel_top_aisles_named(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholder until the recommendation plan lands: top aisles per nation cohort."""
     return CATALOG["rel_top_aisles"].build(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------------- embeddings
+
+from trolley.functions.expressions import report  # noqa: E402
+from trolley.operators import embeddings as EM  # noqa: E402
+from trolley.schema import DEFAULT_PARAMS, PRESETS  # noqa: E402
+
+_P = DEFAULT_PARAMS
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, report(c))
+    return df
+
+
+@register("emb_baskets", S.with_ctes("""
+SELECT user_id, basket_id, CAST(COUNT(*) AS BIGINT) AS num_items,
+       string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS items
+FROM (SELECT DISTINCT user_id, order_id AS basket_id, product_id AS item_id FROM ln) b
+GROUP BY user_id, basket_id"""))
+def q_emb_baskets(spark, d):
+    b = EM.baskets(load_purchases(spark, d))
+    return b.select("user_id", "basket_id", F.size("items").cast("long").alias("num_items"),
+                    F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
+
+
+@register("emb_interactions", S.with_ctes("SELECT * FROM inter", S.interactions_cte()))
+def q_emb_interactions(spark, d):
+    return EM.interactions(load_purchases(spark, d))
+
+
+@register("emb_groups", S.with_ctes(f"""
+SELECT user_id, basket_id, position, grp FROM oemb_grp""",
+    S.ordered_embeddings_cte(_P.group_size, _P.r_basket, _P.r_group)))
+def q_emb_groups(spark, d):
+    bi = EM.basket_items(load_purchases(spark, d), with_time=True)
+    return EM.basket_groups(EM.basket_positions(bi, ["order_ts", "basket_id"]), _P.group_size)
+
+
+@register("emb_group_vectors", S.with_ctes("""
+SELECT user_id, grp, item_id, (round((weight) * 1073741824.0) / 1073741824.0) AS weight FROM oemb_gv""",
+    S.ordered_embeddings_cte(_P.group_size, _P.r_basket, _P.r_group)))
+def q_emb_group_vectors(spark, d):
+    bi = EM.basket_items(load_purchases(spark, d), with_time=True)
+    groups = EM.basket_groups(EM.basket_positions(bi, ["order_ts", "basket_id"]), _P.group_size)
+    return _rounded(EM.group_vectors(bi, groups, _P), "weight")
+
+
+@register("emb_user_vectors", S.with_ctes("""
+SELECT user_id, item_id, (round((weight) * 1073741824.0) / 1073741824.0) AS weight FROM oemb""",
+    S.ordered_embeddings_cte(_P.group_size, _P.r_basket, _P.r_group)))
+def q_emb_user_vectors(spark, d):
+    bi = EM.basket_items(load_purchases(spark, d), with_time=True)
+    groups = EM.basket_groups(EM.basket_positions(bi, ["order_ts", "basket_id"]), _P.group_size)
+    return _rounded(EM.user_vectors(EM.group_vectors(bi, groups, _P), _P), "weight")
+
+
+@register("emb_model", S.with_ctes("SELECT user_id, item_id, (round((weight) * 1073741824.0) / 1073741824.0) AS weight FROM emb",
+                                   S.embeddings_cte()))
+def q_emb_model(spark, d):
+    return _rounded(EM.embeddings(load_purchases(spark, d)), "weight")
+
+
+@register("emb_model_ordered", S.with_ctes(
+    "SELECT user_id, item_id, (round((weight) * 1073741824.0) / 1073741824.0) AS weight FROM oemb",
+    S.ordered_embeddings_cte(_P.group_size, _P.r_basket, _P.r_group)))
+def q_emb_model_ordered(spark, d):
+    return _rounded(EM.embeddings(load_purchases(spark, d), ordered=True), "weight")
+
+
+@register("emb_presets", S.with_ctes(
+    "\nUNION ALL\n".join(
+        f"SELECT '{n}' AS preset, user_id, item_id, (round((weight) * 1073741824.0) / 1073741824.0) AS weight FROM o_{n}" for n in PRESETS),
+    *[S.ordered_embeddings_cte(p.group_size, p.r_basket, p.r_group, name=f"o_{n}") for n, p in PRESETS.items()]))
+def q_emb_presets(spark, d):
+    return _rounded(EM.preset_sweep(load_purchases(spark, d), ordered=True), "weight")
+
+
+@register("emb_discretised")
+def q_emb_discretised(spark, d):
+    return EM.discretise(EM.embeddings(load_purchases(spark, d)))
+
+
+@register("vec_combine", S.with_ctes("""
+SELECT user_id, item_id, (round((SUM(w)) * 1073741824.0) / 1073741824.0) AS weight FROM (
+  SELECT user_id, item_id, 0.5 * weight AS w FROM emb
+  UNION ALL SELECT user_id, item_id, 0.5 * weight AS w FROM oemb) t
+GROUP BY user_id, item_id HAVING SUM(w) <> 0""",
+    S.embeddings_cte(), S.ordered_embeddings_cte(_P.group_size, _P.r_basket, _P.r_group)))
+def q_vec_combine(spark, d):
+    p = load_purchases(spark, d)
+    mixed = EM.linear_combine([(0.5, EM.embeddings(p)), (0.5, EM.embeddings(p, ordered=True))])
+    return _rounded(mixed, "weight")
+
+
+@register("vec_render")
+def q_vec_render(spark, d):
+    return EM.render_vectors(EM.embeddings(load_purchases(spark, d)))
+
+
+@register("emb_lookup", S.with_ctes("""
+SELECT user_id, item_id, (round((weight) * 1073741824.0) / 1073741824.0) AS weight FROM emb WHERE user_id IN (SELECT user_id FROM coh)""",
+    NATION_COHORTS_CTE, S.embeddings_cte()))
+def q_emb_lookup(spark, d):
+    e = EM.embeddings(load_purchases(spark, d))
+    return _rounded(EM.embeddings_of(e, nation_cohorts(spark, d)), "weight")

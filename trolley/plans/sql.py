@@ -20,6 +20,16 @@ pr AS (SELECT p_partkey AS product_id, p_name AS product_name,
 ln AS (SELECT op.order_id, po.user_id, op.product_id FROM op JOIN po ON op.order_id = po.order_id)"""
 
 
+def q(expr: str) -> str:
+    """Same binary-grid snapping as ``functions.expressions.report``."""
+    return f"(round(({expr}) * 1073741824.0) / 1073741824.0)"
+
+
+def rk(expr: str) -> str:
+    """Same ranking key as ``functions.expressions.rank_key``."""
+    return f"(round(({expr}) * 17179869184.0) / 17179869184.0)"
+
+
 def with_ctes(body: str, *extra: str) -> str:
     ctes = [PURCHASE_CTES.strip()] + [e.strip() for e in extra if e]
     return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
@@ -85,5 +95,27 @@ def recommendations_cte(nbr: str = "nbr", emb: str = "emb", alpha: float = 0.1,
 {name}_score AS (SELECT user_id, item_id, SUM(s) AS score FROM {name}_parts GROUP BY user_id, item_id),
 {name} AS (SELECT user_id, item_id, score, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY user_id
-                                    ORDER BY round(score, 10) DESC, item_id) AS BIGINT) AS rank
+                                    ORDER BY {rk('score')} DESC, item_id) AS BIGINT) AS rank
   FROM {name}_score WHERE score > 0) WHERE rank <= {n})"""
+
+
+def ordered_embeddings_cte(group_size: int, r_basket: float, r_group: float, name: str = "oemb",
+                           lines: str = "ln") -> str:
+    """E3 -> E5 -> E6 with positions by (order time, basket id)."""
+    g = int(group_size)
+    return f"""
+{name}_bi AS (SELECT DISTINCT user_id, order_id AS basket_id, product_id AS item_id FROM {lines}),
+{name}_bk AS (SELECT DISTINCT b.user_id, b.basket_id, po.order_ts FROM {name}_bi b JOIN po ON po.order_id = b.basket_id),
+{name}_pos AS (SELECT user_id, basket_id,
+                      row_number() OVER (PARTITION BY user_id ORDER BY order_ts, basket_id) AS position FROM {name}_bk),
+{name}_grp AS (SELECT user_id, basket_id, position, CAST(ceil(position / {g}.0) AS BIGINT) AS grp FROM {name}_pos),
+{name}_sz AS (SELECT user_id, grp, COUNT(*) AS s FROM {name}_grp GROUP BY user_id, grp),
+{name}_con AS (SELECT g.user_id, g.basket_id, g.grp,
+                      pow({r_basket}, {g} - (((g.position - 1) % {g}) + 1 + ({g} - z.s))) / z.s AS contribution
+               FROM {name}_grp g JOIN {name}_sz z ON z.user_id = g.user_id AND z.grp = g.grp),
+{name}_gv AS (SELECT b.user_id, c.grp, b.item_id, SUM(c.contribution) AS weight
+              FROM {name}_bi b JOIN {name}_con c ON c.user_id = b.user_id AND c.basket_id = b.basket_id
+              GROUP BY b.user_id, c.grp, b.item_id),
+{name}_m AS (SELECT user_id, MAX(grp) AS m FROM {name}_gv GROUP BY user_id),
+{name} AS (SELECT v.user_id, v.item_id, SUM(pow({r_group}, m.m - v.grp) / m.m * v.weight) AS weight
+           FROM {name}_gv v JOIN {name}_m m ON m.user_id = v.user_id GROUP BY v.user_id, v.item_id)"""

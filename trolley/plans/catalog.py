@@ -299,3 +299,67 @@ SELECT user_id, item_id, (round((weight) * 1073741824.0) / 1073741824.0) AS weig
 def q_emb_lookup(spark, d):
     e = EM.embeddings(load_purchases(spark, d))
     return _rounded(EM.embeddings_of(e, nation_cohorts(spark, d)), "weight")
+
+
+# ---------------------------------------------------------------------------------- similarity
+
+from trolley.operators import similarity as K  # noqa: E402
+from trolley.plans.state import blocks_for, build_state  # noqa: E402
+
+
+def _neighbors(spark, d, k=50):
+    p = load_purchases(spark, d)
+    return K.build_neighbors(EM.interactions(p), k, num_blocks=blocks_for(p))
+
+
+@register("sim_norms", S.with_ctes("""
+SELECT user_id, SUM(value * value) AS nsq, sqrt(SUM(value * value)) AS norm FROM inter GROUP BY user_id""",
+                                   S.interactions_cte()))
+def q_sim_norms(spark, d):
+    return K.norms(EM.interactions(load_purchases(spark, d)))
+
+
+@register("sim_dots", S.with_ctes("""
+SELECT a.user_id, SUM(a.value * b.value) AS dot_total
+FROM inter a JOIN inter b ON a.item_id = b.item_id AND a.user_id <> b.user_id
+GROUP BY a.user_id
+UNION ALL
+SELECT user_id, 0.0 AS dot_total FROM inter GROUP BY user_id
+HAVING user_id NOT IN (SELECT a.user_id FROM inter a JOIN inter b ON a.item_id = b.item_id AND a.user_id <> b.user_id)""",
+                                  S.interactions_cte()))
+def q_sim_dots(spark, d):
+    return K.pair_dot_totals(EM.interactions(load_purchases(spark, d)))
+
+
+@register("sim_pairs", S.with_ctes("""
+SELECT n.user_id, n.neighbor_id, d.dot, d.dot / (sqrt(a.nsq) * sqrt(b.nsq)) AS similarity
+FROM nbr n JOIN nbr_dot d ON d.user_id = n.user_id AND d.neighbor_id = n.neighbor_id
+           JOIN nbr_nsq a ON a.user_id = n.user_id JOIN nbr_nsq b ON b.user_id = n.neighbor_id""",
+                                   S.interactions_cte(), S.neighbors_cte(50)))
+def q_sim_pairs(spark, d):
+    p = load_purchases(spark, d)
+    I = EM.interactions(p)
+    return K.pair_similarities(I, K.build_neighbors(I, 50, num_blocks=blocks_for(p)))
+
+
+@register("sim_topk", S.with_ctes("SELECT * FROM nbr", S.interactions_cte(), S.neighbors_cte(10)))
+def q_sim_topk(spark, d):
+    return _neighbors(spark, d, 10)
+
+
+@register("sim_index", S.with_ctes("SELECT * FROM nbr", S.interactions_cte(), S.neighbors_cte(50)))
+def q_sim_index(spark, d):
+    return _neighbors(spark, d, 50)
+
+
+@register("sim_out", S.with_ctes("SELECT * FROM nbr WHERE user_id IN (SELECT user_id FROM coh)",
+                                 NATION_COHORTS_CTE, S.interactions_cte(), S.neighbors_cte(50)))
+def q_sim_out(spark, d):
+    return K.neighbors_of(_neighbors(spark, d), nation_cohorts(spark, d))
+
+
+@register("sim_in", S.with_ctes("""
+SELECT neighbor_id AS user_id, user_id AS in_neighbor_id, similarity FROM nbr
+WHERE neighbor_id IN (SELECT user_id FROM coh)""", NATION_COHORTS_CTE, S.interactions_cte(), S.neighbors_cte(50)))
+def q_sim_in(spark, d):
+    return K.in_neighbors_of(_neighbors(spark, d), nation_cohorts(spark, d))

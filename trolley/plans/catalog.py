@@ -135,17 +135,21 @@ def q_rel_sensitive(spark, d):
     return R.sensitive_users(load_purchases(spark, d), "obesity", users=nation_cohorts(spark, d))
 
 
-TOP_AISLES_BODY = """
-SELECT cohort_id, aisle_id, normalized_count, rank FROM (
-  SELECT cohort_id, aisle_id, normalized_count,
-         CAST(row_number() OVER (PARTITION BY cohort_id ORDER BY normalized_count DESC, aisle_id) AS BIGINT) AS rank
-  FROM (SELECT coh.cohort_id, pr.aisle_id,
-               CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER (PARTITION BY coh.cohort_id) AS DOUBLE)
+def top_aisles_sql(cohorts: str = "coh", key: str = "cohort_id", n: int = 10) -> str:
+    return f"""
+SELECT {key}, aisle_id, normalized_count, rank FROM (
+  SELECT {key}, aisle_id, normalized_count,
+         CAST(row_number() OVER (PARTITION BY {key} ORDER BY normalized_count DESC, aisle_id) AS BIGINT) AS rank
+  FROM (SELECT c.{key}, pr.aisle_id,
+               CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER (PARTITION BY c.{key}) AS DOUBLE)
                  AS normalized_count
         FROM ln JOIN pr ON pr.product_id = ln.product_id
-                JOIN (SELECT DISTINCT cohort_id, user_id FROM coh) coh ON coh.user_id = ln.user_id
-        GROUP BY coh.cohort_id, pr.aisle_id) s) r
-WHERE rank <= 10"""
+                JOIN (SELECT DISTINCT {key}, user_id FROM {cohorts}) c ON c.user_id = ln.user_id
+        GROUP BY c.{key}, pr.aisle_id) s) r
+WHERE rank <= {n}"""
+
+
+TOP_AISLES_BODY = top_aisles_sql()
 
 
 @register("rel_top_aisles", S.with_ctes(TOP_AISLES_BODY, NATION_COHORTS_CTE))
@@ -189,8 +193,8 @@ def q_rel_top_aisles_named(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the recommendation plan lands: top aisles per nation cohort."""
-    return CATALOG["rel_top_aisles"].build(spark, sf_dir)
+    """Next-basket recommendations (top 20 items) for every user."""
+    return CATALOG["rec_topn"].build(spark, sf_dir)
 
 
 # ---------------------------------------------------------------------------------- embeddings
@@ -363,3 +367,102 @@ SELECT neighbor_id AS user_id, user_id AS in_neighbor_id, similarity FROM nbr
 WHERE neighbor_id IN (SELECT user_id FROM coh)""", NATION_COHORTS_CTE, S.interactions_cte(), S.neighbors_cte(50)))
 def q_sim_in(spark, d):
     return K.in_neighbors_of(_neighbors(spark, d), nation_cohorts(spark, d))
+
+
+# ----------------------------------------------------------------------------- recommendation
+
+from trolley.operators import graph as G  # noqa: E402
+from trolley.operators import recommend as P  # noqa: E402
+
+MODEL_CTES = (S.interactions_cte(), S.neighbors_cte(50), S.embeddings_cte())
+
+
+def _model(spark, d):
+    p = load_purchases(spark, d)
+    st = build_state(p)
+    return p, st
+
+
+@register("rec_neighbor_scores", S.with_ctes(f"""
+SELECT x.user_id, e.item_id, {S.q('SUM((1 - 0.1) * x.similarity * e.weight)')} AS score
+FROM nbr x JOIN emb e ON e.user_id = x.neighbor_id GROUP BY x.user_id, e.item_id""", *MODEL_CTES))
+def q_rec_neighbor_scores(spark, d):
+    _, st = _model(spark, d)
+    return _rounded(P.neighbor_scores(st.neighbors, st.embeddings), "score")
+
+
+@register("rec_blend", S.with_ctes(f"SELECT user_id, item_id, {S.q('score')} AS score FROM rec_score",
+                                   *MODEL_CTES, S.recommendations_cte()))
+def q_rec_blend(spark, d):
+    _, st = _model(spark, d)
+    return _rounded(P.blended_scores(st.neighbors, st.embeddings), "score")
+
+
+@register("rec_topn", S.with_ctes(f"SELECT user_id, item_id, {S.q('score')} AS score, rank FROM rec",
+                                  *MODEL_CTES, S.recommendations_cte()))
+def q_rec_topn(spark, d):
+    _, st = _model(spark, d)
+    return _rounded(P.recommend(st.neighbors, st.embeddings), "score")
+
+
+@register("rec_sensitive", S.with_ctes(f"""
+SELECT r.user_id, COUNT(*) AS num_items,
+       SUM(CASE WHEN pr.aisle_id IN {S.aisles_in('alcohol')} THEN 1 ELSE 0 END) AS num_sensitive
+FROM rec r JOIN pr ON pr.product_id = r.item_id GROUP BY r.user_id""", *MODEL_CTES, S.recommendations_cte()))
+def q_rec_sensitive(spark, d):
+    p, st = _model(spark, d)
+    return P.sensitive_share(p, P.recommend(st.neighbors, st.embeddings), "alcohol")
+
+
+# ----------------------------------------------------------------------------------- graph views
+
+EGO_CTES = (NATION_COHORTS_CTE,) + MODEL_CTES + (
+    "egos AS (SELECT DISTINCT user_id AS ego_id FROM coh)",
+    "gv AS (SELECT ego_id, ego_id AS user_id FROM egos UNION "
+    "SELECT n.neighbor_id AS ego_id, n.user_id FROM nbr n WHERE n.neighbor_id IN (SELECT ego_id FROM egos))",
+    "ge AS (SELECT v.ego_id, n.user_id AS src, n.neighbor_id AS dst FROM gv v JOIN nbr n ON n.user_id = v.user_id "
+    "JOIN gv w ON w.ego_id = v.ego_id AND w.user_id = n.neighbor_id)",
+    "sens AS (SELECT DISTINCT ln.user_id FROM ln JOIN pr ON pr.product_id = ln.product_id "
+    f"WHERE pr.aisle_id IN {S.aisles_in('alcohol')})",
+    "gs AS (SELECT ego_id, user_id, user_id IN (SELECT user_id FROM sens) AS sensitive FROM gv)",
+)
+
+
+def _egos(spark, d):
+    p, st = _model(spark, d)
+    return G.ego_networks(p, st.neighbors, nation_cohorts(spark, d), "alcohol")
+
+
+@register("graph_vertices", S.with_ctes("SELECT ego_id, user_id FROM gv", *EGO_CTES))
+def q_graph_vertices(spark, d):
+    return _egos(spark, d)["vertices"]
+
+
+@register("graph_edges", S.with_ctes("SELECT ego_id, src, dst FROM ge", *EGO_CTES))
+def q_graph_edges(spark, d):
+    return _egos(spark, d)["edges"]
+
+
+@register("graph_sensitive", S.with_ctes("SELECT ego_id, user_id, sensitive FROM gs", *EGO_CTES))
+def q_graph_sensitive(spark, d):
+    return _egos(spark, d)["sensitive"]
+
+
+@register("graph_ego", S.with_ctes(top_aisles_sql("gv", "ego_id"), *EGO_CTES))
+def q_graph_ego(spark, d):
+    return _egos(spark, d)["top_aisles"]
+
+
+@register("graph_ego_stats", S.with_ctes("""
+SELECT ego_id, COUNT(*) AS num_users, SUM(CAST(sensitive AS BIGINT)) AS num_sensitive FROM gs GROUP BY ego_id""",
+                                         *EGO_CTES))
+def q_graph_ego_stats(spark, d):
+    return G.ego_stats(_egos(spark, d)["sensitive"])
+
+
+@register("graph_neighborhood", S.with_ctes(top_aisles_sql("nm", "ego_id"), *EGO_CTES,
+    "nm AS (SELECT user_id AS ego_id, neighbor_id AS user_id FROM nbr WHERE user_id IN (SELECT ego_id FROM egos) "
+    "UNION SELECT neighbor_id AS ego_id, user_id FROM nbr WHERE neighbor_id IN (SELECT ego_id FROM egos))"))
+def q_graph_neighborhood(spark, d):
+    p, st = _model(spark, d)
+    return G.neighborhoods(p, st.neighbors, nation_cohorts(spark, d))["top_aisles"]

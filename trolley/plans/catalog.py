@@ -135,7 +135,7 @@ def q_rel_sensitive(spark, d):
     return R.sensitive_users(load_purchases(spark, d), "obesity", users=nation_cohorts(spark, d))
 
 
-def top_aisles_sql(cohorts: str = "coh", key: str = "cohort_id", n: int = 10) -> str:
+def top_aisles_sql(cohorts: str = "coh", key: str = "cohort_id", n: int = 10, lines: str = "ln") -> str:
     return f"""
 SELECT {key}, aisle_id, normalized_count, rank FROM (
   SELECT {key}, aisle_id, normalized_count,
@@ -143,8 +143,8 @@ SELECT {key}, aisle_id, normalized_count, rank FROM (
   FROM (SELECT c.{key}, pr.aisle_id,
                CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER (PARTITION BY c.{key}) AS DOUBLE)
                  AS normalized_count
-        FROM ln JOIN pr ON pr.product_id = ln.product_id
-                JOIN (SELECT DISTINCT {key}, user_id FROM {cohorts}) c ON c.user_id = ln.user_id
+        FROM {lines} l JOIN pr ON pr.product_id = l.product_id
+                JOIN (SELECT DISTINCT {key}, user_id FROM {cohorts}) c ON c.user_id = l.user_id
         GROUP BY c.{key}, pr.aisle_id) s) r
 WHERE rank <= {n}"""
 
@@ -466,3 +466,270 @@ def q_graph_ego_stats(spark, d):
 def q_graph_neighborhood(spark, d):
     p, st = _model(spark, d)
     return G.neighborhoods(p, st.neighbors, nation_cohorts(spark, d))["top_aisles"]
+
+
+# ----------------------------------------------------------------------------------- unlearning
+
+from trolley.operators import diff as DF  # noqa: E402
+from trolley.operators import unlearn as U  # noqa: E402
+
+# Deletion set of the unlearning queries: every purchase of the most-bought product (a recall).
+RECALL_CTES = (
+    "top_item AS (SELECT product_id FROM ln GROUP BY product_id "
+    "ORDER BY COUNT(DISTINCT user_id) DESC, product_id LIMIT 1)",
+    "del AS (SELECT DISTINCT user_id, product_id AS item_id FROM ln "
+    "WHERE product_id IN (SELECT product_id FROM top_item))",
+    "ln2 AS (SELECT ln.* FROM ln WHERE NOT EXISTS "
+    "(SELECT 1 FROM del WHERE del.user_id = ln.user_id AND del.item_id = ln.product_id))",
+    "chg AS (SELECT DISTINCT user_id FROM del)",
+)
+# Deletion set of the single-entry query: the item of the most recent order line.
+LATEST_CTES = (
+    "del AS (SELECT l.user_id, l.product_id AS item_id FROM ln l JOIN po ON po.order_id = l.order_id "
+    "ORDER BY po.order_ts DESC, l.order_id DESC, l.product_id DESC LIMIT 1)",
+    "ln2 AS (SELECT ln.* FROM ln WHERE NOT EXISTS "
+    "(SELECT 1 FROM del WHERE del.user_id = ln.user_id AND del.item_id = ln.product_id))",
+)
+NEW_MODEL_CTES = (S.interactions_cte("ln2", "inter2"), S.neighbors_cte(50, "inter2", "nbr2"),
+                  S.embeddings_cte("ln2", "emb2"), S.recommendations_cte("nbr2", "emb2", name="rec2"))
+UNL_CTES = MODEL_CTES + (S.recommendations_cte(),) + RECALL_CTES + NEW_MODEL_CTES
+
+_FORGET_CACHE: dict = {}
+
+
+def forget_run(spark, d, which: str = "recall"):
+    """The state before and after forgetting the data-derived deletion set (memoised per session)."""
+    key = (id(spark), d, which)
+    if key not in _FORGET_CACHE:
+        p = load_purchases(spark, d)
+        st = build_state(p)
+        st = st.with_(interactions=st.interactions.checkpoint(), neighbors=st.neighbors.checkpoint(),
+                      embeddings=st.embeddings.checkpoint())
+        dels = U.most_bought_item_deletions(p) if which == "recall" else U.latest_line(p)
+        _FORGET_CACHE[key] = (st, U.forget(st, dels))
+    return _FORGET_CACHE[key]
+
+
+def _checkpointed(spark):
+    from trolley.session import checkpoint_root
+    checkpoint_root(spark)
+
+
+def _run(spark, d, which="recall"):
+    _checkpointed(spark)
+    return forget_run(spark, d, which)
+
+
+def _keyed_sql(old: str, new: str, keys: list[str], value: str, where: str = "") -> str:
+    on = " AND ".join(f"o.{k} = n.{k}" for k in keys)
+    sel = ", ".join(f"COALESCE(o.{k}, n.{k}) AS {k}" for k in keys)
+    return f"""
+SELECT * FROM (
+  SELECT {sel},
+         COALESCE({S.q('n.' + value)}, 0.0) - COALESCE({S.q('o.' + value)}, 0.0) AS delta,
+         CASE WHEN o.{keys[0]} IS NULL THEN 'Insert' WHEN n.{keys[0]} IS NULL THEN 'Delete' ELSE 'Update' END
+           AS change
+  FROM (SELECT * FROM {old} {where}) o FULL OUTER JOIN (SELECT * FROM {new} {where}) n ON {on}) t
+WHERE delta <> 0"""
+
+
+@register("del_apply", S.with_ctes("SELECT order_id, product_id FROM ln2", *RECALL_CTES))
+def q_del_apply(spark, d):
+    st, res = _run(spark, d)
+    return res.state.purchases.order_products
+
+
+@register("unl_vanished", S.with_ctes("""
+SELECT user_id, item_id FROM inter EXCEPT SELECT user_id, item_id FROM inter2""",
+                                      S.interactions_cte(), *RECALL_CTES, S.interactions_cte("ln2", "inter2")))
+def q_unl_vanished(spark, d):
+    st, res = _run(spark, d)
+    return U.vanished(st.interactions, res.state.interactions)
+
+
+@register("unl_embeddings", S.with_ctes(f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM emb2",
+                                        *RECALL_CTES, S.embeddings_cte("ln2", "emb2")))
+def q_unl_embeddings(spark, d):
+    st, res = _run(spark, d)
+    return _rounded(res.state.embeddings, "weight")
+
+
+@register("unl_norms", S.with_ctes("""
+SELECT user_id, SUM(value * value) AS nsq, sqrt(SUM(value * value)) AS norm FROM inter2
+WHERE user_id IN (SELECT user_id FROM chg) GROUP BY user_id""", *RECALL_CTES, S.interactions_cte("ln2", "inter2")))
+def q_unl_norms(spark, d):
+    st, res = _run(spark, d)
+    return U.updated_norms(res.state.interactions, res.changed)
+
+
+AFFECTED_CTE = ("aff AS (SELECT DISTINCT user_id FROM inter WHERE item_id IN "
+                "(SELECT item_id FROM inter WHERE user_id IN (SELECT user_id FROM chg)) "
+                "AND user_id NOT IN (SELECT user_id FROM chg))")
+
+
+@register("unl_affected", S.with_ctes("SELECT user_id FROM aff", *UNL_CTES, AFFECTED_CTE))
+def q_unl_affected(spark, d):
+    st, res = _run(spark, d)
+    return res.maintenance.affected
+
+
+@register("unl_classify", S.with_ctes("""
+SELECT a.user_id, COALESCE(x.n, 0) > 0 AS changed FROM aff a LEFT JOIN (
+  SELECT user_id, COUNT(*) AS n FROM (
+    (SELECT user_id, neighbor_id, similarity, rank FROM nbr EXCEPT SELECT user_id, neighbor_id, similarity, rank FROM nbr2)
+    UNION ALL
+    (SELECT user_id, neighbor_id, similarity, rank FROM nbr2 EXCEPT SELECT user_id, neighbor_id, similarity, rank FROM nbr)
+  ) d GROUP BY user_id) x ON x.user_id = a.user_id""", *UNL_CTES, AFFECTED_CTE))
+def q_unl_classify(spark, d):
+    st, res = _run(spark, d)
+    cols = ["user_id", "neighbor_id", "similarity", "rank"]
+    old = st.neighbors.select(*cols)
+    new = res.state.neighbors.select(*cols)
+    sym = old.exceptAll(new).unionByName(new.exceptAll(old)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return (res.maintenance.affected.join(sym, "user_id", "left")
+            .select("user_id", (F.coalesce("n", F.lit(0)) > 0).alias("changed")))
+
+
+@register("unl_recompute", S.with_ctes("""
+SELECT * FROM nbr2 WHERE user_id IN (SELECT user_id FROM aff UNION SELECT user_id FROM chg)""",
+                                       *UNL_CTES, AFFECTED_CTE))
+def q_unl_recompute(spark, d):
+    st, res = _run(spark, d)
+    touched = res.maintenance.affected.unionByName(res.changed)
+    return res.state.neighbors.join(touched, "user_id", "left_semi")
+
+
+@register("unl_forget_one", S.with_ctes("SELECT * FROM nbr2", *LATEST_CTES,
+                                        S.interactions_cte("ln2", "inter2"), S.neighbors_cte(50, "inter2", "nbr2")))
+def q_unl_forget_one(spark, d):
+    st, res = _run(spark, d, "latest")
+    return res.state.neighbors
+
+
+@register("unl_forget_many", S.with_ctes("SELECT * FROM nbr2", *UNL_CTES))
+def q_unl_forget_many(spark, d):
+    st, res = _run(spark, d)
+    return res.state.neighbors
+
+
+@register("unl_forget", S.with_ctes(f"SELECT user_id, item_id, {S.q('score')} AS score, rank FROM rec2", *UNL_CTES))
+def q_unl_forget(spark, d):
+    st, res = _run(spark, d)
+    new = res.state
+    return _rounded(P.recommend(new.neighbors, new.embeddings), "score")
+
+
+@register("unl_counters")
+def q_unl_counters(spark, d):
+    st, res = _run(spark, d)
+    return U.counters(res.maintenance.labels)
+
+
+def _rec_diff(st, res):
+    c = res.changed
+    old = P.recommend(st.neighbors, st.embeddings, users=c)
+    new = P.recommend(res.state.neighbors, res.state.embeddings, users=c)
+    return DF.keyed_diff(old, new, ["user_id", "item_id"], "score")
+
+
+REC_DIFF_SQL = _keyed_sql("rec", "rec2", ["user_id", "item_id"], "score",
+                          "WHERE user_id IN (SELECT user_id FROM chg)")
+
+
+@register("diff_recs", S.with_ctes(f"SELECT user_id, item_id, delta, change FROM ({REC_DIFF_SQL}) r", *UNL_CTES))
+def q_diff_recs(spark, d):
+    st, res = _run(spark, d)
+    return _rec_diff(st, res).select("user_id", "item_id", "delta", "change")
+
+
+@register("diff_embedding", S.with_ctes(f"""
+SELECT o.user_id, o.item_id, COALESCE({S.q('n.weight')}, 0.0) - {S.q('o.weight')} AS delta
+FROM emb o LEFT JOIN emb2 n ON n.user_id = o.user_id AND n.item_id = o.item_id
+WHERE o.user_id IN (SELECT user_id FROM chg)
+  AND COALESCE({S.q('n.weight')}, 0.0) - {S.q('o.weight')} <> 0""", *UNL_CTES))
+def q_diff_embedding(spark, d):
+    st, res = _run(spark, d)
+    return DF.embedding_diff(st.embeddings, res.state.embeddings, res.changed)
+
+
+OUT_DIFF_SQL = _keyed_sql("nbr", "nbr2", ["user_id", "neighbor_id"], "similarity",
+                          "WHERE user_id IN (SELECT user_id FROM chg)")
+
+
+@register("diff_out", S.with_ctes(f"SELECT user_id, neighbor_id, delta, change FROM ({OUT_DIFF_SQL}) t", *UNL_CTES))
+def q_diff_out(spark, d):
+    st, res = _run(spark, d)
+    old = K.neighbors_of(st.neighbors, res.changed)
+    new = K.neighbors_of(res.state.neighbors, res.changed)
+    return DF.keyed_diff(old, new, ["user_id", "neighbor_id"], "similarity") \
+        .select("user_id", "neighbor_id", "delta", "change")
+
+
+IN_DIFF_SQL = _keyed_sql(
+    "(SELECT neighbor_id AS user_id, user_id AS in_neighbor_id, similarity FROM nbr)",
+    "(SELECT neighbor_id AS user_id, user_id AS in_neighbor_id, similarity FROM nbr2)",
+    ["user_id", "in_neighbor_id"], "similarity", "WHERE user_id IN (SELECT user_id FROM chg)")
+
+
+@register("diff_in", S.with_ctes(f"SELECT user_id, in_neighbor_id, delta, change FROM ({IN_DIFF_SQL}) t",
+                                 *UNL_CTES))
+def q_diff_in(spark, d):
+    st, res = _run(spark, d)
+    old = K.in_neighbors_of(st.neighbors, res.changed)
+    new = K.in_neighbors_of(res.state.neighbors, res.changed)
+    return DF.keyed_diff(old, new, ["user_id", "in_neighbor_id"], "similarity") \
+        .select("user_id", "in_neighbor_id", "delta", "change")
+
+
+NBH_CTES = (
+    "nm1 AS (SELECT user_id AS ego_id, neighbor_id AS user_id FROM nbr WHERE user_id IN (SELECT user_id FROM chg) "
+    "UNION SELECT neighbor_id AS ego_id, user_id FROM nbr WHERE neighbor_id IN (SELECT user_id FROM chg))",
+    "nm2 AS (SELECT user_id AS ego_id, neighbor_id AS user_id FROM nbr2 WHERE user_id IN (SELECT user_id FROM chg) "
+    "UNION SELECT neighbor_id AS ego_id, user_id FROM nbr2 WHERE neighbor_id IN (SELECT user_id FROM chg))",
+    "ta1 AS (" + top_aisles_sql("nm1", "ego_id") + ")",
+    "ta2 AS (" + top_aisles_sql("nm2", "ego_id", lines="ln2") + ")",
+)
+
+
+@register("diff_aisles", S.with_ctes(
+    "SELECT ego_id, aisle_id, delta, change FROM ("
+    + _keyed_sql("ta1", "ta2", ["ego_id", "aisle_id"], "normalized_count") + ") t", *UNL_CTES, *NBH_CTES))
+def q_diff_aisles(spark, d):
+    st, res = _run(spark, d)
+    old = G.neighborhoods(st.purchases, st.neighbors, res.changed)["top_aisles"]
+    new = G.neighborhoods(res.state.purchases, res.state.neighbors, res.changed)["top_aisles"]
+    return DF.keyed_diff(old, new, ["ego_id", "aisle_id"], "normalized_count") \
+        .select("ego_id", "aisle_id", "delta", "change")
+
+
+@register("diff_counts", S.with_ctes(f"""
+SELECT user_id, SUM(CASE WHEN change = 'Delete' THEN 1 ELSE 0 END)::BIGINT AS num_delete,
+       SUM(CASE WHEN change = 'Update' THEN 1 ELSE 0 END)::BIGINT AS num_update,
+       SUM(CASE WHEN change = 'Insert' THEN 1 ELSE 0 END)::BIGINT AS num_insert
+FROM ({OUT_DIFF_SQL}) t GROUP BY user_id""", *UNL_CTES))
+def q_diff_counts(spark, d):
+    return DF.change_counts(q_diff_out(spark, d))
+
+
+@register("diff_report", S.with_ctes(f"""
+SELECT r.user_id, r.item_id, r.delta, r.change, pr.aisle_id,
+       COALESCE(pr.aisle_id IN {S.aisles_in('alcohol')}, FALSE) AS sensitive, pr.product_name,
+       CASE WHEN r.delta > 0 THEN 'up' ELSE 'down' END AS direction
+FROM ({REC_DIFF_SQL}) r LEFT JOIN pr ON pr.product_id = r.item_id""", *UNL_CTES))
+def q_diff_report(spark, d):
+    st, res = _run(spark, d)
+    diff = _rec_diff(st, res).select("user_id", "item_id", "delta", "change")
+    return DF.change_report(res.state.purchases, diff, "alcohol")
+
+
+@register("unl_impact")
+def q_unl_impact(spark, d):
+    st, res = _run(spark, d)
+    c = res.changed
+    diffs = {
+        "embedding": DF.embedding_diff(st.embeddings, res.state.embeddings, c),
+        "recommendation": _rec_diff(st, res),
+        "adjacent": DF.keyed_diff(K.neighbors_of(st.neighbors, c), K.neighbors_of(res.state.neighbors, c),
+                                  ["user_id", "neighbor_id"], "similarity"),
+    }
+    return U.impact_summary(res, None, None, diffs)

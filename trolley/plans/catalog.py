@@ -733,3 +733,80 @@ def q_unl_impact(spark, d):
                                   ["user_id", "neighbor_id"], "similarity"),
     }
     return U.impact_summary(res, None, None, diffs)
+
+
+# ------------------------------------------------------------------------------------- streaming
+
+from trolley.sources.store import read_version  # noqa: E402
+from trolley.streaming import changes as CH  # noqa: E402
+from trolley.streaming import maintain as MT  # noqa: E402
+from trolley.streaming import requests as RQ  # noqa: E402
+
+
+def _recall_lines(p):
+    """Order lines ``(order_id, user_id, product_id)`` of the recall deletion set (every line)."""
+    from trolley.sources.purchases import lines as _lines
+    dels = U.most_bought_item_deletions(p).withColumnRenamed("item_id", "product_id")
+    return _lines(p).join(dels, ["user_id", "product_id"], "left_semi")
+
+
+def _request_files(spark, d, folder):
+    p = load_purchases(spark, d)
+    RQ.to_request_json(U.most_bought_item_deletions(p)).repartition(2).write.mode("overwrite").text(folder)
+    return f"{folder}/*.txt"
+
+
+@register("stream_requests", S.with_ctes(
+    "SELECT 'PurchaseDeletion' AS kind, user_id, item_id FROM del", *RECALL_CTES))
+def q_stream_requests(spark, d):
+    root = CH.run_folder(spark, "requests")
+    glob = _request_files(spark, d, f"{root}/in")
+    parsed = RQ.parse_requests(spark.readStream.format("text").load(glob))
+    q = (parsed.writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("kind", "user_id", "item_id")
+
+
+def _change_log(spark, d):
+    from trolley.sources.purchases import lines as _lines
+    p = load_purchases(spark, d)
+    root = CH.run_folder(spark, "changes")
+    glob = CH.write_change_files([MT.line_changes(_lines(p), +1).repartition(3),
+                                  MT.line_changes(_recall_lines(p), -1).repartition(2)], f"{root}/in")
+    return p, root, glob
+
+
+@register("stream_changes", S.with_ctes("""
+SELECT order_id AS basket_id, user_id, product_id AS item_id, COUNT(*) AS mult FROM ln2
+GROUP BY order_id, user_id, product_id""", *RECALL_CTES))
+def q_stream_changes(spark, d):
+    p, root, glob = _change_log(spark, d)
+    v = CH.run_change_log(spark, glob, root, max_files=2)
+    return CH.live_lines(read_version(spark, root, "lines", v)).select(*CH.KEYS, "mult")
+
+
+@register("stream_interactions", S.with_ctes("SELECT DISTINCT user_id, product_id AS item_id FROM ln2",
+                                             *RECALL_CTES))
+def q_stream_interactions(spark, d):
+    p, root, glob = _change_log(spark, d)
+    v = CH.run_change_log(spark, glob, root, max_files=2)
+    return CH.live_interactions(read_version(spark, root, "lines", v))
+
+
+@register("stream_maintain", S.with_ctes("SELECT * FROM nbr2", *UNL_CTES))
+def q_stream_maintain(spark, d):
+    _checkpointed(spark)
+    p = load_purchases(spark, d)
+    root = CH.run_folder(spark, "maintain")
+    glob = _request_files(spark, d, f"{root}/in")
+    v = MT.maintain_stream(spark, build_state(p), glob, root, max_files=1)
+    return read_version(spark, root, "neighbors", v)
+
+
+@register("stream_embeddings", S.with_ctes(f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM emb2",
+                                           *RECALL_CTES, S.embeddings_cte("ln2", "emb2")))
+def q_stream_embeddings(spark, d):
+    p, root, glob = _change_log(spark, d)
+    v = MT.embedding_stream(spark, glob, root, p.orders, max_files=2)
+    return _rounded(read_version(spark, root, "embeddings", v), "weight")

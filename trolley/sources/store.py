@@ -39,6 +39,19 @@ def read_version(spark: SparkSession, root: str, table: str, version: int) -> Da
     return spark.read.parquet(version_path(root, table, version))
 
 
+def version_exists(spark: SparkSession, root: str, table: str, version: int) -> bool:
+    """Whether a committed version can be read (works for any Hadoop-compatible path)."""
+    try:
+        spark.read.parquet(version_path(root, table, version))
+        return True
+    except Exception:  # noqa: BLE001 - path-not-found is an AnalysisException
+        return False
+
+
+def read_version_or_none(spark: SparkSession, root: str, table: str, version: int) -> DataFrame | None:
+    return read_version(spark, root, table, version) if version_exists(spark, root, table, version) else None
+
+
 def latest_version(root: str, table: str) -> int | None:
     """Highest committed version (a ``_SUCCESS`` marker exists); local or mounted shared paths."""
     base = f"{root.rstrip('/')}/{table}"

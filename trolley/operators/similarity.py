@@ -46,10 +46,10 @@ def pair_dot_totals(I: DataFrame) -> DataFrame:
 
 def choose_blocks(spark, nnz: int, rows_per_block: int = ROWS_PER_BLOCK) -> int:
     """Blocks so that each task's two blocks stay under ~2 * rows_per_block rows and the
-    B(B+1)/2 tasks fill the cluster's slots at least twice."""
+    B(B+1)/2 tasks fill every slot of the cluster at least once."""
     by_size = math.ceil(max(1, nnz) / rows_per_block)
     slots = parallelism(spark)
-    by_slots = math.ceil((math.sqrt(16 * slots + 1) - 1) / 2)   # B(B+1)/2 >= 2 * slots
+    by_slots = math.ceil((math.sqrt(8 * slots + 1) - 1) / 2)   # B(B+1)/2 >= slots
     return max(1, by_size, by_slots)
 
 

@@ -31,9 +31,9 @@ def assert_lists(got, want):
             assert got[u][v] == pytest.approx(s, abs=1e-4)
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 3, 5])
-def test_build_golden(spark, blocks):
-    n = K.build_neighbors(interactions(spark, F1), k=2, num_blocks=blocks)
+@pytest.mark.parametrize("blocks,hot", [(1, None), (2, None), (3, None), (5, None), (2, 2), (1, 0)])
+def test_build_golden(spark, blocks, hot):
+    n = K.build_neighbors(interactions(spark, F1), k=2, num_blocks=blocks, hot_threshold=hot)
     assert_lists(as_lists(n), F1_BUILD)
 
 
@@ -68,6 +68,6 @@ def test_random_against_brute_force(spark):
         cand.sort()
         if cand:
             want[u] = {v: -s for s, v in cand[:k]}
-    for blocks in (1, 4):
-        got = as_lists(K.build_neighbors(interactions(spark, rows), k=k, num_blocks=blocks))
+    for blocks, hot in ((1, None), (4, None), (3, 5), (2, 0)):
+        got = as_lists(K.build_neighbors(interactions(spark, rows), k=k, num_blocks=blocks, hot_threshold=hot))
         assert_lists(got, want)

@@ -166,15 +166,16 @@ def embeddings_of(e: DataFrame, users: DataFrame, as_array: bool = False) -> Dat
             .agg(F.array_sort(F.collect_list(F.struct("item_id", "weight"))).alias("weights")))
 
 
-def changed_users(old: DataFrame, new: DataFrame, key: str = "user_id", col: str = "weight",
-                  digits: int | None = 12) -> DataFrame:
+def changed_users(old: DataFrame, new: DataFrame, key: str = "user_id", col: str = "weight") -> DataFrame:
     """Users whose vector differs between two versions (a value difference per item).
 
-    Equal vectors never count as changed, whatever their storage order. ``digits`` compares at a
-    fixed precision so that different summation orders are not reported as changes.
+    Equal vectors never count as changed, whatever their storage order; values are compared on the
+    reporting grid so that another summation order is not reported as a change.
     """
+    from trolley.functions.expressions import report
+
     def v(c: Column) -> Column:
-        return F.round(c, digits) if digits is not None else c
+        return report(c)
     j = old.select(key, "item_id", F.col(col).alias("old")).join(
         new.select(key, "item_id", F.col(col).alias("new")), [key, "item_id"], "full_outer")
     diff = j.where(F.col("old").isNull() | F.col("new").isNull() | (v(F.col("old")) != v(F.col("new"))))

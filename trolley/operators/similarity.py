@@ -10,6 +10,11 @@ users * B * k out; the block count grows with nnz so each task's input stays bou
 
 A user's norm is computed inside each task from its whole row, so no norm table is joined in.
 Values are assumed non-negative (binary by default); pairs with a zero product take no part.
+
+Hot rows: a user whose row is longer than ``hot_threshold`` (a reseller account can hold a third of
+all rows) would make every task of its block large. Such users leave the block path; their dot
+products with everybody come from a join on item_id (linear in the data per hot user, AQE splits
+skewed items) and enter the final top-k in both directions. The result is the same exact table.
 """
 
 from __future__ import annotations
@@ -70,15 +75,46 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
         .select("user_id", "neighbor_id", "similarity", "rank")
 
 
+def hot_users(I: DataFrame, hot_threshold: int) -> DataFrame:
+    """Users with more than ``hot_threshold`` interactions (at most nnz / threshold of them)."""
+    return (I.groupBy("user_id").agg(F.count(F.lit(1)).alias("len"))
+            .where(F.col("len") > hot_threshold).select("user_id"))
+
+
+def hot_candidates(I: DataFrame, hot: DataFrame, k: int) -> DataFrame:
+    """Candidates that involve a hot user: its own top-k, and its entry in every other list."""
+    h_rows = I.join(hot, "user_id", "left_semi").select(F.col("user_id").alias("h"), "item_id",
+                                                        F.col("value").alias("x"))
+    dots = (h_rows.join(I.select("user_id", "item_id", F.col("value").alias("y")), "item_id")
+            .where(F.col("h") != F.col("user_id"))
+            .groupBy("h", "user_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+            .where(F.col("dot") > 0))
+    nsq = norms(I)
+    sims = (dots.join(nsq.select(F.col("user_id").alias("h"), F.col("nsq").alias("nsq_h")), "h")
+            .join(nsq.select("user_id", F.col("nsq").alias("nsq_v")), "user_id")
+            .select("h", "user_id", cosine("dot", "nsq_h", "nsq_v").alias("similarity")))
+    own = top_k(sims.select(F.col("h").alias("user_id"), F.col("user_id").alias("neighbor_id"), "similarity"), k)
+    mirrored = (sims.join(hot, "user_id", "left_anti")
+                .select("user_id", F.col("h").alias("neighbor_id"), "similarity"))
+    return own.select("user_id", "neighbor_id", "similarity").unionByName(mirrored)
+
+
 def build_neighbors(I: DataFrame, k: int = 50, num_blocks: int | None = None,
-                    nnz: int | None = None) -> DataFrame:
+                    nnz: int | None = None, hot_threshold: int | None = None) -> DataFrame:
     """K5: the neighbour table ``(user_id, neighbor_id, similarity, rank)`` for every user.
 
-    ``num_blocks`` defaults from ``nnz`` (counted when not given).
+    ``num_blocks`` defaults from ``nnz`` (counted when not given). Rows longer than
+    ``hot_threshold`` (default: a fifth of a block) take the join path described above.
     """
     if num_blocks is None:
         num_blocks = choose_blocks(I.sparkSession, nnz if nnz is not None else I.count())
-    return top_k(block_candidates(I, k, num_blocks), k)
+    threshold = hot_threshold if hot_threshold is not None else ROWS_PER_BLOCK // 5
+    hot = hot_users(I, threshold)
+    if not hot.take(1):      # one pass over the row lengths; the usual case has no hot rows
+        return top_k(block_candidates(I, k, num_blocks), k)
+    cold = I.join(hot, "user_id", "left_anti")
+    cands = block_candidates(cold, k, num_blocks).unionByName(hot_candidates(I, hot, k))
+    return top_k(cands, k)
 
 
 def neighbors_for(I_left: DataFrame, I_right: DataFrame, k: int, left_blocks: int = 1,

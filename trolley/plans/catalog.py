@@ -312,8 +312,9 @@ from trolley.plans.state import blocks_for, build_state  # noqa: E402
 
 
 def _neighbors(spark, d, k=50):
+    from trolley.session import materialize
     p = load_purchases(spark, d)
-    return K.build_neighbors(EM.interactions(p), k, num_blocks=blocks_for(p))
+    return K.build_neighbors(materialize(EM.interactions(p)), k, num_blocks=blocks_for(p))
 
 
 @register("sim_norms", S.with_ctes("""
@@ -341,8 +342,9 @@ FROM nbr n JOIN nbr_dot d ON d.user_id = n.user_id AND d.neighbor_id = n.neighbo
            JOIN nbr_nsq a ON a.user_id = n.user_id JOIN nbr_nsq b ON b.user_id = n.neighbor_id""",
                                    S.interactions_cte(), S.neighbors_cte(50)))
 def q_sim_pairs(spark, d):
+    from trolley.session import materialize
     p = load_purchases(spark, d)
-    I = EM.interactions(p)
+    I = materialize(EM.interactions(p))
     return K.pair_similarities(I, K.build_neighbors(I, 50, num_blocks=blocks_for(p)))
 
 
@@ -503,8 +505,7 @@ def forget_run(spark, d, which: str = "recall"):
     if key not in _FORGET_CACHE:
         p = load_purchases(spark, d)
         st = build_state(p)
-        st = st.with_(interactions=st.interactions.checkpoint(), neighbors=st.neighbors.checkpoint(),
-                      embeddings=st.embeddings.checkpoint())
+        st = st.with_(neighbors=st.neighbors.checkpoint(), embeddings=st.embeddings.checkpoint())
         dels = U.most_bought_item_deletions(p) if which == "recall" else U.latest_line(p)
         _FORGET_CACHE[key] = (st, U.forget(st, dels))
     return _FORGET_CACHE[key]
@@ -810,3 +811,29 @@ def q_stream_embeddings(spark, d):
     p, root, glob = _change_log(spark, d)
     v = MT.embedding_stream(spark, glob, root, p.orders, max_files=2)
     return _rounded(read_version(spark, root, "embeddings", v), "weight")
+
+
+# ------------------------------------------------------------------------- index store, changes
+
+from trolley.sources.store import load_index, save_index  # noqa: E402
+
+
+@register("idx_roundtrip", S.with_ctes("SELECT * FROM nbr", S.interactions_cte(), S.neighbors_cte(50)))
+def q_idx_roundtrip(spark, d):
+    from trolley.session import materialize
+    p = load_purchases(spark, d)
+    I = materialize(EM.interactions(p))
+    N = K.build_neighbors(I, 50, num_blocks=blocks_for(p))
+    path = CH.run_folder(spark, "index")
+    save_index({"interactions": I, "norms": K.norms(I), "neighbors": N}, 50, path)
+    parts, k = load_index(spark, path)
+    return parts["neighbors"].where(F.col("rank") <= k)
+
+
+@register("emb_changed", S.with_ctes(f"""
+SELECT DISTINCT COALESCE(o.user_id, n.user_id) AS user_id
+FROM emb o FULL OUTER JOIN emb2 n ON o.user_id = n.user_id AND o.item_id = n.item_id
+WHERE o.user_id IS NULL OR n.user_id IS NULL OR {S.q('o.weight')} <> {S.q('n.weight')}""", *UNL_CTES))
+def q_emb_changed(spark, d):
+    st, res = _run(spark, d)
+    return EM.changed_users(st.embeddings, res.state.embeddings)

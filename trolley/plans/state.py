@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from trolley.operators import embeddings as EM
 from trolley.operators import similarity as K
 from trolley.schema import DEFAULT_K, DEFAULT_PARAMS, HyperParams
+from trolley.session import materialize
 from trolley.sources.purchases import Purchases
 
 
@@ -36,8 +37,9 @@ def blocks_for(p: Purchases) -> int:
 
 def build_state(p: Purchases, params: HyperParams = DEFAULT_PARAMS, k: int = DEFAULT_K,
                 ordered: bool = False, num_blocks: int | None = None) -> ModelState:
-    """Lazy plans for the whole model; nothing runs until a consumer acts."""
-    I = EM.interactions(p)
+    """The whole model. Interactions are materialised once (they feed the block sizing, the
+    hot-row check, the neighbour build and maintenance); the rest stays lazy."""
+    I = materialize(EM.interactions(p))
     B = num_blocks if num_blocks is not None else blocks_for(p)
     return ModelState(
         purchases=p,

@@ -56,3 +56,13 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.sparkContext.defaultParallelism)
     except Exception:  # pragma: no cover - connect sessions have no SparkContext
         return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
+def materialize(df):
+    """Write a reused intermediate to the shared checkpoint folder and read it back.
+
+    Cuts the lineage (an executor loss re-reads the files instead of recomputing upstream) and
+    keeps several consumers from recomputing the same plan. Never a machine-local checkpoint.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -99,8 +99,16 @@ def merge_candidates(N_old: DataFrame, I_new: DataFrame, changed: DataFrame, aff
     rows_a = I_new.join(affected, "user_id", "left_semi")
     rows_c = I_new.join(changed, "user_id", "left_semi")
     cand = K.neighbors_for(rows_a, rows_c, k, left_blocks=left_blocks, right_blocks=right_blocks)
-    old_a = N_old.join(affected, "user_id", "left_semi")
-    kept = old_a.join(changed.select(F.col("user_id").alias("neighbor_id")), "neighbor_id", "left_anti")
+    return merge_lists(N_old.join(affected, "user_id", "left_semi"), changed, cand, k)
+
+
+def merge_lists(old_lists: DataFrame, changed: DataFrame, cand: DataFrame, k: int) -> DataFrame:
+    """``top-k((old list minus changed users) + candidate entries of changed users)`` per list owner.
+
+    ``cand`` holds the new ``(user_id, neighbor_id, similarity)`` of changed neighbours with a
+    positive similarity; a changed neighbour absent from ``cand`` left the list (similarity 0).
+    """
+    kept = old_lists.join(changed.select(F.col("user_id").alias("neighbor_id")), "neighbor_id", "left_anti")
     return K.top_k(kept.select("user_id", "neighbor_id", "similarity")
                    .unionByName(cand.select("user_id", "neighbor_id", "similarity")), k)
 

@@ -104,3 +104,15 @@ def test_linear_combine_drops_zeros(spark):
     b = spark.createDataFrame([(1, 1, 0.5)], "user_id long, item_id long, weight double")
     got = {r["item_id"]: r["weight"] for r in EM.linear_combine([(1.0, a), (-1.0, b)]).collect()}
     assert got == {2: 0.25}
+
+
+def test_range_numbering_matches_window(spark):
+    from pyspark.sql import Window
+    from trolley.functions.numbering import row_numbers
+    rows = [(u, b, (b * 7919) % 101) for u in (1, 2, 3) for b in range(200 if u == 1 else 5)]
+    df = spark.createDataFrame(rows, "user_id long, basket_id long, ts long")
+    got = {(r["user_id"], r["basket_id"]): r["position"]
+           for r in row_numbers(df, "user_id", ["ts", "basket_id"], num_partitions=7).collect()}
+    w = Window.partitionBy("user_id").orderBy("ts", "basket_id")
+    want = {(r["user_id"], r["basket_id"]): r["p"] for r in df.select("*", F.row_number().over(w).alias("p")).collect()}
+    assert got == want

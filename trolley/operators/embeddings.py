@@ -10,8 +10,8 @@ Two callers of the same operator:
                         computes. It has the closed form weight = (baskets holding i / n) * r_b^(n-1).
   * ``order_by=[...]``  positions follow the basket order (library semantics of the model).
 
-All steps are hash aggregates with map-side partial combine and joins on small per-user tables;
-no window holds line-level rows.
+All steps are hash aggregates with map-side partial combine and joins on per-user tables; basket
+positions are numbered over range partitions, so no step sorts one user's history in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trolley.functions.numbering import row_numbers
 from trolley.schema import DEFAULT_PARAMS, DISCRETISATION_FACTOR, PRESETS, HyperParams
 from trolley.sources.purchases import Purchases
 
@@ -49,18 +50,22 @@ def interactions(p: Purchases) -> DataFrame:
 
 # ------------------------------------------------------------------------------ E3-E6
 
-def basket_positions(bi: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+def basket_positions(bi: DataFrame, order_by: list[str] | None = None,
+                     per_user_window: bool = False) -> DataFrame:
     """E3 part 1: ``(user_id, basket_id, position)``.
 
-    Unordered: position 1 for every basket. Ordered: ``row_number`` over the user's baskets; the
-    window sees one row per basket (not per line).
+    Unordered: position 1 for every basket. Ordered: 1-based rank of the basket in the user's
+    history, numbered over range partitions (``functions.numbering``) so that a user with a huge
+    history is split across tasks. ``per_user_window=True`` uses a plain per-user window instead.
     """
     cols = ["user_id", "basket_id"] + list(order_by or [])
     b = bi.select(*cols).distinct()
     if not order_by:
         return b.select("user_id", "basket_id", F.lit(1).cast("long").alias("position"))
-    w = Window.partitionBy("user_id").orderBy(*[F.col(c) for c in order_by])
-    return b.select("user_id", "basket_id", F.row_number().over(w).cast("long").alias("position"))
+    if per_user_window:
+        w = Window.partitionBy("user_id").orderBy(*[F.col(c) for c in order_by])
+        return b.select("user_id", "basket_id", F.row_number().over(w).cast("long").alias("position"))
+    return row_numbers(b, "user_id", list(order_by)).select("user_id", "basket_id", "position")
 
 
 def basket_groups(positions: DataFrame, group_size: int) -> DataFrame:

@@ -123,10 +123,11 @@ def _frame(parts) -> pd.DataFrame:
                          "similarity": sim.astype(np.float64)})
 
 
-def symmetric_task(k: int):
-    """Kernel for a block pair (lo, hi) of one matrix: rows carry ``blk``; lo == hi is the diagonal."""
+def symmetric_task(k: int, num_blocks: int):
+    """Kernel for a block pair of one matrix, keyed by ``gid = lo * B + hi``; rows carry ``blk``;
+    lo == hi is the diagonal."""
     def run(key, pdf):
-        lo, hi = int(key[0]), int(key[1])
+        lo, hi = divmod(int(key[0]), int(num_blocks))
         blk = pdf["blk"].to_numpy()
         u = pdf["user_id"].to_numpy(np.int64)
         i = pdf["item_id"].to_numpy(np.int64)

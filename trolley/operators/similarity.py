@@ -51,10 +51,10 @@ def pair_dot_totals(I: DataFrame) -> DataFrame:
 
 def choose_blocks(spark, nnz: int, rows_per_block: int = ROWS_PER_BLOCK) -> int:
     """Blocks so that each task's two blocks stay under ~2 * rows_per_block rows and the
-    B(B+1)/2 tasks fill every slot of the cluster at least once."""
+    B(B+1)/2 tasks fill every slot of the cluster about twice."""
     by_size = math.ceil(max(1, nnz) / rows_per_block)
     slots = parallelism(spark)
-    by_slots = math.ceil((math.sqrt(8 * slots + 1) - 1) / 2)   # B(B+1)/2 >= slots
+    by_slots = math.ceil((math.sqrt(16 * slots + 1) - 1) / 2)   # B(B+1)/2 >= 2 * slots
     return max(1, by_size, by_slots)
 
 
@@ -64,9 +64,17 @@ def block_candidates(I: DataFrame, k: int, num_blocks: int) -> DataFrame:
     rows = I.select("user_id", "item_id", F.col("value").cast("double").alias("value")) \
         .withColumn("blk", F.pmod(F.xxhash64("user_id"), F.lit(B)).cast("int"))
     rep = (rows.withColumn("peer", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-           .withColumn("lo", F.least("blk", "peer")).withColumn("hi", F.greatest("blk", "peer"))
+           .withColumn("gid", F.least("blk", "peer") * B + F.greatest("blk", "peer"))
            .drop("peer"))
-    return rep.groupBy("lo", "hi").applyInPandas(blockdot.symmetric_task(k), PAIR_SCHEMA)
+    return _one_task_per_group(rep, B * (B + 1) // 2).applyInPandas(
+        blockdot.symmetric_task(k, B), PAIR_SCHEMA)
+
+
+def _one_task_per_group(rows: DataFrame, n_groups: int):
+    """Group by ``gid`` with one partition per group: range partitioning on distinct integer ids
+    gives every block pair its own task (hash partitioning would stack some pairs on one task);
+    the grouping reuses that partitioning, so there is a single exchange."""
+    return rows.repartitionByRange(max(1, n_groups), "gid").groupBy("gid")
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -137,8 +145,8 @@ def neighbors_for(I_left: DataFrame, I_right: DataFrame, k: int, left_blocks: in
     right = (I_right.select(*cols).withColumn("side", F.lit("R"))
              .withColumn("b", F.pmod(F.xxhash64("user_id"), F.lit(BR)).cast("int"))
              .withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(BL - 1)))))
-    both = left.unionByName(right)
-    cands = both.groupBy("a", "b").applyInPandas(blockdot.asymmetric_task(k), PAIR_SCHEMA)
+    both = left.unionByName(right).withColumn("gid", F.col("a") * BR + F.col("b")).drop("a", "b")
+    cands = _one_task_per_group(both, BL * BR).applyInPandas(blockdot.asymmetric_task(k), PAIR_SCHEMA)
     return top_k(cands, k)
 
 

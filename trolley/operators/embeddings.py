@@ -154,12 +154,17 @@ def linear_combine(terms: list[tuple[float, DataFrame]], key: str = "user_id", c
     return out.groupBy(key, "item_id").agg(F.sum(col).alias(col)).where(F.col(col) != 0.0)
 
 
-def render_vectors(e: DataFrame, key: str = "user_id") -> DataFrame:
-    """``item:weight;...`` sorted by item. The list is bounded by the item catalogue size."""
-    entry = F.struct(F.col("item_id"), F.col("weight"))
+def render_vectors(e: DataFrame, key: str = "user_id", decimals: int = 9) -> DataFrame:
+    """``item:weight;...`` sorted by item. The list is bounded by the item catalogue size.
+
+    Weights are snapped to the reporting grid before printing, so the text is engine independent.
+    """
+    from trolley.functions.expressions import report
+    entry = F.struct(F.col("item_id"), report("weight").alias("weight"))
+    fmt = f"%d:%.{int(decimals)}f"
     return (e.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("v"))
             .select(key, F.array_join(F.transform(
-                "v", lambda x: F.format_string("%d:%.6f", x["item_id"], x["weight"])), ";").alias("vector")))
+                "v", lambda x: F.format_string(fmt, x["item_id"], x["weight"])), ";").alias("vector")))
 
 
 def embeddings_of(e: DataFrame, users: DataFrame, as_array: bool = False) -> DataFrame:

@@ -199,6 +199,7 @@ class ForgetResult:
     changed: DataFrame
     maintenance: Maintenance
     durations_ms: dict
+    baskets: DataFrame | None = None   # (user_id, item_id, order_id) of the deleted lines
 
 
 def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUILD_SHARE) -> ForgetResult:
@@ -224,7 +225,8 @@ def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUI
     new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors)
     return ForgetResult(new_state, accepted, rejected, changed, m,
                         {"database_update": int((t1 - t0) * 1000), "embedding_update": int((t2 - t1) * 1000),
-                         "topk_index_update": int((t3 - t2) * 1000)})
+                         "topk_index_update": int((t3 - t2) * 1000)},
+                        baskets_of(p_old, accepted))
 
 
 def latest_line(p: Purchases) -> DataFrame:
@@ -248,6 +250,9 @@ def impact_summary(result: ForgetResult, old_recs: DataFrame, new_recs: DataFram
     """U16: one summary row per changed user (counts of each difference set plus batch timings)."""
     acc = result.accepted.groupBy("user_id").agg(F.count(F.lit(1)).alias("num_forgotten_items"))
     out = acc
+    if result.baskets is not None:
+        out = out.join(result.baskets.groupBy("user_id").agg(F.countDistinct("order_id").alias("num_baskets")),
+                       "user_id", "left")
     for name, d in diffs.items():
         out = out.join(d.groupBy("user_id").agg(F.count(F.lit(1)).alias(f"num_{name}_changes")), "user_id", "left")
     out = out.fillna(0)

@@ -275,9 +275,10 @@ def q_emb_presets(spark, d):
     return _rounded(EM.preset_sweep(load_purchases(spark, d), ordered=True), "weight")
 
 
-@register("emb_discretised")
+@register("emb_discretised", S.with_ctes(f"""
+SELECT user_id, item_id, CAST(floor({S.q('weight')} * 1e15) AS BIGINT) AS weight FROM emb""", S.embeddings_cte()))
 def q_emb_discretised(spark, d):
-    return EM.discretise(EM.embeddings(load_purchases(spark, d)))
+    return EM.discretise(_rounded(EM.embeddings(load_purchases(spark, d)), "weight"))
 
 
 @register("vec_combine", S.with_ctes("""
@@ -292,7 +293,9 @@ def q_vec_combine(spark, d):
     return _rounded(mixed, "weight")
 
 
-@register("vec_render")
+@register("vec_render", S.with_ctes(f"""
+SELECT user_id, string_agg(printf('%d:%.9f', item_id, {S.q('weight')}), ';' ORDER BY item_id) AS vector
+FROM emb GROUP BY user_id""", S.embeddings_cte()))
 def q_vec_render(spark, d):
     return EM.render_vectors(EM.embeddings(load_purchases(spark, d)))
 

@@ -80,3 +80,17 @@ def test_rebuild_path_equals_incremental(spark):
     _, m = step(spark, I0, N0, [(0, 1)], force_incremental=False)
     assert m.rebuilt
     assert_lists(as_lists(m.neighbors), AFTER_0_1)
+
+
+def test_refresh_recommendations_equals_full(spark):
+    from trolley.operators import recommend as P
+    p = load_purchases(spark, SF_SMALL)
+    st = build_state(p, k=10)
+    st = st.with_(neighbors=st.neighbors.cache())
+    old = P.recommend(st.neighbors, st.embeddings, 0.1, 20).cache()
+    res = U.forget(st, U.latest_line(p), rebuild_share=2.0)
+    got = U.refresh_recommendations(old, res, 0.1, 20)
+    want = P.recommend(res.state.neighbors, res.state.embeddings, 0.1, 20)
+    key = ["user_id", "item_id", F.round("score", 9).alias("s"), "rank"]
+    assert got.select(*key).exceptAll(want.select(*key)).count() == 0
+    assert want.select(*key).exceptAll(got.select(*key)).count() == 0

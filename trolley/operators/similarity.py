@@ -30,6 +30,19 @@ from trolley.session import parallelism
 
 PAIR_SCHEMA = "user_id long, neighbor_id long, similarity double"
 ROWS_PER_BLOCK = 250_000
+ROWS_PER_BLOCK_CONF = "trolley.similarity.rowsPerBlock"
+
+
+def rows_per_block(spark) -> int:
+    """Rows of one user block: session conf ``trolley.similarity.rowsPerBlock`` or 250k.
+
+    A task holds two blocks in pandas, so this is bounded by executor memory; on a cluster
+    several million rows keep the replication factor B = nnz / rows small next to the pair work.
+    """
+    try:
+        return int(spark.conf.get(ROWS_PER_BLOCK_CONF, str(ROWS_PER_BLOCK)))
+    except Exception:  # noqa: BLE001
+        return ROWS_PER_BLOCK
 
 
 def norms(I: DataFrame) -> DataFrame:
@@ -49,10 +62,10 @@ def pair_dot_totals(I: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("value") * (F.col("col_sum") - F.col("value"))).alias("dot_total")))
 
 
-def choose_blocks(spark, nnz: int, rows_per_block: int = ROWS_PER_BLOCK) -> int:
+def choose_blocks(spark, nnz: int, rows: int | None = None) -> int:
     """Blocks so that each task's two blocks stay under ~2 * rows_per_block rows and the
     B(B+1)/2 tasks fill every slot of the cluster about twice."""
-    by_size = math.ceil(max(1, nnz) / rows_per_block)
+    by_size = math.ceil(max(1, nnz) / (rows or rows_per_block(spark)))
     slots = parallelism(spark)
     by_slots = math.ceil((math.sqrt(16 * slots + 1) - 1) / 2)   # B(B+1)/2 >= 2 * slots
     return max(1, by_size, by_slots)
@@ -116,7 +129,7 @@ def build_neighbors(I: DataFrame, k: int = 50, num_blocks: int | None = None,
     """
     if num_blocks is None:
         num_blocks = choose_blocks(I.sparkSession, nnz if nnz is not None else I.count())
-    threshold = hot_threshold if hot_threshold is not None else ROWS_PER_BLOCK // 5
+    threshold = hot_threshold if hot_threshold is not None else rows_per_block(I.sparkSession) // 5
     hot = hot_users(I, threshold)
     if not hot.take(1):      # one pass over the row lengths; the usual case has no hot rows
         return top_k(block_candidates(I, k, num_blocks), k)

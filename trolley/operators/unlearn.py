@@ -89,8 +89,9 @@ def affected_users(I_old: DataFrame, changed: DataFrame) -> DataFrame:
             .join(changed, "user_id", "left_anti"))
 
 
-def _rows_blocks(n_rows: int) -> int:
-    return max(1, math.ceil(n_rows / K.ROWS_PER_BLOCK))
+def _rows_blocks(n_rows: int, spark=None) -> int:
+    per = K.rows_per_block(spark) if spark is not None else K.ROWS_PER_BLOCK
+    return max(1, math.ceil(n_rows / per))
 
 
 def merge_candidates(N_old: DataFrame, I_new: DataFrame, changed: DataFrame, affected: DataFrame,
@@ -140,7 +141,7 @@ def recompute(I_new: DataFrame, users: DataFrame, k: int, num_blocks: int,
               n_rows: int | None = None) -> DataFrame:
     """Full top-k lists of the given users against all rows."""
     left = I_new.join(users, "user_id", "left_semi")
-    lb = _rows_blocks(n_rows) if n_rows is not None else 1
+    lb = _rows_blocks(n_rows, I_new.sparkSession) if n_rows is not None else 1
     return K.neighbors_for(left, I_new, k, left_blocks=lb, right_blocks=max(1, num_blocks))
 
 
@@ -170,8 +171,8 @@ def maintain_neighbors(N_old: DataFrame, I_old: DataFrame, I_new: DataFrame, cha
         return Maintenance(new_n, labels, affected, True)
     n_c = I_new.join(changed, "user_id", "left_semi").count()
     merged = merge_candidates(N_old, I_new, changed, affected, k,
-                              left_blocks=max(parallelism(spark), _rows_blocks(n_touched)),
-                              right_blocks=_rows_blocks(n_c)).checkpoint(eager=True)
+                              left_blocks=max(parallelism(spark), _rows_blocks(n_touched, spark)),
+                              right_blocks=_rows_blocks(n_c, spark)).checkpoint(eager=True)
     labels = label_lists(N_old, merged, affected, k).checkpoint(eager=True)
     redo = labels.where(F.col("label") == "recompute").select("user_id").unionByName(changed).distinct()
     n_redo = I_new.join(redo, "user_id", "left_semi").count()
@@ -200,6 +201,7 @@ class ForgetResult:
     maintenance: Maintenance
     durations_ms: dict
     baskets: DataFrame | None = None   # (user_id, item_id, order_id) of the deleted lines
+    previous_neighbors: DataFrame | None = None
 
 
 def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUILD_SHARE) -> ForgetResult:
@@ -226,7 +228,27 @@ def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUI
     return ForgetResult(new_state, accepted, rejected, changed, m,
                         {"database_update": int((t1 - t0) * 1000), "embedding_update": int((t2 - t1) * 1000),
                          "topk_index_update": int((t3 - t2) * 1000)},
-                        baskets_of(p_old, accepted))
+                        baskets_of(p_old, accepted), state.neighbors)
+
+
+def recommendation_users(N_old: DataFrame, N_new: DataFrame, changed: DataFrame) -> DataFrame:
+    """Users whose recommendations can differ after a forget: their list changed, a neighbour's
+    (or their own) embedding changed."""
+    cols = ["user_id", "neighbor_id", "similarity"]
+    o, n = N_old.select(*cols), N_new.select(*cols)
+    list_changed = o.exceptAll(n).unionByName(n.exceptAll(o)).select("user_id")
+    via_neighbor = N_new.join(changed.select(F.col("user_id").alias("neighbor_id")), "neighbor_id",
+                              "left_semi").select("user_id")
+    return list_changed.unionByName(via_neighbor).unionByName(changed.select("user_id")).distinct()
+
+
+def refresh_recommendations(old_recs: DataFrame, result: "ForgetResult", alpha: float, n: int) -> DataFrame:
+    """New top-n lists: recomputed for the users that can change, kept for everybody else."""
+    from trolley.operators.recommend import recommend
+    st = result.state
+    users = recommendation_users(result.previous_neighbors, st.neighbors, result.changed)
+    fresh = recommend(st.neighbors, st.embeddings, alpha, n, users=users)
+    return old_recs.join(users, "user_id", "left_anti").unionByName(fresh.select(*old_recs.columns))
 
 
 def latest_line(p: Purchases) -> DataFrame:

@@ -62,3 +62,26 @@ def test_apply_changes_keeps_negative_counts(spark):
     assert [r["mult"] for r in first.collect()] == [-1]
     second = CH.apply_changes(first, changes(spark, [(1, 1, 1, 1)]))
     assert second.count() == 0
+
+
+def test_keyed_state_embeddings_match_batch(spark):
+    from tests.conftest import SF_SMALL
+    from trolley.operators import embeddings as EM
+    from trolley.operators import unlearn as U
+    from trolley.sources.purchases import lines, load_purchases
+    from trolley.sources.store import read_version
+    from trolley.streaming import maintain as MT
+    from trolley.streaming.keyed import keyed_embedding_stream
+    p = load_purchases(spark, SF_SMALL)
+    dels = U.most_bought_item_deletions(p).withColumnRenamed("item_id", "product_id")
+    removed = lines(p).join(dels, ["user_id", "product_id"], "left_semi")
+    root = CH.run_folder(spark, "test-keyed")
+    glob = CH.write_change_files([MT.line_changes(lines(p), 1).repartition(2),
+                                  MT.line_changes(removed, -1).coalesce(1)], f"{root}/in")
+    v = keyed_embedding_stream(spark, glob, root, max_files=1)
+    got = read_version(spark, root, "embeddings", v)
+    p_new = U.apply_deletions(p, U.most_bought_item_deletions(p))
+    want = EM.embeddings(p_new)
+    cols = ["user_id", "item_id", F.round("weight", 9).alias("w")]
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0

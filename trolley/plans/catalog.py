@@ -840,3 +840,12 @@ WHERE o.user_id IS NULL OR n.user_id IS NULL OR {S.q('o.weight')} <> {S.q('n.wei
 def q_emb_changed(spark, d):
     st, res = _run(spark, d)
     return EM.changed_users(st.embeddings, res.state.embeddings)
+
+
+@register("stream_embeddings_keyed", S.with_ctes(f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM emb2",
+                                                 *RECALL_CTES, S.embeddings_cte("ln2", "emb2")))
+def q_stream_embeddings_keyed(spark, d):
+    from trolley.streaming.keyed import keyed_embedding_stream
+    p, root, glob = _change_log(spark, d)
+    v = keyed_embedding_stream(spark, glob, root, max_files=2)
+    return _rounded(read_version(spark, root, "embeddings", v), "weight")

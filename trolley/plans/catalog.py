@@ -503,14 +503,20 @@ _FORGET_CACHE: dict = {}
 
 
 def forget_run(spark, d, which: str = "recall"):
-    """The state before and after forgetting the data-derived deletion set (memoised per session)."""
+    """The state before and after forgetting the data-derived deletion set (memoised per session).
+
+    The single-deletion run never falls back to a rebuild, so the incremental list maintenance is
+    what its query checks; the recall run uses the default rule (a rebuild when most rows are
+    touched)."""
     key = (id(spark), d, which)
     if key not in _FORGET_CACHE:
         p = load_purchases(spark, d)
         st = build_state(p)
         st = st.with_(neighbors=st.neighbors.checkpoint(), embeddings=st.embeddings.checkpoint())
-        dels = U.most_bought_item_deletions(p) if which == "recall" else U.latest_line(p)
-        _FORGET_CACHE[key] = (st, U.forget(st, dels))
+        if which == "recall":
+            _FORGET_CACHE[key] = (st, U.forget(st, U.most_bought_item_deletions(p)))
+        else:
+            _FORGET_CACHE[key] = (st, U.forget(st, U.latest_line(p), rebuild_share=1.0))
     return _FORGET_CACHE[key]
 
 

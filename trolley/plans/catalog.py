@@ -412,7 +412,7 @@ def q_rec_topn(spark, d):
 
 @register("rec_sensitive", S.with_ctes(f"""
 SELECT r.user_id, COUNT(*) AS num_items,
-       SUM(CASE WHEN pr.aisle_id IN {S.aisles_in('alcohol')} THEN 1 ELSE 0 END) AS num_sensitive
+       CAST(SUM(CASE WHEN pr.aisle_id IN {S.aisles_in('alcohol')} THEN 1 ELSE 0 END) AS BIGINT) AS num_sensitive
 FROM rec r JOIN pr ON pr.product_id = r.item_id GROUP BY r.user_id""", *MODEL_CTES, S.recommendations_cte()))
 def q_rec_sensitive(spark, d):
     p, st = _model(spark, d)
@@ -459,7 +459,8 @@ def q_graph_ego(spark, d):
 
 
 @register("graph_ego_stats", S.with_ctes("""
-SELECT ego_id, COUNT(*) AS num_users, SUM(CAST(sensitive AS BIGINT)) AS num_sensitive FROM gs GROUP BY ego_id""",
+SELECT ego_id, COUNT(*) AS num_users, CAST(SUM(CAST(sensitive AS BIGINT)) AS BIGINT) AS num_sensitive
+FROM gs GROUP BY ego_id""",
                                          *EGO_CTES))
 def q_graph_ego_stats(spark, d):
     return G.ego_stats(_egos(spark, d)["sensitive"])

@@ -162,14 +162,17 @@ def maintain_neighbors(N_old: DataFrame, I_old: DataFrame, I_new: DataFrame, cha
     cuts their lineage before they are read twice.
     """
     spark = N_old.sparkSession
-    affected = affected_users(I_old, changed)
-    touched = affected.unionByName(changed).distinct()
-    n_touched = I_new.join(touched, "user_id", "left_semi").count()
+    affected = affected_users(I_old, changed).checkpoint(eager=True)   # read by five steps below
+    touched = (affected.withColumn("is_changed", F.lit(0))
+               .unionByName(changed.select("user_id").withColumn("is_changed", F.lit(1))))
+    sizes = (I_new.join(touched, "user_id")
+             .agg(F.count(F.lit(1)).alias("n_touched"), F.sum("is_changed").alias("n_c")).first())
+    n_touched, n_c = int(sizes["n_touched"] or 0), int(sizes["n_c"] or 0)
+    touched = touched.select("user_id")
     if n_touched > rebuild_share * max(1, nnz):
         new_n = K.build_neighbors(I_new, k, num_blocks=num_blocks)
         labels = affected.withColumn("label", F.lit("rebuilt"))
         return Maintenance(new_n, labels, affected, True)
-    n_c = I_new.join(changed, "user_id", "left_semi").count()
     merged = merge_candidates(N_old, I_new, changed, affected, k,
                               left_blocks=max(parallelism(spark), _rows_blocks(n_touched, spark)),
                               right_blocks=_rows_blocks(n_c, spark)).checkpoint(eager=True)
@@ -214,6 +217,7 @@ def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUI
     t0 = time.time()
     p_old = state.purchases
     accepted, rejected = split_requests(state.interactions, deletions)
+    accepted = accepted.checkpoint(eager=True)   # the request batch, read by every later step
     p_new = apply_deletions(p_old, accepted)
     I_new = state.interactions.join(accepted, ["user_id", "item_id"], "left_anti")
     changed = accepted.select("user_id").distinct()

@@ -94,3 +94,13 @@ def test_refresh_recommendations_equals_full(spark):
     key = ["user_id", "item_id", F.round("score", 9).alias("s"), "rank"]
     assert got.select(*key).exceptAll(want.select(*key)).count() == 0
     assert want.select(*key).exceptAll(got.select(*key)).count() == 0
+
+
+def test_forget_ordered_model_equals_rebuild(spark):
+    p = load_purchases(spark, SF_SMALL)
+    st = build_state(p, k=10, ordered=True)
+    res = U.forget(st, U.most_bought_item_deletions(p), rebuild_share=2.0)
+    want = EM.embeddings(res.state.purchases, ordered=True)
+    cols = ["user_id", "item_id", F.round("weight", 9).alias("w")]
+    assert res.state.embeddings.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.select(*cols).exceptAll(res.state.embeddings.select(*cols)).count() == 0

@@ -96,6 +96,14 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
         .select("user_id", "neighbor_id", "similarity", "rank")
 
 
+def row_stats(I: DataFrame) -> tuple[int, int]:
+    """``(nnz, longest row)`` in one aggregation: sizes the blocks and tells whether a hot-row path
+    is needed."""
+    r = (I.groupBy("user_id").agg(F.count(F.lit(1)).alias("len"))
+         .agg(F.sum("len").alias("nnz"), F.max("len").alias("longest")).first())
+    return int(r["nnz"] or 0), int(r["longest"] or 0)
+
+
 def hot_users(I: DataFrame, hot_threshold: int) -> DataFrame:
     """Users with more than ``hot_threshold`` interactions (at most nnz / threshold of them)."""
     return (I.groupBy("user_id").agg(F.count(F.lit(1)).alias("len"))
@@ -121,18 +129,22 @@ def hot_candidates(I: DataFrame, hot: DataFrame, k: int) -> DataFrame:
 
 
 def build_neighbors(I: DataFrame, k: int = 50, num_blocks: int | None = None,
-                    nnz: int | None = None, hot_threshold: int | None = None) -> DataFrame:
+                    nnz: int | None = None, hot_threshold: int | None = None,
+                    longest_row: int | None = None) -> DataFrame:
     """K5: the neighbour table ``(user_id, neighbor_id, similarity, rank)`` for every user.
 
-    ``num_blocks`` defaults from ``nnz`` (counted when not given). Rows longer than
-    ``hot_threshold`` (default: a fifth of a block) take the join path described above.
+    ``num_blocks`` defaults from ``nnz``; rows longer than ``hot_threshold`` (default: a fifth of a
+    block) take the join path described above. Without ``longest_row`` (and ``nnz``) one
+    aggregation over the row lengths finds them.
     """
-    if num_blocks is None:
-        num_blocks = choose_blocks(I.sparkSession, nnz if nnz is not None else I.count())
+    if num_blocks is None or longest_row is None:
+        nnz, longest_row = row_stats(I)
+        if num_blocks is None:
+            num_blocks = choose_blocks(I.sparkSession, nnz)
     threshold = hot_threshold if hot_threshold is not None else rows_per_block(I.sparkSession) // 5
-    hot = hot_users(I, threshold)
-    if not hot.take(1):      # one pass over the row lengths; the usual case has no hot rows
+    if longest_row <= threshold:
         return top_k(block_candidates(I, k, num_blocks), k)
+    hot = hot_users(I, threshold)
     cold = I.join(hot, "user_id", "left_anti")
     cands = block_candidates(cold, k, num_blocks).unionByName(hot_candidates(I, hot, k))
     return top_k(cands, k)

@@ -317,7 +317,7 @@ from trolley.plans.state import blocks_for, build_state  # noqa: E402
 def _neighbors(spark, d, k=50):
     from trolley.session import materialize
     p = load_purchases(spark, d)
-    return K.build_neighbors(materialize(EM.interactions(p)), k, num_blocks=blocks_for(p))
+    return K.build_neighbors(materialize(EM.interactions(p)), k)
 
 
 @register("sim_norms", S.with_ctes("""
@@ -348,7 +348,7 @@ def q_sim_pairs(spark, d):
     from trolley.session import materialize
     p = load_purchases(spark, d)
     I = materialize(EM.interactions(p))
-    return K.pair_similarities(I, K.build_neighbors(I, 50, num_blocks=blocks_for(p)))
+    return K.pair_similarities(I, K.build_neighbors(I, 50))
 
 
 @register("sim_topk", S.with_ctes("SELECT * FROM nbr", S.interactions_cte(), S.neighbors_cte(10)))
@@ -833,7 +833,7 @@ def q_idx_roundtrip(spark, d):
     from trolley.session import materialize
     p = load_purchases(spark, d)
     I = materialize(EM.interactions(p))
-    N = K.build_neighbors(I, 50, num_blocks=blocks_for(p))
+    N = K.build_neighbors(I, 50)
     path = CH.run_folder(spark, "index")
     save_index({"interactions": I, "norms": K.norms(I), "neighbors": N}, 50, path)
     parts, k = load_index(spark, path)

@@ -40,11 +40,12 @@ def build_state(p: Purchases, params: HyperParams = DEFAULT_PARAMS, k: int = DEF
     """The whole model. Interactions are materialised once (they feed the block sizing, the
     hot-row check, the neighbour build and maintenance); the rest stays lazy."""
     I = materialize(EM.interactions(p))
-    B = num_blocks if num_blocks is not None else blocks_for(p)
+    nnz, longest = K.row_stats(I)
+    B = num_blocks if num_blocks is not None else K.choose_blocks(I.sparkSession, nnz)
     return ModelState(
         purchases=p,
         interactions=I,
         embeddings=EM.embeddings(p, params, ordered),
-        neighbors=K.build_neighbors(I, k, num_blocks=B),
+        neighbors=K.build_neighbors(I, k, num_blocks=B, longest_row=longest),
         params=params, k=k, ordered=ordered, num_blocks=B,
     )

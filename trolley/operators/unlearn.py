@@ -29,7 +29,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.functions.expressions import top_n
 from trolley.operators import embeddings as EM
 from trolley.operators import similarity as K
 from trolley.operators.relational import baskets_of

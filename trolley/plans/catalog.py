@@ -311,7 +311,7 @@ def q_emb_lookup(spark, d):
 # ---------------------------------------------------------------------------------- similarity
 
 from trolley.operators import similarity as K  # noqa: E402
-from trolley.plans.state import blocks_for, build_state  # noqa: E402
+from trolley.plans.state import build_state  # noqa: E402
 
 
 def _neighbors(spark, d, k=50):

@@ -85,3 +85,21 @@ def test_keyed_state_embeddings_match_batch(spark):
     cols = ["user_id", "item_id", F.round("weight", 9).alias("w")]
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
+
+
+def test_maintain_stream_writes_impact(spark):
+    from tests.conftest import SF_SMALL
+    from trolley.operators import unlearn as U
+    from trolley.plans.state import build_state
+    from trolley.sources.purchases import load_purchases
+    from trolley.sources.store import read_version
+    from trolley.streaming import maintain as MT
+    p = load_purchases(spark, SF_SMALL)
+    root = CH.run_folder(spark, "test-maintain")
+    RQ.to_request_json(U.latest_line(p)).coalesce(1).write.text(f"{root}/in")
+    v = MT.maintain_stream(spark, build_state(p, k=10), f"{root}/in/*.txt", root)
+    assert v == 1
+    impact = read_version(spark, root, "impact", v).collect()
+    assert len(impact) == 1 and impact[0]["num_forgotten_items"] == 1
+    metrics = read_version(spark, root, "metrics", v).first()
+    assert metrics["num_accepted"] == 1 and metrics["num_malformed"] == 0

@@ -15,7 +15,7 @@ ORDERS = T.StructType([
     T.StructField("user_id", T.LongType()),
     T.StructField("order_dow", T.IntegerType()),
     T.StructField("order_hour_of_day", T.IntegerType()),
-    T.StructField("order_ts", T.TimestampType()),
+    T.StructField("order_ts", T.TimestampNTZType()),   # wall-clock order time, no zone
 ])
 ORDER_PRODUCTS = T.StructType([
     T.StructField("order_id", T.LongType()),

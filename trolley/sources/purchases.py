@@ -45,7 +45,7 @@ def load_purchases(spark: SparkSession, sf_dir: str) -> Purchases:
         F.col("o_custkey").cast("long").alias("user_id"),
         (F.dayofweek("o_orderdate") - 1).cast("int").alias("order_dow"),
         F.hour("o_orderdate").cast("int").alias("order_hour_of_day"),
-        F.col("o_orderdate").cast("timestamp").alias("order_ts"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("order_ts"),
     )
     li = table(spark, sf_dir, "lineitem")
     order_products = li.select(
@@ -69,7 +69,7 @@ def load_purchases(spark: SparkSession, sf_dir: str) -> Purchases:
 def purchases_from_frames(orders: DataFrame, order_products: DataFrame, products: DataFrame) -> Purchases:
     """Purchases from frames that already follow the contracts (e.g. the original instacart files)."""
     if "order_ts" not in orders.columns:
-        orders = orders.withColumn("order_ts", F.lit(None).cast("timestamp"))
+        orders = orders.withColumn("order_ts", F.lit(None).cast("timestamp_ntz"))
     if "department" not in products.columns:
         products = products.withColumn("department", F.lit(None).cast("string"))
     return Purchases(

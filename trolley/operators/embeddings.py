@@ -27,11 +27,14 @@ from trolley.sources.purchases import Purchases
 # ------------------------------------------------------------------------------ E1, E2
 
 def basket_items(p: Purchases, with_time: bool = False) -> DataFrame:
-    """Distinct ``(user_id, basket_id, item_id)``: a basket's items are a set (duplicates count once)."""
-    cols = ["order_id", "user_id"] + (["order_ts"] if with_time else [])
-    bi = p.order_products.join(p.orders.select(*cols), "order_id")
+    """Distinct ``(user_id, basket_id, item_id)``: a basket's items are a set (duplicates count once).
+
+    ``with_time`` adds the orders columns that give the basket order (``p.order_by``).
+    """
+    extra = list(p.order_by) if with_time else []
+    bi = p.order_products.join(p.orders.select("order_id", "user_id", *extra), "order_id")
     out = bi.select("user_id", F.col("order_id").alias("basket_id"),
-                    F.col("product_id").alias("item_id"), *(["order_ts"] if with_time else []))
+                    F.col("product_id").alias("item_id"), *extra)
     return out.distinct()
 
 
@@ -118,7 +121,7 @@ def embeddings_unordered(bi: DataFrame, params: HyperParams = DEFAULT_PARAMS) ->
 def embeddings(p: Purchases, params: HyperParams = DEFAULT_PARAMS, ordered: bool = False) -> DataFrame:
     """User embeddings from the purchase tables; ``ordered`` orders baskets by (time, id)."""
     if ordered:
-        return embeddings_general(basket_items(p, with_time=True), params, ["order_ts", "basket_id"])
+        return embeddings_general(basket_items(p, with_time=True), params, [*p.order_by, "basket_id"])
     return embeddings_unordered(basket_items(p), params)
 
 

@@ -55,7 +55,7 @@ def apply_deletions(p: Purchases, deletions: DataFrame) -> Purchases:
     """Remove every order line of a user holding a requested item; other tables unchanged."""
     gone = baskets_of(p, deletions).select("order_id", F.col("item_id").alias("product_id"))
     op = p.order_products.join(gone, ["order_id", "product_id"], "left_anti")
-    return Purchases(p.orders, op, p.products)
+    return p.with_(order_products=op)
 
 
 def vanished(I_old: DataFrame, I_new: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def updated_norms(I_new: DataFrame, changed: DataFrame) -> DataFrame:
 def refresh_embeddings(E_old: DataFrame, p_new: Purchases, changed: DataFrame, state: ModelState) -> DataFrame:
     """Recompute the changed users' vectors from their remaining lines; keep all other rows."""
     o = p_new.orders.join(changed, "user_id", "left_semi")
-    sub = Purchases(o, p_new.order_products.join(o.select("order_id"), "order_id", "left_semi"), p_new.products)
+    sub = p_new.with_(orders=o, order_products=p_new.order_products.join(o.select("order_id"), "order_id",
+                                                                          "left_semi"))
     fresh = EM.embeddings(sub, state.params, state.ordered)
     return E_old.join(changed, "user_id", "left_anti").unionByName(fresh)
 
@@ -256,8 +257,9 @@ def refresh_recommendations(old_recs: DataFrame, result: "ForgetResult", alpha:
 
 def latest_line(p: Purchases) -> DataFrame:
     """A one-row deletion set from the data: the item of the most recent order line."""
-    l = p.order_products.join(p.orders.select("order_id", "user_id", "order_ts"), "order_id")
-    return (l.orderBy(F.col("order_ts").desc(), F.col("order_id").desc(), F.col("product_id").desc())
+    l = p.order_products.join(p.orders.select("order_id", "user_id", *p.order_by), "order_id")
+    order = [F.col(c).desc() for c in p.order_by] + [F.col("order_id").desc(), F.col("product_id").desc()]
+    return (l.orderBy(*order)
             .limit(1).select("user_id", F.col("product_id").alias("item_id")))
 
 

@@ -12,7 +12,7 @@ the reader (``ReadSchema`` lists only the used columns).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,12 @@ class Purchases:
     orders: DataFrame          # order_id, user_id, order_dow, order_hour_of_day, order_ts
     order_products: DataFrame  # order_id, product_id
     products: DataFrame        # product_id, product_name, aisle_id, department
+    aisles: DataFrame | None = None        # aisle_id, aisle (names; loaded, used by R13)
+    departments: DataFrame | None = None   # department
+    order_by: tuple[str, ...] = ("order_ts",)   # orders columns giving the basket order
+
+    def with_(self, **kw) -> "Purchases":
+        return replace(self, **kw)
 
     def register(self, prefix: str = "") -> None:
         """Expose the three tables to ``spark.sql`` (temp views; no data is moved)."""
@@ -59,10 +65,43 @@ def load_purchases(spark: SparkSession, sf_dir: str) -> Purchases:
         F.substring("p_brand", 7, 8).cast("int").alias("aisle_id"),
         F.col("p_type").alias("department"),
     )
+    aisles = p.select(F.substring("p_brand", 7, 8).cast("int").alias("aisle_id"),
+                      F.col("p_brand").alias("aisle")).distinct()
+    departments = p.select(F.col("p_type").alias("department")).distinct()
+    return Purchases(
+        check_columns(orders, ORDERS, "orders"),
+        check_columns(order_products, ORDER_PRODUCTS, "order_products"),
+        check_columns(products, PRODUCTS, "products"),
+        aisles, departments, ("order_ts",),
+    )
+
+
+def load_instacart(spark: SparkSession, folder: str) -> Purchases:
+    """S1 for the original five-file purchase layout: ``orders``, ``order_products``, ``products``,
+    ``aisles`` and ``departments`` parquet files with their own column names.
+
+    The basket order is the user's ``order_number``; there is no order time.
+    """
+    def read(name):
+        return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    o = read("orders")
+    orders = o.select(
+        F.col("order_id").cast("long"), F.col("user_id").cast("long"),
+        F.col("order_dow").cast("int"), F.col("order_hour_of_day").cast("int"),
+        F.lit(None).cast("timestamp_ntz").alias("order_ts"),
+        F.col("order_number").cast("long"))
+    order_products = read("order_products").select(F.col("order_id").cast("long"),
+                                                   F.col("product_id").cast("long"))
+    departments = read("departments").select(F.col("department_id").cast("int"), "department")
+    products = (read("products").select(F.col("product_id").cast("long"), "product_name",
+                                        F.col("aisle_id").cast("int"), F.col("department_id").cast("int"))
+                .join(departments, "department_id", "left").drop("department_id"))
+    aisles = read("aisles").select(F.col("aisle_id").cast("int"), "aisle")
     return Purchases(
         check_columns(orders, ORDERS, "orders"),
         check_columns(order_products, ORDER_PRODUCTS, "order_products"),
         check_columns(products, PRODUCTS, "products"),
+        aisles, departments.select("department"), ("order_number",),
     )
 
 

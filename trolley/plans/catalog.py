@@ -510,15 +510,18 @@ def forget_run(spark, d, which: str = "recall"):
     what its query checks; the recall run uses the default rule (a rebuild when most rows are
     touched)."""
     key = (id(spark), d, which)
-    if key not in _FORGET_CACHE:
-        p = load_purchases(spark, d)
-        st = build_state(p)
-        st = st.with_(neighbors=st.neighbors.checkpoint(), embeddings=st.embeddings.checkpoint())
-        if which == "recall":
-            _FORGET_CACHE[key] = (st, U.forget(st, U.most_bought_item_deletions(p)))
-        else:
-            _FORGET_CACHE[key] = (st, U.forget(st, U.latest_line(p), rebuild_share=1.0))
-    return _FORGET_CACHE[key]
+    hit = _FORGET_CACHE.get(key)
+    if hit is not None and hit[0] is spark and spark.sparkContext._jsc is not None:
+        return hit[1]
+    p = load_purchases(spark, d)
+    st = build_state(p)
+    st = st.with_(neighbors=st.neighbors.checkpoint(), embeddings=st.embeddings.checkpoint())
+    if which == "recall":
+        res = U.forget(st, U.most_bought_item_deletions(p))
+    else:
+        res = U.forget(st, U.latest_line(p), rebuild_share=1.0)
+    _FORGET_CACHE[key] = (spark, (st, res))
+    return st, res
 
 
 def _checkpointed(spark):

@@ -71,3 +71,34 @@ def test_random_against_brute_force(spark):
     for blocks, hot in ((1, None), (4, None), (3, 5), (2, 0)):
         got = as_lists(K.build_neighbors(interactions(spark, rows), k=k, num_blocks=blocks, hot_threshold=hot))
         assert_lists(got, want)
+
+
+@pytest.mark.parametrize("cells,expansion", [(1 << 22, 1 << 23), (7, 3), (50, 1)])
+def test_kernel_chunking_matches_brute_force(monkeypatch, cells, expansion):
+    from trolley.functions import blockdot as BD
+    monkeypatch.setattr(BD, "MAX_CELLS", cells)
+    monkeypatch.setattr(BD, "MAX_EXPANSION", expansion)
+    rng = np.random.default_rng(11)
+    rows = [(u, i) for u in range(30) for i in sorted(set(rng.integers(0, 12, rng.integers(1, 9)).tolist()))]
+    u = np.array([r[0] for r in rows], dtype=np.int64)
+    i = np.array([r[1] for r in rows], dtype=np.int64)
+    x = np.ones(len(rows))
+    a, b = u < 15, u >= 15
+    left, right = BD._Side(u[a], i[a], x[a]), BD._Side(u[b], i[b], x[b])
+    (lo_o, lo_n, lo_s), (ro_o, ro_n, ro_s) = BD.block_scores(left, right, 3, right_topk=True)
+    X = np.zeros((30, 12))
+    X[u, i] = 1.0
+    nrm = np.sqrt((X * X).sum(1))
+
+    def want(owners, others):
+        out = {}
+        for o in owners:
+            c = sorted((-(X[o] @ X[v]) / (nrm[o] * nrm[v]), v) for v in others if X[o] @ X[v] > 0)
+            out.update({(o, v): -s for s, v in c[:3]})
+        return out
+    got_l = {(int(o), int(n)): s for o, n, s in zip(lo_o, lo_n, lo_s)}
+    got_r = {(int(o), int(n)): s for o, n, s in zip(ro_o, ro_n, ro_s)}
+    assert got_l.keys() == want(range(15), range(15, 30)).keys()
+    assert got_r.keys() == want(range(15, 30), range(15)).keys()
+    for (o, n), s in {**want(range(15), range(15, 30)), **want(range(15, 30), range(15))}.items():
+        assert (got_l.get((o, n)) or got_r.get((o, n))) == pytest.approx(s, abs=1e-12)

@@ -74,17 +74,28 @@ def block_scores(left: _Side, right: _Side, k: int, right_topk: bool):
             budget += per_user[u1]
             u1 += 1
         entries = by_user[row_start[u0]:row_start[u1]]
+        owner = user_of[row_start[u0]:row_start[u1]] - u0
         counts = fan[entries]
-        total = int(counts.sum())
-        if total:
-            rep = np.repeat(np.arange(entries.size), counts)
-            offs = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-            rpos = lo[entries][rep] + offs
-            lu = user_of[row_start[u0]:row_start[u1]][rep] - u0
-            rv = right.local_sorted[rpos]
-            w = left.values[entries][rep] * right.values_sorted[rpos]
-            cells = (u1 - u0) * n_right
-            acc = np.bincount(lu * n_right + rv, weights=w, minlength=cells)
+        cells = (u1 - u0) * n_right
+        acc = None
+        # expand in sub-batches of at most MAX_EXPANSION products (one entry expands to at most
+        # one block of users), so a long row crossed with popular items stays within memory
+        cum = np.cumsum(counts)
+        start = 0
+        while start < entries.size:
+            base = cum[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(cum, base + MAX_EXPANSION, side="right")))
+            sub, c = entries[start:end], counts[start:end]
+            total = int(c.sum())
+            if total:
+                rep = np.repeat(np.arange(sub.size), c)
+                offs = np.arange(total) - np.repeat(np.cumsum(c) - c, c)
+                rpos = lo[sub][rep] + offs
+                part = np.bincount(owner[start:end][rep] * n_right + right.local_sorted[rpos],
+                                   weights=left.values[sub][rep] * right.values_sorted[rpos], minlength=cells)
+                acc = part if acc is None else acc + part
+            start = end
+        if acc is not None:
             nz = np.flatnonzero(acc > 0)
             if nz.size:
                 a = nz // n_right + u0

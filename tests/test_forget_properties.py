@@ -73,3 +73,23 @@ def test_edge_cases_against_rebuild(spark):
     assert got_e == want_e
     assert 12 not in {u for u, _ in got_e}
     assert not res.state.neighbors.where((F.col("user_id") == 12) | (F.col("neighbor_id") == 12)).count()
+
+
+def test_empty_inputs(spark):
+    from tests.conftest import SF_SMALL
+    from trolley.operators import graph as G
+    from trolley.operators import relational as R
+    from trolley.sources.purchases import load_purchases
+    p = load_purchases(spark, SF_SMALL)
+    st = build_state(p, k=5)
+    st = st.with_(neighbors=st.neighbors.cache())
+    none = spark.createDataFrame([], "user_id long, item_id long")
+    res = U.forget(st, none, rebuild_share=2.0)
+    cols = ["user_id", "neighbor_id", "similarity", "rank"]
+    assert res.state.neighbors.select(*cols).exceptAll(st.neighbors.select(*cols)).count() == 0
+    assert res.state.neighbors.count() == st.neighbors.count()
+    no_users = spark.createDataFrame([], "user_id long")
+    assert R.top_aisles(p, spark.createDataFrame([], "cohort_id long, user_id long")).count() == 0
+    egos = G.ego_networks(p, st.neighbors, no_users, "alcohol")
+    assert egos["vertices"].count() == 0 and egos["top_aisles"].count() == 0
+    assert R.sensitive_users(p, "alcohol", users=no_users).count() == 0

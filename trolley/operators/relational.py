@@ -8,7 +8,7 @@ runtime size is under the broadcast threshold. Scenario aisle sets come from the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.functions.expressions import top_n
@@ -108,17 +108,12 @@ def top_aisles(p: Purchases, cohorts: DataFrame, n: int = 10, counts: DataFrame
     counts = counts if counts is not None else user_aisle_counts(p)
     per_aisle = (members.join(counts, "user_id")
                  .groupBy("cohort_id", "aisle_id").agg(F.sum("cnt").alias("cnt")))
-    total = F.sum("cnt").over(_cohort_window())
+    total = F.sum("cnt").over(Window.partitionBy("cohort_id"))
     shares = per_aisle.withColumn("normalized_count", F.col("cnt").cast("double") / total.cast("double"))
     return top_n(shares, ["cohort_id"], [F.col("normalized_count").desc(), F.col("aisle_id")], n) \
         .select("cohort_id", "aisle_id", "normalized_count", "rank")
 
 
-def _cohort_window():
-    from pyspark.sql import Window
-    return Window.partitionBy("cohort_id")
-
-
 def baskets_of(p: Purchases, deletions: DataFrame) -> DataFrame:
     """For each ``(user_id, item_id)`` the baskets that hold the item (distinct order ids)."""
     d = deletions.select("user_id", F.col("item_id").alias("product_id")).distinct()

@@ -31,6 +31,7 @@ from trolley.session import parallelism
 PAIR_SCHEMA = "user_id long, neighbor_id long, similarity double"
 ROWS_PER_BLOCK = 250_000
 ROWS_PER_BLOCK_CONF = "trolley.similarity.rowsPerBlock"
+MIN_BLOCK_ROWS = 10_000
 
 
 def rows_per_block(spark) -> int:
@@ -68,6 +69,7 @@ def choose_blocks(spark, nnz: int, rows: int | None = None) -> int:
     by_size = math.ceil(max(1, nnz) / (rows or rows_per_block(spark)))
     slots = parallelism(spark)
     by_slots = math.ceil((math.sqrt(16 * slots + 1) - 1) / 2)   # B(B+1)/2 >= 2 * slots
+    by_slots = min(by_slots, math.ceil(max(1, nnz) / MIN_BLOCK_ROWS))   # no blocks of a few rows
     return max(1, by_size, by_slots)
 
 

@@ -224,11 +224,12 @@ def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUI
     t1 = time.time()
     E_new = refresh_embeddings(state.embeddings, p_new, changed, state)
     t2 = time.time()
-    nnz = p_old.order_products.count()
+    nnz = state.nnz if state.nnz is not None else state.interactions.count()
     m = maintain_neighbors(state.neighbors, state.interactions, I_new, changed, state.k, state.num_blocks, nnz,
                            rebuild_share)
     t3 = time.time()
-    new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors)
+    new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors,
+                            nnz=nnz - accepted.count())   # accepted pairs are exactly the vanished ones
     return ForgetResult(new_state, accepted, rejected, changed, m,
                         {"database_update": int((t1 - t0) * 1000), "embedding_update": int((t2 - t1) * 1000),
                          "topk_index_update": int((t3 - t2) * 1000)},

@@ -23,6 +23,7 @@ class ModelState:
     k: int = DEFAULT_K
     ordered: bool = False
     num_blocks: int = 1
+    nnz: int | None = None    # number of interactions when the state was built
 
     def with_(self, **kw) -> "ModelState":
         return replace(self, **kw)
@@ -47,5 +48,5 @@ def build_state(p: Purchases, params: HyperParams = DEFAULT_PARAMS, k: int = DEF
         interactions=I,
         embeddings=EM.embeddings(p, params, ordered),
         neighbors=K.build_neighbors(I, k, num_blocks=B, longest_row=longest),
-        params=params, k=k, ordered=ordered, num_blocks=B,
+        params=params, k=k, ordered=ordered, num_blocks=B, nnz=nnz,
     )

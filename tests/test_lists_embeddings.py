@@ -116,3 +116,11 @@ def test_range_numbering_matches_window(spark):
     w = Window.partitionBy("user_id").orderBy("ts", "basket_id")
     want = {(r["user_id"], r["basket_id"]): r["p"] for r in df.select("*", F.row_number().over(w).alias("p")).collect()}
     assert got == want
+
+
+def test_discretise_roundtrip(spark):
+    e = spark.createDataFrame([(1, 1, 0.123456789012345), (1, 2, 1.0)], "user_id long, item_id long, weight double")
+    d = EM.discretise(e)
+    assert [r["weight"] for r in d.orderBy("item_id").collect()] == [123456789012345, 1000000000000000]
+    back = [r["weight"] for r in EM.restore(d).orderBy("item_id").collect()]
+    assert back == pytest.approx([0.123456789012345, 1.0], abs=1e-15)

@@ -155,7 +155,3 @@ def aisles_dimension(sf_part: DataFrame) -> DataFrame:
     return (sf_part.select(F.substring("p_brand", 7, 8).cast("int").alias("aisle_id"),
                            F.col("p_brand").alias("aisle"))
             .distinct())
-
-
-def departments_dimension(sf_part: DataFrame) -> DataFrame:
-    return sf_part.select(F.col("p_type").alias("department")).distinct()

@@ -33,6 +33,7 @@ from trolley.operators import embeddings as EM
 from trolley.operators import similarity as K
 from trolley.operators.relational import baskets_of
 from trolley.plans.state import ModelState
+from trolley.schema import EMBEDDINGS, INTERACTIONS, NEIGHBORS, check_columns
 from trolley.session import checkpoint_root, parallelism
 from trolley.sources.purchases import Purchases
 
@@ -214,6 +215,9 @@ def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUI
     returned frames stay lazy.
     """
     checkpoint_root(state.interactions.sparkSession)
+    check_columns(state.interactions, INTERACTIONS, "interactions")
+    check_columns(state.embeddings, EMBEDDINGS, "embeddings")
+    check_columns(state.neighbors, NEIGHBORS, "neighbors")
     t0 = time.time()
     p_old = state.purchases
     accepted, rejected = split_requests(state.interactions, deletions)

@@ -8,8 +8,6 @@ The root lives under the cluster's shared ``spark.checkpoint.dir`` unless a call
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.session import checkpoint_root
@@ -52,20 +50,6 @@ def read_version_or_none(spark: SparkSession, root: str, table: str, version: in
     return read_version(spark, root, table, version) if version_exists(spark, root, table, version) else None
 
 
-def latest_version(root: str, table: str) -> int | None:
-    """Highest committed version (a ``_SUCCESS`` marker exists); local or mounted shared paths."""
-    base = f"{root.rstrip('/')}/{table}"
-    if base.startswith("file:"):
-        base = base[5:]
-    if not os.path.isdir(base):
-        return None
-    done = []
-    for entry in os.listdir(base):
-        if entry.startswith("v=") and os.path.exists(os.path.join(base, entry, "_SUCCESS")):
-            done.append(int(entry[2:]))
-    return max(done) if done else None
-
-
 def save_index(index: dict[str, DataFrame], k: int, path: str) -> None:
     """Write interactions, squared norms and neighbour lists, plus a one-row meta table."""
     spark = index["neighbors"].sparkSession

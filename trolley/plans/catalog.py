@@ -633,9 +633,50 @@ def q_unl_forget(spark, d):
     return _rounded(P.recommend(new.neighbors, new.embeddings), "score")
 
 
-@register("unl_counters")
+# The merge rule of the incremental maintenance written out in SQL for the single-deletion run:
+# kept = old list minus changed users, cand = best 50 changed users by new similarity, merged =
+# top 50 of both; exact when the old list was short, or when merged is full and its last entry does
+# not rank after the old last one.
+COUNTER_CTES = (
+    "chg AS (SELECT DISTINCT user_id FROM del)",
+    AFFECTED_CTE,
+    "nsq2 AS (SELECT user_id, SUM(value * value) AS nsq FROM inter2 GROUP BY user_id)",
+    """cand AS (SELECT user_id, neighbor_id, similarity FROM (
+         SELECT s.*, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, neighbor_id) AS r FROM (
+           SELECT a.user_id, c.user_id AS neighbor_id,
+                  SUM(a.value * c.value) / (sqrt(na.nsq) * sqrt(nc.nsq)) AS similarity
+           FROM inter2 a JOIN inter2 c ON a.item_id = c.item_id
+                JOIN nsq2 na ON na.user_id = a.user_id JOIN nsq2 nc ON nc.user_id = c.user_id
+           WHERE a.user_id IN (SELECT user_id FROM aff) AND c.user_id IN (SELECT user_id FROM chg)
+           GROUP BY a.user_id, c.user_id, na.nsq, nc.nsq) s) t WHERE r <= 50)""",
+    """merged AS (SELECT user_id, neighbor_id, similarity, rank FROM (
+         SELECT u.*, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, neighbor_id) AS rank FROM (
+           SELECT user_id, neighbor_id, similarity FROM nbr
+           WHERE user_id IN (SELECT user_id FROM aff) AND neighbor_id NOT IN (SELECT user_id FROM chg)
+           UNION ALL SELECT user_id, neighbor_id, similarity FROM cand) u) t WHERE rank <= 50)""",
+    """lab AS (SELECT a.user_id,
+         CASE WHEN NOT (COALESCE(o.n, 0) < 50 OR (COALESCE(m.n, 0) = 50 AND (m.s > o.s OR (m.s = o.s AND m.v <= o.v))))
+              THEN 'recompute'
+              WHEN COALESCE(x.same, 0) = COALESCE(o.n, 0) AND COALESCE(m.n, 0) = COALESCE(o.n, 0) THEN 'unchanged'
+              ELSE 'updated' END AS label
+       FROM aff a
+       LEFT JOIN (SELECT user_id, COUNT(*) AS n, MAX(CASE WHEN rank = 50 THEN similarity END) AS s,
+                         MAX(CASE WHEN rank = 50 THEN neighbor_id END) AS v
+                  FROM nbr WHERE user_id IN (SELECT user_id FROM aff) GROUP BY user_id) o ON o.user_id = a.user_id
+       LEFT JOIN (SELECT user_id, COUNT(*) AS n, MAX(CASE WHEN rank = 50 THEN similarity END) AS s,
+                         MAX(CASE WHEN rank = 50 THEN neighbor_id END) AS v
+                  FROM merged GROUP BY user_id) m ON m.user_id = a.user_id
+       LEFT JOIN (SELECT m.user_id, COUNT(*) AS same FROM merged m JOIN nbr n
+                  ON n.user_id = m.user_id AND n.neighbor_id = m.neighbor_id AND n.similarity = m.similarity
+                  GROUP BY m.user_id) x ON x.user_id = a.user_id)""",
+)
+
+
+@register("unl_counters", S.with_ctes("SELECT label, COUNT(*) AS num_users FROM lab GROUP BY label",
+                                      *LATEST_CTES, S.interactions_cte(), S.neighbors_cte(50),
+                                      S.interactions_cte("ln2", "inter2"), *COUNTER_CTES))
 def q_unl_counters(spark, d):
-    st, res = _run(spark, d)
+    st, res = _run(spark, d, "latest")
     return U.counters(res.maintenance.labels)
 
 

@@ -277,9 +277,10 @@ def most_bought_item_deletions(p: Purchases) -> DataFrame:
     return (l.join(top, "product_id").select("user_id", F.col("product_id").alias("item_id")).distinct())
 
 
-def impact_summary(result: ForgetResult, old_recs: DataFrame, new_recs: DataFrame,
-                   diffs: dict[str, DataFrame]) -> DataFrame:
-    """U16: one summary row per changed user (counts of each difference set plus batch timings)."""
+def impact_summary(result: ForgetResult, old_recs: DataFrame | None, new_recs: DataFrame | None,
+                   diffs: dict[str, DataFrame], with_timings: bool = True) -> DataFrame:
+    """U16: one summary row per changed user: forgotten items, baskets touched, the size of each
+    difference set and (optionally) the batch's driver-side timings."""
     acc = result.accepted.groupBy("user_id").agg(F.count(F.lit(1)).alias("num_forgotten_items"))
     out = acc
     if result.baskets is not None:
@@ -288,6 +289,7 @@ def impact_summary(result: ForgetResult, old_recs: DataFrame, new_recs: DataFram
     for name, d in diffs.items():
         out = out.join(d.groupBy("user_id").agg(F.count(F.lit(1)).alias(f"num_{name}_changes")), "user_id", "left")
     out = out.fillna(0)
-    for name, ms in result.durations_ms.items():
-        out = out.withColumn(f"{name}_ms", F.lit(int(ms)))
+    if with_timings:
+        for name, ms in result.durations_ms.items():
+            out = out.withColumn(f"{name}_ms", F.lit(int(ms)))
     return out

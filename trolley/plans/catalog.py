@@ -777,7 +777,25 @@ def q_diff_report(spark, d):
     return DF.change_report(res.state.purchases, diff, "alcohol")
 
 
-@register("unl_impact")
+EMB_DIFF_SQL = f"""
+SELECT o.user_id, o.item_id, COALESCE({S.q('n.weight')}, 0.0) - {S.q('o.weight')} AS delta
+FROM emb o LEFT JOIN emb2 n ON n.user_id = o.user_id AND n.item_id = o.item_id
+WHERE o.user_id IN (SELECT user_id FROM chg)
+  AND COALESCE({S.q('n.weight')}, 0.0) - {S.q('o.weight')} <> 0"""
+
+
+@register("unl_impact", S.with_ctes(f"""
+SELECT a.user_id, a.num_forgotten_items, COALESCE(b.n, 0) AS num_baskets,
+       COALESCE(e.n, 0) AS num_embedding_changes, COALESCE(r.n, 0) AS num_recommendation_changes,
+       COALESCE(j.n, 0) AS num_adjacent_changes
+FROM (SELECT user_id, COUNT(*) AS num_forgotten_items FROM del GROUP BY user_id) a
+LEFT JOIN (SELECT ln.user_id, COUNT(DISTINCT ln.order_id) AS n FROM ln
+           JOIN del ON del.user_id = ln.user_id AND del.item_id = ln.product_id GROUP BY ln.user_id) b
+       ON b.user_id = a.user_id
+LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM ({EMB_DIFF_SQL}) t GROUP BY user_id) e ON e.user_id = a.user_id
+LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM ({REC_DIFF_SQL}) t GROUP BY user_id) r ON r.user_id = a.user_id
+LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM ({OUT_DIFF_SQL}) t GROUP BY user_id) j ON j.user_id = a.user_id""",
+                                    *UNL_CTES))
 def q_unl_impact(spark, d):
     st, res = _run(spark, d)
     c = res.changed
@@ -787,7 +805,7 @@ def q_unl_impact(spark, d):
         "adjacent": DF.keyed_diff(K.neighbors_of(st.neighbors, c), K.neighbors_of(res.state.neighbors, c),
                                   ["user_id", "neighbor_id"], "similarity"),
     }
-    return U.impact_summary(res, None, None, diffs)
+    return U.impact_summary(res, None, None, diffs, with_timings=False)
 
 
 # ------------------------------------------------------------------------------------- streaming

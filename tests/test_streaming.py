@@ -103,3 +103,20 @@ def test_maintain_stream_writes_impact(spark):
     assert len(impact) == 1 and impact[0]["num_forgotten_items"] == 1
     metrics = read_version(spark, root, "metrics", v).first()
     assert metrics["num_accepted"] == 1 and metrics["num_malformed"] == 0
+
+
+def test_answer_requests(spark):
+    from tests.conftest import SF_SMALL
+    from trolley.plans.state import build_state
+    from trolley.sources.purchases import load_purchases
+    p = load_purchases(spark, SF_SMALL)
+    st = build_state(p, k=5)
+    lines = ['{"Purchases": {"user_id": 1}}', '{"Recommendations": {"user_id": 1}}',
+             '{"ModelState": {"user_id": 1, "scenario": "Alcohol"}}', 'oops']
+    parsed = RQ.parse_requests(spark.createDataFrame([(x,) for x in lines], "value string"))
+    out = RQ.answer_requests(st, parsed)
+    assert out["purchases"].where("user_id = 1").count() == out["purchases"].count() > 0
+    assert 0 < out["recommendations"].count() <= 20
+    assert out["embeddings"].count() > 0 and out["rejected"].count() == 1
+    assert out["ego_vertices"].where("ego_id = 1 AND user_id = 1").count() == 1
+    assert set(r["scenario"] for r in out["ego_sensitive"].collect()) == {"alcohol"}

@@ -63,3 +63,37 @@ def to_request_json(deletions: DataFrame) -> DataFrame:
     """Encode ``(user_id, item_id)`` rows as deletion-request text lines (column ``value``)."""
     return deletions.select(F.to_json(F.struct(
         F.struct(F.col("user_id"), F.col("item_id")).alias("PurchaseDeletion"))).alias("value"))
+
+
+def answer_requests(state, parsed: DataFrame, alpha: float = 0.1, n: int = 20) -> dict[str, DataFrame]:
+    """Answer a batch of parsed read requests with one plan per request kind.
+
+    ``Purchases`` -> purchase history rows, ``Recommendations`` -> top-n items,
+    ``ModelState`` -> embedding rows plus the ego network's vertices, edges, sensitive flags and
+    top aisles per (user, scenario). Each answer is keyed by ``user_id`` (and ``scenario``);
+    deletions are applied by ``unlearn.forget``, malformed rows are returned under ``rejected``.
+    Works in ``foreachBatch`` as well as on a batch of requests.
+    """
+    from trolley.operators import embeddings as EM
+    from trolley.operators import graph as G
+    from trolley.operators import recommend as P
+    from trolley.operators import relational as R
+
+    def users(kind: str) -> DataFrame:
+        return parsed.where(F.col("kind") == kind).select("user_id").distinct()
+
+    p = state.purchases
+    out = {
+        "purchases": R.purchase_history(p, users("Purchases")),
+        "recommendations": P.recommend(state.neighbors, state.embeddings, alpha, n, users("Recommendations")),
+        "embeddings": EM.embeddings_of(state.embeddings, users("ModelState")),
+        "rejected": parsed.where(F.col("kind").isNull()).select("raw", "error"),
+    }
+    model = parsed.where(F.col("kind") == "ModelState").select("user_id", F.lower("scenario").alias("scenario"))
+    for scenario in SCENARIOS:   # one ego-network plan per scenario name (a fixed, small set)
+        asked = model.where(F.col("scenario") == scenario.lower()).select("user_id")
+        for part, df in G.ego_networks(p, state.neighbors, asked, scenario.lower()).items():
+            key = f"ego_{part}"
+            tagged = df.withColumn("scenario", F.lit(scenario.lower()))
+            out[key] = tagged if key not in out else out[key].unionByName(tagged)
+    return out

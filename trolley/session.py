@@ -8,7 +8,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "trolley") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "trolley",
+                  event_log_dir: str | None = None) -> SparkSession:
     """Session for tests and the local benchmark. On a cluster, build the session there instead.
 
     AQE stays on so that joins against cohort tables turn into broadcasts only when the runtime
@@ -29,6 +30,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("TROLLEY_DRIVER_MEMORY", "16g"))
         .config("spark.python.unix.domain.socket.enabled", "true")
     )
+    if event_log_dir:   # stage and task times without the UI: Spark's event log in a scratch folder
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -66,3 +66,22 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
                 yield fn(part.reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
+
+
+def bitmap(keys: DataFrame, hash_col: str, log2_bits: int = 22) -> DataFrame:
+    """``(word, bits)``: a bitmap of 64-bit hashes. Its size is fixed: at most 2^(log2_bits-6) rows."""
+    at = F.pmod(F.col(hash_col), F.lit(1 << log2_bits))
+    return (keys.select((at / 64).cast("long").alias("word"), (at % 64).cast("int").alias("bit"))
+            .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")))
+
+
+def split_by_bitmap(df: DataFrame, hash_col: str, bits: DataFrame, log2_bits: int = 22) -> DataFrame:
+    """``df`` plus boolean ``maybe``: false only for hashes that were not among the bitmap's keys.
+
+    The bitmap is broadcast; its size does not depend on the data.
+    """
+    at = F.pmod(F.col(hash_col), F.lit(1 << log2_bits))
+    side = F.broadcast(bits.withColumnRenamed("word", "bitmap_word").withColumnRenamed("bits", "bitmap_bits"))
+    hit = F.expr(f"coalesce((shiftrightunsigned(bitmap_bits, cast(pmod({hash_col}, {1 << log2_bits}L) % 64 as int)) & 1) = 1, false)")
+    return (df.join(side, (at / 64).cast("long") == F.col("bitmap_word"), "left")
+            .withColumn("maybe", hit).drop("bitmap_word", "bitmap_bits"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.llm import quality, sentencepiece_bpe, simhash
+from trolley.llm import html_extract, langid, quality, sentencepiece_bpe, simhash, urlfilter, warc
 from trolley.llm.common import table
 
 
@@ -22,6 +22,24 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.new_archive(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), root)
+    return warc.read_archive(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +50,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_language": op4_language,
+    "op5_warc": op5_warc,
+    "op6_urlfilter": op6_urlfilter,
+    "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), d AS (
+            SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest
+            FROM p
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+    "op6_urlfilter": """
+        WITH u AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+            FROM pages
+        ), r(action, rule_host, rule_path) AS (
+            VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+                   ('allow', 'org', '/fr/')
+        ), fit AS (
+            SELECT page_id, action, rule_host || rule_path AS rule
+            FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        ), best AS (
+            SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+            FROM fit GROUP BY page_id
+        )
+        SELECT u.page_id, host, path, rule,
+               coalesce(action, CASE WHEN regexp_matches(host,
+                   '(^|[.])([^.]*-)?(adult|bets|casino|gambling|pills|porn|spam|xxx)(-[^.]*)?[.]') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN best USING (page_id)""",
+}

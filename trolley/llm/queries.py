@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.llm import html_extract, langid, quality, sentencepiece_bpe, simhash, urlfilter, warc
+from trolley.llm import (decontaminate, html_extract, langid, line_dedup, quality, secrets, sentencepiece_bpe, simhash,
+                         urlfilter, warc)
 from trolley.llm.common import table
 
 
@@ -17,6 +18,15 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), piece_model())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
@@ -36,6 +46,11 @@ def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(secrets.scan(docs, secrets.train(docs)))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -49,10 +64,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
     "op6_urlfilter": op6_urlfilter,
+    "op7_secrets": op7_secrets,
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,

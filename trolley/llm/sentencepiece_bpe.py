@@ -2,9 +2,10 @@
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by piece score (best first, then leftmost)
 and merges until no pair is a piece; what stays outside the vocabulary becomes byte pieces.
-No piece holds the space mark after another character, so merges never cross from a word into the
-next space mark: a text is cut there, and each distinct cut is merged once per worker and kept in a
-bounded memo. In every Arrow batch the cuts merged anew are checked against the sentencepiece
+A merge never crosses a place that no piece crosses. No piece of the vocabulary holds the space mark
+after another character, or a letter of an alphabet next to any other character (both are checked when it
+is loaded), so a text is cut there, and each distinct cut is merged once per worker while a bounded
+memo keeps it. In every Arrow batch the cuts merged anew are checked against the sentencepiece
 library, and the whole ids are decoded by it.
 """
 
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from trolley.llm.common import map_batches
 
 SPACE = "▁"
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000   # of each of two generations
 MEMO_CHARS = 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded string, agrees boolean"
-_CUT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+GUARD = "\n"            # stands before a cut in checks; no piece joins it to anything
+_WORD = "A-Za-z\u00c0-\u1fff"   # letters of alphabets, with their marks
+_CUT = re.compile(f"{SPACE}*[{_WORD}]+|{SPACE}*[^{_WORD}{SPACE}]+|{SPACE}+")
 _LOADED: dict[str, "Vocabulary"] = {}
 
 
@@ -35,7 +38,7 @@ class Vocabulary:
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        scores: dict[str, float] = {}
         self.bytes = [lib.unk_id()] * 256
         for i in range(lib.get_piece_size()):
             piece = lib.id_to_piece(i)
@@ -43,68 +46,92 @@ class Vocabulary:
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 self.ids[piece] = i
-                self.scores[piece] = lib.get_score(i)
-        self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+                scores[piece] = lib.get_score(i)
+        if any(len(_CUT.findall(p)) > 1 or GUARD in p for p in self.ids):
+            raise ValueError(f"{model_file}: a piece crosses the places where texts are cut")
+        order = {x: r for r, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {piece: order[x] for piece, x in scores.items()}   # equal scores: leftmost pair first
         self.end = lib.eos_id()
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.guard_ids = self.merge(SPACE + GUARD)
 
     def merge(self, text: str) -> list[int]:
         """Ids of marked text by the agenda: pop the best pair, join it, offer its new neighbours."""
-        part = list(text)
-        after = list(range(1, len(part))) + [-1]
-        before = list(range(-1, len(part) - 1))
-        scores, agenda = self.scores, []
-
-        def offer(left: int, right: int) -> None:
-            joined = part[left] + part[right]
-            score = scores.get(joined)
-            if score is not None:
-                heapq.heappush(agenda, (-score, left, right, joined))
-
-        for left in range(len(part) - 1):
-            offer(left, left + 1)
+        part: list[str] = list(text)
+        n = len(part)
+        rank, push, pop = self.rank, heapq.heappush, heapq.heappop
+        agenda = []
+        for left in range(n - 1):
+            joined = part[left] + part[left + 1]
+            r = rank.get(joined)
+            if r is not None:
+                agenda.append((r, left, left + 1, joined))
+        heapq.heapify(agenda)
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
         while agenda:
-            _, left, right, joined = heapq.heappop(agenda)
-            if not part[left] or not part[right] or part[left] + part[right] != joined or after[left] != right:
-                continue
+            _, left, right, joined = pop(agenda)
+            a, b = part[left], part[right]
+            if not a or not b or len(a) + len(b) != len(joined):
+                continue   # one of the two was merged since
             part[left], part[right] = joined, ""
             nxt = after[left] = after[right]
-            if nxt >= 0:
+            if nxt < n:
                 before[nxt] = left
-                offer(left, nxt)
-            if before[left] >= 0:
-                offer(before[left], left)
-        out: list[int] = []
+                more = joined + part[nxt]
+                r = rank.get(more)
+                if r is not None:
+                    push(agenda, (r, left, nxt, more))
+            prv = before[left]
+            if prv >= 0:
+                more = part[prv] + joined
+                r = rank.get(more)
+                if r is not None:
+                    push(agenda, (r, prv, left, more))
+        ids, out = self.ids, []
         for piece in part:
             if piece:
-                known = self.ids.get(piece)
-                out.extend([known] if known is not None else [self.bytes[b] for b in piece.encode()])
+                known = ids.get(piece)
+                if known is not None:
+                    out.append(known)
+                else:
+                    out.extend([self.bytes[b] for b in piece.encode()])
         return out
 
     def encode(self, text: str, fresh: dict[str, list[int]]) -> list[int]:
         """Ids of a whole text with the end id; cuts merged now are added to ``fresh``."""
         out: list[int] = []
         if text:
-            marked = SPACE + text.replace(" ", SPACE)
             memo = self.memo
-            for cut in _CUT.findall(marked) if self.cuttable else [marked]:
+            for cut in _CUT.findall(SPACE + text.replace(" ", SPACE)):
                 ids = memo.get(cut)
                 if ids is None:
-                    ids = fresh[cut] = self.merge(cut)
-                    if len(cut) <= MEMO_CHARS:
-                        if len(memo) >= MEMO_ENTRIES:
-                            memo.clear()
-                        memo[cut] = ids
+                    ids = memo[cut] = self._recall(cut, fresh)
+                    if len(memo) >= MEMO_ENTRIES:
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
+                    elif len(cut) > MEMO_CHARS:
+                        del memo[cut]
                 out += ids
         out.append(self.end)
         return out
 
+    def _recall(self, cut: str, fresh: dict[str, list[int]]) -> list[int]:
+        ids = self.older.get(cut)
+        if ids is None:
+            ids = fresh[cut] = self.merge(cut)
+        return ids
+
+    def forget(self, cut: str) -> None:
+        self.memo.pop(cut, None)
+        self.older.pop(cut, None)
+
     def wrong(self, fresh: dict[str, list[int]]) -> set[str]:
-        """The cuts whose ids differ from the library's. It adds the leading mark by itself."""
-        cuts = [c for c in fresh if c[0] == SPACE]
-        theirs = self.library.encode([c[1:] for c in cuts], num_threads=1) if cuts else []
-        # a lone mark is what the library makes of nothing: it returns no ids there
-        return {c for c, ids in zip(cuts, theirs) if ids != fresh[c] and c != SPACE}
+        """The cuts whose ids differ from the library's, which sees each cut after the guard."""
+        cuts = list(fresh)
+        theirs = self.library.encode([GUARD + c.replace(SPACE, " ") for c in cuts], num_threads=1) if cuts else []
+        return {c for c, ids in zip(cuts, theirs) if ids != self.guard_ids + fresh[c]}
 
 
 def vocabulary(model_file: str) -> Vocabulary:
@@ -125,7 +152,7 @@ def _encode_batch(pdf: pd.DataFrame, model_file: str, with_text: bool) -> pd.Dat
         fresh |= new
     wrong = v.wrong(fresh)
     for cut in wrong:
-        v.memo.pop(cut, None)   # so that every text holding it is checked, and told, again
+        v.forget(cut)   # so that every text holding it is checked, and told, again
     decoded = [v.library.decode(ids) for ids in encoded]
     out = pd.DataFrame({
         "doc_id": pdf["doc_id"].astype("Int64"),

@@ -1,0 +1,71 @@
+import hashlib
+import re
+
+from trolley.llm import decontaminate as D
+
+WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+ITEM = "Étude one Two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def brute(docs, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[i:i + n]), set()).add(item)
+    out = []
+    for doc, text in docs:
+        w = words(text)
+        hit, found = set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i:i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= {str(x) for x in windows[tuple(w[i:i + n])] if x is not None}
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc, len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+DOC_ROWS = [
+    (1, None), (2, ""), (3, "..."), (4, "clean words only"), (5, ITEM), (5, ITEM), (None, ITEM),
+    (6, "x " * 300 + ITEM + " y" * 10), (7, "x " * 200 + ITEM.upper()), (8, ITEM.replace("six", "sex")),
+    (9, "tiny item"), (10, "a tiny item, and tiny item"), (11, "a " * 40), (12, "étude one two"),
+    (13, " ".join(f"w{i}" for i in range(3000)) + " " + ITEM),
+]
+ITEM_ROWS = [(10, ITEM), (2, ITEM), (3, None), (4, ""), (5, "tiny item"), (6, "a " * 20), (None, "clean words only"), (7, "?!")]
+
+
+def run(spark, docs_of, **kw):
+    items = spark.createDataFrame(ITEM_ROWS, "item_id long, text string")
+    got = D.report(D.contamination(docs_of(DOC_ROWS), items, **kw)).collect()
+    return sorted((tuple(r) for r in got), key=repr)
+
+
+def test_matches_brute_force(spark, docs_of):
+    assert run(spark, docs_of) == brute(DOC_ROWS, ITEM_ROWS)
+
+
+def test_shuffled_fingerprints_give_the_same(spark, docs_of):
+    assert run(spark, docs_of, max_broadcast=0) == brute(DOC_ROWS, ITEM_ROWS)
+
+
+def test_drop_keeps_clean_rows_and_columns(spark, docs_of):
+    docs = docs_of(DOC_ROWS)
+    items = spark.createDataFrame(ITEM_ROWS, "item_id long, text string")
+    kept = D.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    bad = {r[0] for r in brute(DOC_ROWS, ITEM_ROWS) if r[-1]}
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, _ in DOC_ROWS if i not in bad), key=repr)
+
+
+def test_empty_tables(spark, docs_of):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert not any(r.contaminated for r in D.contamination(docs_of(DOC_ROWS), none).collect())
+    assert D.contamination(docs_of([]), none).count() == 0

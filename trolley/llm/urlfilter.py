@@ -58,7 +58,7 @@ class Level:
         """h: the two hashes of each key (n x 2)."""
         bits = np.uint64(len(self.words) * 64 - 1)
         step = h[:, 1] | np.uint64(1)
-        start = h[:, 0] ^ (np.uint64(self.salt + 1) * np.uint64(0x9E3779B97F4A7C15))
+        start = h[:, 0] ^ np.uint64((self.salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         start ^= start >> np.uint64(29)
         start *= np.uint64(0xBF58476D1CE4E5B9)
         start ^= start >> np.uint64(32)

@@ -29,3 +29,18 @@ def test_names():
     import __spark_entry__ as E
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
     assert importlib.util.find_spec("corpus_pipeline")
+
+
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from scripts.check_oracle import digest
+    duck = duckdb.connect()
+    for name in ("documents", "pages", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SMOKE}/{name}.parquet')")
+    for name, sql in SQL.items():
+        df = QUERIES[name](spark, SMOKE)
+        found = duck.execute(sql)
+        columns = [d[0] for d in found.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(columns, found.fetchall())[0], name

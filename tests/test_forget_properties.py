@@ -39,8 +39,7 @@ def test_random_deletion_sequences(spark, seed):
         dels = spark.createDataFrame(pick, "user_id long, item_id long")
         acc, _ = U.split_requests(I, dels)
         I_new = I.join(acc, ["user_id", "item_id"], "left_anti")
-        m = U.maintain_neighbors(N, I, I_new, acc.select("user_id").distinct(), k, 2, nnz=len(rows),
-                                 rebuild_share=2.0)
+        m = U.maintain_neighbors(N, I, I_new, acc.select("user_id").distinct(), k, 2)
         live -= set(pick)
         want = as_lists(K.build_neighbors(frame(spark, sorted(live)), k, num_blocks=1))
         assert rounded(as_lists(m.neighbors)) == rounded(want)
@@ -61,7 +60,7 @@ def test_edge_cases_against_rebuild(spark):
     # duplicate line (10, 100); emptied basket 2 and emptied user 12; same request twice; absent pair
     dels = spark.createDataFrame([(10, 100), (10, 100), (10, 102), (12, 103), (11, 999)],
                                  "user_id long, item_id long")
-    res = U.forget(st, dels, rebuild_share=2.0)
+    res = U.forget(st, dels)
     assert sorted(tuple(r) for r in res.rejected.select("user_id", "item_id").collect()) == [(11, 999)]
     assert sorted(r["user_id"] for r in res.changed.collect()) == [10, 12]
     left = sorted(tuple(r) for r in res.state.purchases.order_products.collect())
@@ -84,7 +83,7 @@ def test_empty_inputs(spark):
     st = build_state(p, k=5)
     st = st.with_(neighbors=st.neighbors.cache())
     none = spark.createDataFrame([], "user_id long, item_id long")
-    res = U.forget(st, none, rebuild_share=2.0)
+    res = U.forget(st, none)
     cols = ["user_id", "neighbor_id", "similarity", "rank"]
     assert res.state.neighbors.select(*cols).exceptAll(st.neighbors.select(*cols)).count() == 0
     assert res.state.neighbors.count() == st.neighbors.count()

@@ -112,7 +112,7 @@ def test_range_numbering_matches_window(spark):
     rows = [(u, b, (b * 7919) % 101) for u in (1, 2, 3) for b in range(200 if u == 1 else 5)]
     df = spark.createDataFrame(rows, "user_id long, basket_id long, ts long")
     got = {(r["user_id"], r["basket_id"]): r["position"]
-           for r in row_numbers(df, "user_id", ["ts", "basket_id"], num_partitions=7).collect()}
+           for r in row_numbers(df, "user_id", ["ts", "basket_id"]).collect()}
     w = Window.partitionBy("user_id").orderBy("ts", "basket_id")
     want = {(r["user_id"], r["basket_id"]): r["p"] for r in df.select("*", F.row_number().over(w).alias("p")).collect()}
     assert got == want

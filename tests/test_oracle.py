@@ -7,10 +7,10 @@ import pytest
 from scripts.check_oracle import TABLES, digest
 from tests.conftest import SF_SMALL
 
-import __spark_entry__ as E
+from trolley.plans.catalog import CATALOG
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {name: e.build for name, e in CATALOG.items()}
+SQL = {name: e.sql for name, e in CATALOG.items() if e.sql is not None}
 
 
 @pytest.fixture(scope="module")

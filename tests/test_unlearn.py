@@ -17,13 +17,12 @@ AFTER_1_3 = {0: {2: 0.66666667}, 1: {2: 0.57735027}, 2: {0: 0.66666667, 1: 0.577
 AFTER_3_3 = {0: F1_BUILD[0], 1: {2: 0.40824829, 0: 0.35355339}, 2: F1_BUILD[2]}
 
 
-def step(spark, I_old, N_old, pairs, k=2, force_incremental=True):
+def step(spark, I_old, N_old, pairs, k=2):
     dels = spark.createDataFrame(pairs, "user_id long, item_id long")
     accepted, _ = U.split_requests(I_old, dels)
     I_new = I_old.join(accepted, ["user_id", "item_id"], "left_anti")
     changed = accepted.select("user_id").distinct()
-    m = U.maintain_neighbors(N_old, I_old, I_new, changed, k, 2, nnz=100,
-                             rebuild_share=2.0 if force_incremental else 0.0)
+    m = U.maintain_neighbors(N_old, I_old, I_new, changed, k, 2)
     return I_new, m
 
 
@@ -59,8 +58,7 @@ def test_forget_equals_rebuild(spark, which):
     st = build_state(p, k=10)
     st = st.with_(neighbors=st.neighbors.cache(), interactions=st.interactions.cache())
     dels = U.most_bought_item_deletions(p) if which == "recall" else U.latest_line(p)
-    res = U.forget(st, dels, rebuild_share=2.0)
-    assert not res.maintenance.rebuilt
+    res = U.forget(st, dels)
     I_new = EM.interactions(res.state.purchases)
     want = K.build_neighbors(I_new, 10, num_blocks=3)
     got = res.state.neighbors
@@ -74,12 +72,46 @@ def test_forget_equals_rebuild(spark, which):
     assert labels <= {"unchanged", "updated", "recompute"}
 
 
-def test_rebuild_path_equals_incremental(spark):
-    I0 = interactions(spark, F1)
-    N0 = K.build_neighbors(I0, 2, num_blocks=1)
-    _, m = step(spark, I0, N0, [(0, 1)], force_incremental=False)
-    assert m.rebuilt
-    assert_lists(as_lists(m.neighbors), AFTER_0_1)
+def test_recomputed_lists_and_norms(spark):
+    """A deletion set of many users runs the same steps: labels without a rebuild, norms kept current."""
+    p = load_purchases(spark, SF_SMALL)
+    st = build_state(p, k=10)
+    res = U.forget(st, U.most_bought_item_deletions(p))
+    labels = {r["user_id"]: r["label"] for r in res.maintenance.labels.collect()}
+    assert set(labels.values()) <= {"unchanged", "updated", "recompute"}
+    redone = {r["user_id"] for r in res.maintenance.recomputed.select("user_id").distinct().collect()}
+    changed = {r["user_id"] for r in res.changed.collect()}
+    assert redone <= {u for u, x in labels.items() if x == "recompute"} | changed
+    want = K.norms(res.state.interactions)
+    assert res.state.norms.exceptAll(want).count() == 0 and want.exceptAll(res.state.norms).count() == 0
+
+
+def test_negative_values_are_an_error(spark):
+    I = spark.createDataFrame([(1, 1, 1.0), (2, 1, -1.0)], "user_id long, item_id long, value double")
+    with pytest.raises(Exception, match="must not be negative"):
+        K.build_neighbors(I, 2).collect()
+
+
+def test_checkpoint_root_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from trolley.session import checkpoint_root
+
+    conf = {}
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)),
+                            sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(unset)
+    unset.sparkContext.getCheckpointDir = lambda: "hdfs://shared/dir/"
+    assert checkpoint_root(unset) == "hdfs://shared/dir"
+
+
+def test_materialised_tables_are_pruned(spark):
+    from trolley.session import materialize
+
+    kept = materialize(spark.range(10).selectExpr("id", "id * 2 as twice", "'x' as other"))
+    plan = kept.select("twice")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet [twice" in plan and "other" not in plan.split("ReadSchema")[1]
 
 
 def test_refresh_recommendations_equals_full(spark):
@@ -88,7 +120,7 @@ def test_refresh_recommendations_equals_full(spark):
     st = build_state(p, k=10)
     st = st.with_(neighbors=st.neighbors.cache())
     old = P.recommend(st.neighbors, st.embeddings, 0.1, 20).cache()
-    res = U.forget(st, U.latest_line(p), rebuild_share=2.0)
+    res = U.forget(st, U.latest_line(p))
     got = U.refresh_recommendations(old, res, 0.1, 20)
     want = P.recommend(res.state.neighbors, res.state.embeddings, 0.1, 20)
     key = ["user_id", "item_id", F.round("score", 9).alias("s"), "rank"]
@@ -99,7 +131,7 @@ def test_refresh_recommendations_equals_full(spark):
 def test_forget_ordered_model_equals_rebuild(spark):
     p = load_purchases(spark, SF_SMALL)
     st = build_state(p, k=10, ordered=True)
-    res = U.forget(st, U.most_bought_item_deletions(p), rebuild_share=2.0)
+    res = U.forget(st, U.most_bought_item_deletions(p))
     want = EM.embeddings(res.state.purchases, ordered=True)
     cols = ["user_id", "item_id", F.round("weight", 9).alias("w")]
     assert res.state.embeddings.select(*cols).exceptAll(want.select(*cols)).count() == 0

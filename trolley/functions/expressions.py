@@ -54,8 +54,3 @@ def change_label(old: str | Column, new: str | Column) -> Column:
     return (F.when(col(old).isNull(), F.lit("Insert"))
              .when(col(new).isNull(), F.lit("Delete"))
              .otherwise(F.lit("Update")))
-
-
-def signed_delta(old: str | Column, new: str | Column) -> Column:
-    """``new - old`` with an absent side counted as 0 (insert: +new, delete: -old)."""
-    return F.coalesce(col(new), F.lit(0.0)) - F.coalesce(col(old), F.lit(0.0))

@@ -15,15 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trolley.session import materialize, parallelism
+from trolley.session import materialize
 
 
-def row_numbers(df: DataFrame, key: str, order: list[str | Column], name: str = "position",
-                num_partitions: int | None = None) -> DataFrame:
-    """``df`` plus ``name`` = 1-based row number of each row within its key, by ``order``."""
+def row_numbers(df: DataFrame, key: str, order: list[str | Column], name: str = "position") -> DataFrame:
+    """``df`` plus ``name`` = 1-based row number of each row within its key, by ``order``.
+
+    The number of ranges follows ``spark.sql.shuffle.partitions`` and adaptive execution.
+    """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = num_partitions or max(1, parallelism(df.sparkSession))
-    ranged = materialize(df.repartitionByRange(n, F.col(key), *order_cols)
+    ranged = materialize(df.repartitionByRange(F.col(key), *order_cols)
                          .withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_local", F.row_number().over(
         Window.partitionBy("_pid", key).orderBy(*order_cols)))

@@ -53,21 +53,17 @@ def interactions(p: Purchases) -> DataFrame:
 
 # ------------------------------------------------------------------------------ E3-E6
 
-def basket_positions(bi: DataFrame, order_by: list[str] | None = None,
-                     per_user_window: bool = False) -> DataFrame:
+def basket_positions(bi: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """E3 part 1: ``(user_id, basket_id, position)``.
 
     Unordered: position 1 for every basket. Ordered: 1-based rank of the basket in the user's
     history, numbered over range partitions (``functions.numbering``) so that a user with a huge
-    history is split across tasks. ``per_user_window=True`` uses a plain per-user window instead.
+    history is split across tasks.
     """
-    cols = ["user_id", "basket_id"] + list(order_by or [])
+    cols = list(dict.fromkeys(["user_id", "basket_id", *(order_by or [])]))
     b = bi.select(*cols).distinct()
     if not order_by:
         return b.select("user_id", "basket_id", F.lit(1).cast("long").alias("position"))
-    if per_user_window:
-        w = Window.partitionBy("user_id").orderBy(*[F.col(c) for c in order_by])
-        return b.select("user_id", "basket_id", F.row_number().over(w).cast("long").alias("position"))
     return row_numbers(b, "user_id", list(order_by)).select("user_id", "basket_id", "position")
 
 

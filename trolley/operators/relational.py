@@ -16,9 +16,10 @@ from trolley.schema import TEST_SCENARIOS
 from trolley.sources.purchases import Purchases, lines
 
 
-def _aisles(scenario: str | tuple[int, ...], catalogue=None) -> list[int]:
+def _aisles(scenario: str | tuple[int, ...], catalogue) -> list[int]:
+    """A scenario is a name in the catalogue of the purchase tables, or its aisles themselves."""
     if isinstance(scenario, str):
-        return list((catalogue or TEST_SCENARIOS)[scenario])
+        return list(catalogue[scenario])
     return [int(a) for a in scenario]
 
 
@@ -44,7 +45,7 @@ def purchase_history(p: Purchases, users: DataFrame | None = None, ordered: bool
 
 def category_lines(p: Purchases, scenario, users: DataFrame | None = None, catalogue=None) -> DataFrame:
     """Lines whose product lies in the scenario's aisles: ``(user_id, order_id, product_id)``."""
-    prods = p.products.where(F.col("aisle_id").isin(_aisles(scenario, catalogue))).select("product_id")
+    prods = p.products.where(F.col("aisle_id").isin(_aisles(scenario, catalogue or p.scenarios))).select("product_id")
     o = _restrict(p.orders, users).select("order_id", "user_id")
     return p.order_products.join(prods, "product_id").join(o, "order_id")
 
@@ -58,7 +59,7 @@ def category_purchases(p: Purchases, scenario, users: DataFrame | None = None, c
 def category_listing(p: Purchases, scenario, users: DataFrame | None = None, ordered: bool = False,
                      catalogue=None) -> DataFrame:
     """As R2 with the product name, ordered by user and order when asked."""
-    prods = p.products.where(F.col("aisle_id").isin(_aisles(scenario, catalogue)))
+    prods = p.products.where(F.col("aisle_id").isin(_aisles(scenario, catalogue or p.scenarios)))
     o = _restrict(p.orders, users).select("order_id", "user_id")
     out = (p.order_products.join(prods.select("product_id", "product_name"), "product_id")
            .join(o, "order_id")
@@ -132,13 +133,13 @@ def purchase_stats(p: Purchases, users: DataFrame | None = None) -> DataFrame:
 def flag_sensitive(df: DataFrame, scenario, aisle_col: str = "aisle_id", catalogue=None,
                    name: str = "sensitive") -> DataFrame:
     """Add a boolean: the row's aisle belongs to the scenario."""
-    return df.withColumn(name, F.coalesce(F.col(aisle_col).isin(_aisles(scenario, catalogue)), F.lit(False)))
+    return df.withColumn(name, F.coalesce(F.col(aisle_col).isin(_aisles(scenario, catalogue or TEST_SCENARIOS)), F.lit(False)))
 
 
 def flag_items(p: Purchases, df: DataFrame, scenario, item_col: str = "item_id", catalogue=None) -> DataFrame:
     """R12 for item rows: look up the item's aisle, then flag it."""
     prods = p.products.select(F.col("product_id").alias(item_col), "aisle_id")
-    return flag_sensitive(df.join(prods, item_col, "left"), scenario, catalogue=catalogue)
+    return flag_sensitive(df.join(prods, item_col, "left"), scenario, catalogue=catalogue or p.scenarios)
 
 
 def top_aisles_named(p: Purchases, shares: DataFrame, aisles: DataFrame) -> DataFrame:

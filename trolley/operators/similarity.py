@@ -9,7 +9,8 @@ candidates per user (a ``WindowGroupLimit`` window). Shuffle volume is nnz * B i
 users * B * k out; the block count grows with nnz so each task's input stays bounded.
 
 A user's norm is computed inside each task from its whole row, so no norm table is joined in.
-Values are assumed non-negative (binary by default); pairs with a zero product take no part.
+Values must not be negative (they are 1 by default): a negative one is an error, since lists keep
+positive products only. Pairs with a zero product take no part.
 
 Hot rows: a user whose row is longer than ``hot_threshold`` (a reseller account can hold a third of
 all rows) would make every task of its block large. Such users leave the block path; their dot
@@ -98,10 +99,16 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
         .select("user_id", "neighbor_id", "similarity", "rank")
 
 
+def non_negative(I: DataFrame) -> DataFrame:
+    """Interactions whose use fails on a negative value instead of losing its pairs."""
+    bad = F.raise_error(F.lit("interaction values must not be negative")).cast("double")
+    return I.withColumn("value", F.when(F.col("value") >= 0, F.col("value").cast("double")).otherwise(bad))
+
+
 def row_stats(I: DataFrame) -> tuple[int, int]:
     """``(nnz, longest row)`` in one aggregation: sizes the blocks and tells whether a hot-row path
     is needed."""
-    r = (I.groupBy("user_id").agg(F.count(F.lit(1)).alias("len"))
+    r = (non_negative(I).groupBy("user_id").agg(F.count("value").alias("len"))
          .agg(F.sum("len").alias("nnz"), F.max("len").alias("longest")).first())
     return int(r["nnz"] or 0), int(r["longest"] or 0)
 

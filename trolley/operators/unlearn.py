@@ -14,10 +14,11 @@ state plus its impact; the result equals a rebuild on the surviving rows:
           merged has k entries and its last does not rank after the old last, merged is exact
           ("unchanged" when equal to L(v), else "updated"); otherwise v is recomputed.
   5. U10  recompute the lists of C and of flagged users from the new rows (left side = those
-          users, right side = all rows). When they hold most rows, rebuild instead (same result).
+          users, right side = all rows). The same steps run for one request and for many.
 
 A user that lost all rows disappears from every list (it has no norm); an emptied basket simply
-has no lines. Nothing is collected to the driver except row counts used to size blocks.
+has no lines. Nothing is collected to the driver except row counts used to size blocks. Every table
+that later steps read more than once is written to the shared checkpoint folder first.
 """
 
 from __future__ import annotations
@@ -34,12 +35,9 @@ from trolley.operators import similarity as K
 from trolley.operators.relational import baskets_of
 from trolley.plans.state import ModelState
 from trolley.schema import EMBEDDINGS, INTERACTIONS, NEIGHBORS, check_columns
-from trolley.session import checkpoint_root, parallelism
+from trolley.session import checkpoint_root, materialize, parallelism
 from trolley.sources.purchases import Purchases
 
-REBUILD_SHARE = 0.5
-
-
 # ------------------------------------------------------------------------------ S4, U3, U5
 
 def split_requests(I_old: DataFrame, deletions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,42 +149,36 @@ class Maintenance:
     neighbors: DataFrame
     labels: DataFrame        # user_id, label (affected users only)
     affected: DataFrame
-    rebuilt: bool
+    recomputed: DataFrame    # the lists of the changed users and of those labelled recompute
 
 
 def maintain_neighbors(N_old: DataFrame, I_old: DataFrame, I_new: DataFrame, changed: DataFrame,
-                       k: int, num_blocks: int, nnz: int, rebuild_share: float = REBUILD_SHARE) -> Maintenance:
+                       k: int, num_blocks: int) -> Maintenance:
     """U6/U7 generalised to many users at once: the neighbour table after the deletions.
 
-    Row counts size the blocks and choose between the incremental path and a rebuild (both
-    exact). The merged lists and labels are checkpointed to the shared checkpoint folder, which
-    cuts their lineage before they are read twice.
+    ``I_new`` should be a written table; row counts only size the blocks. Affected users, merged
+    lists, labels and recomputed lists are materialised, each being read by several steps.
     """
     spark = N_old.sparkSession
-    affected = affected_users(I_old, changed).checkpoint(eager=True)   # read by five steps below
+    affected = materialize(affected_users(I_old, changed))
     touched = (affected.withColumn("is_changed", F.lit(0))
                .unionByName(changed.select("user_id").withColumn("is_changed", F.lit(1))))
     sizes = (I_new.join(touched, "user_id")
              .agg(F.count(F.lit(1)).alias("n_touched"), F.sum("is_changed").alias("n_c")).first())
     n_touched, n_c = int(sizes["n_touched"] or 0), int(sizes["n_c"] or 0)
     touched = touched.select("user_id")
-    if n_touched > rebuild_share * max(1, nnz):
-        new_n = K.build_neighbors(I_new, k, num_blocks=num_blocks)
-        labels = affected.withColumn("label", F.lit("rebuilt"))
-        return Maintenance(new_n, labels, affected, True)
-    merged = merge_candidates(N_old, I_new, changed, affected, k,
-                              left_blocks=max(parallelism(spark), _rows_blocks(n_touched, spark)),
-                              right_blocks=_rows_blocks(n_c, spark)).checkpoint(eager=True)
-    labels = label_lists(N_old, merged, affected, k).checkpoint(eager=True)
+    merged = materialize(merge_candidates(N_old, I_new, changed, affected, k,
+                                          left_blocks=max(parallelism(spark), _rows_blocks(n_touched, spark)),
+                                          right_blocks=_rows_blocks(n_c, spark)))
+    labels = materialize(label_lists(N_old, merged, affected, k))
     redo = labels.where(F.col("label") == "recompute").select("user_id").unionByName(changed).distinct()
     n_redo = I_new.join(redo, "user_id", "left_semi").count()
-    fresh = recompute(I_new, redo, k, num_blocks, n_redo)
+    fresh = materialize(recompute(I_new, redo, k, num_blocks, n_redo))
     keep_exact = merged.join(labels.where(F.col("label") != "recompute"), "user_id", "left_semi")
     untouched = N_old.join(touched, "user_id", "left_anti")
-    new_n = (untouched.select("user_id", "neighbor_id", "similarity", "rank")
-             .unionByName(keep_exact.select("user_id", "neighbor_id", "similarity", "rank"))
-             .unionByName(fresh.select("user_id", "neighbor_id", "similarity", "rank")))
-    return Maintenance(new_n, labels, affected, False)
+    cols = ["user_id", "neighbor_id", "similarity", "rank"]
+    new_n = untouched.select(*cols).unionByName(keep_exact.select(*cols)).unionByName(fresh.select(*cols))
+    return Maintenance(new_n, labels, affected, fresh)
 
 
 def counters(labels: DataFrame) -> DataFrame:
@@ -208,11 +200,10 @@ class ForgetResult:
     previous_neighbors: DataFrame | None = None
 
 
-def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUILD_SHARE) -> ForgetResult:
+def forget(state: ModelState, deletions: DataFrame) -> ForgetResult:
     """Forget a set of purchases; the new state equals a rebuild on the remaining lines.
 
-    Timings are driver-side wall clock of the plan steps that run actions (block sizing); the
-    returned frames stay lazy.
+    The new tables are written in turn, and each duration is the wall clock around its writes.
     """
     checkpoint_root(state.interactions.sparkSession)
     check_columns(state.interactions, INTERACTIONS, "interactions")
@@ -221,19 +212,19 @@ def forget(state: ModelState, deletions: DataFrame, rebuild_share: float = REBUI
     t0 = time.time()
     p_old = state.purchases
     accepted, rejected = split_requests(state.interactions, deletions)
-    accepted = accepted.checkpoint(eager=True)   # the request batch, read by every later step
+    accepted = materialize(accepted)
     p_new = apply_deletions(p_old, accepted)
-    I_new = state.interactions.join(accepted, ["user_id", "item_id"], "left_anti")
+    p_new = p_new.with_(order_products=materialize(p_new.order_products))
+    I_new = materialize(state.interactions.join(accepted, ["user_id", "item_id"], "left_anti"))
     changed = accepted.select("user_id").distinct()
     t1 = time.time()
-    E_new = refresh_embeddings(state.embeddings, p_new, changed, state)
+    E_new = materialize(refresh_embeddings(state.embeddings, p_new, changed, state))
     t2 = time.time()
-    nnz = state.nnz if state.nnz is not None else state.interactions.count()
-    m = maintain_neighbors(state.neighbors, state.interactions, I_new, changed, state.k, state.num_blocks, nnz,
-                           rebuild_share)
+    m = maintain_neighbors(state.neighbors, state.interactions, I_new, changed, state.k, state.num_blocks)
+    m.neighbors = materialize(m.neighbors)
+    norms = state.norms.join(changed, "user_id", "left_anti").unionByName(updated_norms(I_new, changed))
     t3 = time.time()
-    new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors,
-                            nnz=nnz - accepted.count())   # accepted pairs are exactly the vanished ones
+    new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors, norms=norms)
     return ForgetResult(new_state, accepted, rejected, changed, m,
                         {"database_update": int((t1 - t0) * 1000), "embedding_update": int((t2 - t1) * 1000),
                          "topk_index_update": int((t3 - t2) * 1000)},
@@ -277,18 +268,27 @@ def most_bought_item_deletions(p: Purchases) -> DataFrame:
     return (l.join(top, "product_id").select("user_id", F.col("product_id").alias("item_id")).distinct())
 
 
-def impact_summary(result: ForgetResult, old_recs: DataFrame | None, new_recs: DataFrame | None,
-                   diffs: dict[str, DataFrame], with_timings: bool = True) -> DataFrame:
-    """U16: one summary row per changed user: forgotten items, baskets touched, the size of each
-    difference set and (optionally) the batch's driver-side timings."""
-    acc = result.accepted.groupBy("user_id").agg(F.count(F.lit(1)).alias("num_forgotten_items"))
-    out = acc
-    if result.baskets is not None:
-        out = out.join(result.baskets.groupBy("user_id").agg(F.countDistinct("order_id").alias("num_baskets")),
-                       "user_id", "left")
+IMPACT_DIFFS = ("embedding", "recommendation", "adjacent", "incident", "aisle")
+
+
+def impact_summary(result: ForgetResult, diffs: dict[str, DataFrame], with_timings: bool = True) -> DataFrame:
+    """U16: one record per forgotten ``(user_id, item_id)``.
+
+    Its deleted baskets, the size of each difference set of its user (``diffs`` by name, see
+    ``IMPACT_DIFFS``; each has a ``user_id``), and the batch's counters of inspected (affected) and
+    updated (not unchanged) lists. With timings, the batch's durations too.
+    """
+    out = result.accepted.select("user_id", "item_id").join(
+        result.baskets.groupBy("user_id", "item_id").agg(F.sort_array(F.collect_set("order_id")).alias("basket_ids")),
+        ["user_id", "item_id"], "left")
     for name, d in diffs.items():
-        out = out.join(d.groupBy("user_id").agg(F.count(F.lit(1)).alias(f"num_{name}_changes")), "user_id", "left")
-    out = out.fillna(0)
+        counted = d.groupBy("user_id").agg(F.count(F.lit(1)).alias(f"num_{name}_changes"))
+        out = out.join(counted, "user_id", "left").fillna(0, [f"num_{name}_changes"])
+    totals = result.maintenance.labels.agg(
+        F.count(F.lit(1)).alias("num_inspected_lists"),
+        F.count(F.when(F.col("label") != "unchanged", 1)).alias("num_updated_lists")).first()   # two numbers
+    for name, value in totals.asDict().items():
+        out = out.withColumn(name, F.lit(value).cast("long"))
     if with_timings:
         for name, ms in result.durations_ms.items():
             out = out.withColumn(f"{name}_ms", F.lit(int(ms)))

@@ -453,6 +453,12 @@ def q_graph_sensitive(spark, d):
     return _egos(spark, d)["sensitive"]
 
 
+@register("graph_sensitive_edges", S.with_ctes("""
+SELECT ge.ego_id, src, dst, gs.sensitive FROM ge JOIN gs ON gs.ego_id = ge.ego_id AND gs.user_id = ge.dst""", *EGO_CTES))
+def q_graph_sensitive_edges(spark, d):
+    return _egos(spark, d)["sensitive_edges"]
+
+
 @register("graph_ego", S.with_ctes(top_aisles_sql("gv", "ego_id"), *EGO_CTES))
 def q_graph_ego(spark, d):
     return _egos(spark, d)["top_aisles"]
@@ -478,6 +484,7 @@ def q_graph_neighborhood(spark, d):
 
 from trolley.operators import diff as DF  # noqa: E402
 from trolley.operators import unlearn as U  # noqa: E402
+from trolley.streaming import maintain as MT  # noqa: E402
 
 # Deletion set of the unlearning queries: every purchase of the most-bought product (a recall).
 RECALL_CTES = (
@@ -500,38 +507,19 @@ NEW_MODEL_CTES = (S.interactions_cte("ln2", "inter2"), S.neighbors_cte(50, "inte
                   S.embeddings_cte("ln2", "emb2"), S.recommendations_cte("nbr2", "emb2", name="rec2"))
 UNL_CTES = MODEL_CTES + (S.recommendations_cte(),) + RECALL_CTES + NEW_MODEL_CTES
 
-_FORGET_CACHE: dict = {}
-
 
 def forget_run(spark, d, which: str = "recall"):
-    """The state before and after forgetting the data-derived deletion set (memoised per session).
-
-    The single-deletion run never falls back to a rebuild, so the incremental list maintenance is
-    what its query checks; the recall run uses the default rule (a rebuild when most rows are
-    touched)."""
-    key = (id(spark), d, which)
-    hit = _FORGET_CACHE.get(key)
-    if hit is not None and hit[0] is spark and spark.sparkContext._jsc is not None:
-        return hit[1]
+    """The state before and after forgetting the data-derived deletion set, built for the calling key alone."""
     p = load_purchases(spark, d)
     st = build_state(p)
-    st = st.with_(neighbors=st.neighbors.checkpoint(), embeddings=st.embeddings.checkpoint())
-    if which == "recall":
-        res = U.forget(st, U.most_bought_item_deletions(p))
-    else:
-        res = U.forget(st, U.latest_line(p), rebuild_share=1.0)
-    _FORGET_CACHE[key] = (spark, (st, res))
-    return st, res
-
+    return st, U.forget(st, U.most_bought_item_deletions(p) if which == "recall" else U.latest_line(p))
 
-def _checkpointed(spark):
-    from trolley.session import checkpoint_root
-    checkpoint_root(spark)
 
-
-def _run(spark, d, which="recall"):
-    _checkpointed(spark)
-    return forget_run(spark, d, which)
+def _deleted(spark, d):
+    """The purchases before and after the recall deletion, and its requests: enough for the keys that need no model."""
+    p = load_purchases(spark, d)
+    dels = U.most_bought_item_deletions(p)
+    return p, U.apply_deletions(p, dels), dels
 
 
 def _keyed_sql(old: str, new: str, keys: list[str], value: str, where: str = "") -> str:
@@ -549,22 +537,21 @@ WHERE delta <> 0"""
 
 @register("del_apply", S.with_ctes("SELECT order_id, product_id FROM ln2", *RECALL_CTES))
 def q_del_apply(spark, d):
-    st, res = _run(spark, d)
-    return res.state.purchases.order_products
+    return _deleted(spark, d)[1].order_products
 
 
 @register("unl_vanished", S.with_ctes("""
 SELECT user_id, item_id FROM inter EXCEPT SELECT user_id, item_id FROM inter2""",
                                       S.interactions_cte(), *RECALL_CTES, S.interactions_cte("ln2", "inter2")))
 def q_unl_vanished(spark, d):
-    st, res = _run(spark, d)
-    return U.vanished(st.interactions, res.state.interactions)
+    old, new, _ = _deleted(spark, d)
+    return U.vanished(EM.interactions(old), EM.interactions(new))
 
 
 @register("unl_embeddings", S.with_ctes(f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM emb2",
                                         *RECALL_CTES, S.embeddings_cte("ln2", "emb2")))
 def q_unl_embeddings(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     return _rounded(res.state.embeddings, "weight")
 
 
@@ -572,8 +559,8 @@ def q_unl_embeddings(spark, d):
 SELECT user_id, SUM(value * value) AS nsq, sqrt(SUM(value * value)) AS norm FROM inter2
 WHERE user_id IN (SELECT user_id FROM chg) GROUP BY user_id""", *RECALL_CTES, S.interactions_cte("ln2", "inter2")))
 def q_unl_norms(spark, d):
-    st, res = _run(spark, d)
-    return U.updated_norms(res.state.interactions, res.changed)
+    _, new, dels = _deleted(spark, d)
+    return U.updated_norms(EM.interactions(new), dels.select("user_id").distinct())
 
 
 AFFECTED_CTE = ("aff AS (SELECT DISTINCT user_id FROM inter WHERE item_id IN "
@@ -583,62 +570,15 @@ AFFECTED_CTE = ("aff AS (SELECT DISTINCT user_id FROM inter WHERE item_id IN "
 
 @register("unl_affected", S.with_ctes("SELECT user_id FROM aff", *UNL_CTES, AFFECTED_CTE))
 def q_unl_affected(spark, d):
-    st, res = _run(spark, d)
-    return res.maintenance.affected
-
-
-@register("unl_classify", S.with_ctes("""
-SELECT a.user_id, COALESCE(x.n, 0) > 0 AS changed FROM aff a LEFT JOIN (
-  SELECT user_id, COUNT(*) AS n FROM (
-    (SELECT user_id, neighbor_id, similarity, rank FROM nbr EXCEPT SELECT user_id, neighbor_id, similarity, rank FROM nbr2)
-    UNION ALL
-    (SELECT user_id, neighbor_id, similarity, rank FROM nbr2 EXCEPT SELECT user_id, neighbor_id, similarity, rank FROM nbr)
-  ) d GROUP BY user_id) x ON x.user_id = a.user_id""", *UNL_CTES, AFFECTED_CTE))
-def q_unl_classify(spark, d):
-    st, res = _run(spark, d)
-    cols = ["user_id", "neighbor_id", "similarity", "rank"]
-    old = st.neighbors.select(*cols)
-    new = res.state.neighbors.select(*cols)
-    sym = old.exceptAll(new).unionByName(new.exceptAll(old)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return (res.maintenance.affected.join(sym, "user_id", "left")
-            .select("user_id", (F.coalesce("n", F.lit(0)) > 0).alias("changed")))
-
-
-@register("unl_recompute", S.with_ctes("""
-SELECT * FROM nbr2 WHERE user_id IN (SELECT user_id FROM aff UNION SELECT user_id FROM chg)""",
-                                       *UNL_CTES, AFFECTED_CTE))
-def q_unl_recompute(spark, d):
-    st, res = _run(spark, d)
-    touched = res.maintenance.affected.unionByName(res.changed)
-    return res.state.neighbors.join(touched, "user_id", "left_semi")
-
-
-@register("unl_forget_one", S.with_ctes("SELECT * FROM nbr2", *LATEST_CTES,
-                                        S.interactions_cte("ln2", "inter2"), S.neighbors_cte(50, "inter2", "nbr2")))
-def q_unl_forget_one(spark, d):
-    st, res = _run(spark, d, "latest")
-    return res.state.neighbors
+    old, _, dels = _deleted(spark, d)
+    return U.affected_users(EM.interactions(old), dels.select("user_id").distinct())
 
 
-@register("unl_forget_many", S.with_ctes("SELECT * FROM nbr2", *UNL_CTES))
-def q_unl_forget_many(spark, d):
-    st, res = _run(spark, d)
-    return res.state.neighbors
-
-
-@register("unl_forget", S.with_ctes(f"SELECT user_id, item_id, {S.q('score')} AS score, rank FROM rec2", *UNL_CTES))
-def q_unl_forget(spark, d):
-    st, res = _run(spark, d)
-    new = res.state
-    return _rounded(P.recommend(new.neighbors, new.embeddings), "score")
-
-
-# The merge rule of the incremental maintenance written out in SQL for the single-deletion run:
+# The merge rule of the incremental maintenance written out in SQL:
 # kept = old list minus changed users, cand = best 50 changed users by new similarity, merged =
 # top 50 of both; exact when the old list was short, or when merged is full and its last entry does
 # not rank after the old last one.
-COUNTER_CTES = (
-    "chg AS (SELECT DISTINCT user_id FROM del)",
+LABEL_CTES = (
     AFFECTED_CTE,
     "nsq2 AS (SELECT user_id, SUM(value * value) AS nsq FROM inter2 GROUP BY user_id)",
     """cand AS (SELECT user_id, neighbor_id, similarity FROM (
@@ -672,11 +612,46 @@ COUNTER_CTES = (
 )
 
 
+@register("unl_classify", S.with_ctes("SELECT user_id, label FROM lab", *UNL_CTES, *LABEL_CTES))
+def q_unl_classify(spark, d):
+    st, res = forget_run(spark, d)
+    return res.maintenance.labels
+
+
+@register("unl_recompute", S.with_ctes("""
+SELECT * FROM nbr2 WHERE user_id IN (SELECT user_id FROM lab WHERE label = 'recompute' UNION SELECT user_id FROM chg)""",
+                                       *UNL_CTES, *LABEL_CTES))
+def q_unl_recompute(spark, d):
+    st, res = forget_run(spark, d)
+    return res.maintenance.recomputed
+
+
+@register("unl_forget_one", S.with_ctes("SELECT * FROM nbr2", *LATEST_CTES,
+                                        S.interactions_cte("ln2", "inter2"), S.neighbors_cte(50, "inter2", "nbr2")))
+def q_unl_forget_one(spark, d):
+    st, res = forget_run(spark, d, "latest")
+    return res.state.neighbors
+
+
+@register("unl_forget_many", S.with_ctes("SELECT * FROM nbr2", *UNL_CTES))
+def q_unl_forget_many(spark, d):
+    st, res = forget_run(spark, d)
+    return res.state.neighbors
+
+
+@register("unl_forget", S.with_ctes(f"SELECT user_id, item_id, {S.q('score')} AS score, rank FROM rec2", *UNL_CTES))
+def q_unl_forget(spark, d):
+    st, res = forget_run(spark, d)
+    new = res.state
+    return _rounded(P.recommend(new.neighbors, new.embeddings), "score")
+
+
 @register("unl_counters", S.with_ctes("SELECT label, COUNT(*) AS num_users FROM lab GROUP BY label",
                                       *LATEST_CTES, S.interactions_cte(), S.neighbors_cte(50),
-                                      S.interactions_cte("ln2", "inter2"), *COUNTER_CTES))
+                                      S.interactions_cte("ln2", "inter2"),
+                                      "chg AS (SELECT DISTINCT user_id FROM del)", *LABEL_CTES))
 def q_unl_counters(spark, d):
-    st, res = _run(spark, d, "latest")
+    st, res = forget_run(spark, d, "latest")
     return U.counters(res.maintenance.labels)
 
 
@@ -693,7 +668,7 @@ REC_DIFF_SQL = _keyed_sql("rec", "rec2", ["user_id", "item_id"], "score",
 
 @register("diff_recs", S.with_ctes(f"SELECT user_id, item_id, delta, change FROM ({REC_DIFF_SQL}) r", *UNL_CTES))
 def q_diff_recs(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     return _rec_diff(st, res).select("user_id", "item_id", "delta", "change")
 
 
@@ -703,7 +678,7 @@ FROM emb o LEFT JOIN emb2 n ON n.user_id = o.user_id AND n.item_id = o.item_id
 WHERE o.user_id IN (SELECT user_id FROM chg)
   AND COALESCE({S.q('n.weight')}, 0.0) - {S.q('o.weight')} <> 0""", *UNL_CTES))
 def q_diff_embedding(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     return DF.embedding_diff(st.embeddings, res.state.embeddings, res.changed)
 
 
@@ -713,7 +688,7 @@ OUT_DIFF_SQL = _keyed_sql("nbr", "nbr2", ["user_id", "neighbor_id"], "similarity
 
 @register("diff_out", S.with_ctes(f"SELECT user_id, neighbor_id, delta, change FROM ({OUT_DIFF_SQL}) t", *UNL_CTES))
 def q_diff_out(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     old = K.neighbors_of(st.neighbors, res.changed)
     new = K.neighbors_of(res.state.neighbors, res.changed)
     return DF.keyed_diff(old, new, ["user_id", "neighbor_id"], "similarity") \
@@ -729,7 +704,7 @@ IN_DIFF_SQL = _keyed_sql(
 @register("diff_in", S.with_ctes(f"SELECT user_id, in_neighbor_id, delta, change FROM ({IN_DIFF_SQL}) t",
                                  *UNL_CTES))
 def q_diff_in(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     old = K.in_neighbors_of(st.neighbors, res.changed)
     new = K.in_neighbors_of(res.state.neighbors, res.changed)
     return DF.keyed_diff(old, new, ["user_id", "in_neighbor_id"], "similarity") \
@@ -750,7 +725,7 @@ NBH_CTES = (
     "SELECT ego_id, aisle_id, delta, change FROM ("
     + _keyed_sql("ta1", "ta2", ["ego_id", "aisle_id"], "normalized_count") + ") t", *UNL_CTES, *NBH_CTES))
 def q_diff_aisles(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     old = G.neighborhoods(st.purchases, st.neighbors, res.changed)["top_aisles"]
     new = G.neighborhoods(res.state.purchases, res.state.neighbors, res.changed)["top_aisles"]
     return DF.keyed_diff(old, new, ["ego_id", "aisle_id"], "normalized_count") \
@@ -772,7 +747,7 @@ SELECT r.user_id, r.item_id, r.delta, r.change, pr.aisle_id,
        CASE WHEN r.delta > 0 THEN 'up' ELSE 'down' END AS direction
 FROM ({REC_DIFF_SQL}) r LEFT JOIN pr ON pr.product_id = r.item_id""", *UNL_CTES))
 def q_diff_report(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     diff = _rec_diff(st, res).select("user_id", "item_id", "delta", "change")
     return DF.change_report(res.state.purchases, diff, "alcohol")
 
@@ -784,28 +759,52 @@ WHERE o.user_id IN (SELECT user_id FROM chg)
   AND COALESCE({S.q('n.weight')}, 0.0) - {S.q('o.weight')} <> 0"""
 
 
+AISLE_DIFF_SQL = ("SELECT ego_id AS user_id, aisle_id, delta, change FROM ("
+                  + _keyed_sql("ta1", "ta2", ["ego_id", "aisle_id"], "normalized_count") + ") t")
+
+
+def _changes_of(sql: str, name: str) -> str:
+    return f"LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM ({sql}) t GROUP BY user_id) {name} ON {name}.user_id = del.user_id"
+
+
 @register("unl_impact", S.with_ctes(f"""
-SELECT a.user_id, a.num_forgotten_items, COALESCE(b.n, 0) AS num_baskets,
+SELECT del.user_id, del.item_id, b.basket_ids,
        COALESCE(e.n, 0) AS num_embedding_changes, COALESCE(r.n, 0) AS num_recommendation_changes,
-       COALESCE(j.n, 0) AS num_adjacent_changes
-FROM (SELECT user_id, COUNT(*) AS num_forgotten_items FROM del GROUP BY user_id) a
-LEFT JOIN (SELECT ln.user_id, COUNT(DISTINCT ln.order_id) AS n FROM ln
-           JOIN del ON del.user_id = ln.user_id AND del.item_id = ln.product_id GROUP BY ln.user_id) b
-       ON b.user_id = a.user_id
-LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM ({EMB_DIFF_SQL}) t GROUP BY user_id) e ON e.user_id = a.user_id
-LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM ({REC_DIFF_SQL}) t GROUP BY user_id) r ON r.user_id = a.user_id
-LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM ({OUT_DIFF_SQL}) t GROUP BY user_id) j ON j.user_id = a.user_id""",
-                                    *UNL_CTES))
+       COALESCE(j.n, 0) AS num_adjacent_changes, COALESCE(i.n, 0) AS num_incident_changes,
+       COALESCE(a.n, 0) AS num_aisle_changes,
+       (SELECT COUNT(*) FROM lab) AS num_inspected_lists,
+       (SELECT COUNT(*) FROM lab WHERE label <> 'unchanged') AS num_updated_lists
+FROM del
+LEFT JOIN (SELECT user_id, product_id, list_sort(list(DISTINCT order_id)) AS basket_ids FROM ln
+           GROUP BY user_id, product_id) b ON b.user_id = del.user_id AND b.product_id = del.item_id
+{_changes_of(EMB_DIFF_SQL, "e")}
+{_changes_of(REC_DIFF_SQL, "r")}
+{_changes_of(OUT_DIFF_SQL, "j")}
+{_changes_of(IN_DIFF_SQL, "i")}
+{_changes_of(AISLE_DIFF_SQL, "a")}""", *UNL_CTES, *NBH_CTES, *LABEL_CTES))
 def q_unl_impact(spark, d):
-    st, res = _run(spark, d)
-    c = res.changed
-    diffs = {
-        "embedding": DF.embedding_diff(st.embeddings, res.state.embeddings, c),
-        "recommendation": _rec_diff(st, res),
-        "adjacent": DF.keyed_diff(K.neighbors_of(st.neighbors, c), K.neighbors_of(res.state.neighbors, c),
-                                  ["user_id", "neighbor_id"], "similarity"),
-    }
-    return U.impact_summary(res, None, None, diffs, with_timings=False)
+    st, res = forget_run(spark, d)
+    diffs = MT.impact_diffs(st, res.state, res.changed)
+    return U.impact_summary(res, {**diffs, "recommendation": _rec_diff(st, res)}, with_timings=False)
+
+
+@register("diff_counts_in", S.with_ctes(f"""
+SELECT user_id, SUM(CASE WHEN change = 'Delete' THEN 1 ELSE 0 END)::BIGINT AS num_delete,
+       SUM(CASE WHEN change = 'Update' THEN 1 ELSE 0 END)::BIGINT AS num_update,
+       SUM(CASE WHEN change = 'Insert' THEN 1 ELSE 0 END)::BIGINT AS num_insert
+FROM ({IN_DIFF_SQL}) t GROUP BY user_id""", *UNL_CTES))
+def q_diff_counts_in(spark, d):
+    return DF.change_counts(q_diff_in(spark, d))
+
+
+@register("diff_report_aisles", S.with_ctes(f"""
+SELECT user_id, aisle_id, delta, change, aisle_id IN {S.aisles_in('alcohol')} AS sensitive,
+       CASE WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction
+FROM ({AISLE_DIFF_SQL}) t""", *UNL_CTES, *NBH_CTES))
+def q_diff_report_aisles(spark, d):
+    st, res = forget_run(spark, d)
+    diff = MT.impact_diffs(st, res.state, res.changed)["aisle"].select("user_id", "aisle_id", "delta", "change")
+    return DF.aisle_report(st.purchases, diff, "alcohol")
 
 
 # ------------------------------------------------------------------------------------- streaming
@@ -825,7 +824,7 @@ def _recall_lines(p):
 
 def _request_files(spark, d, folder):
     p = load_purchases(spark, d)
-    RQ.to_request_json(U.most_bought_item_deletions(p)).repartition(2).write.mode("overwrite").text(folder)
+    RQ.to_request_json(U.most_bought_item_deletions(p)).write.mode("overwrite").text(folder)
     return f"{folder}/*.txt"
 
 
@@ -845,8 +844,8 @@ def _change_log(spark, d):
     from trolley.sources.purchases import lines as _lines
     p = load_purchases(spark, d)
     root = CH.run_folder(spark, "changes")
-    glob = CH.write_change_files([MT.line_changes(_lines(p), +1).repartition(3),
-                                  MT.line_changes(_recall_lines(p), -1).repartition(2)], f"{root}/in")
+    glob = CH.write_change_files([MT.line_changes(_lines(p), +1),
+                                  MT.line_changes(_recall_lines(p), -1)], f"{root}/in")
     return p, root, glob
 
 
@@ -869,7 +868,6 @@ def q_stream_interactions(spark, d):
 
 @register("stream_maintain", S.with_ctes("SELECT * FROM nbr2", *UNL_CTES))
 def q_stream_maintain(spark, d):
-    _checkpointed(spark)
     p = load_purchases(spark, d)
     root = CH.run_folder(spark, "maintain")
     glob = _request_files(spark, d, f"{root}/in")
@@ -907,7 +905,7 @@ SELECT DISTINCT COALESCE(o.user_id, n.user_id) AS user_id
 FROM emb o FULL OUTER JOIN emb2 n ON o.user_id = n.user_id AND o.item_id = n.item_id
 WHERE o.user_id IS NULL OR n.user_id IS NULL OR {S.q('o.weight')} <> {S.q('n.weight')}""", *UNL_CTES))
 def q_emb_changed(spark, d):
-    st, res = _run(spark, d)
+    st, res = forget_run(spark, d)
     return EM.changed_users(st.embeddings, res.state.embeddings)
 
 

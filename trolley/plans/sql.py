@@ -7,6 +7,8 @@ the surviving rows).
 
 from __future__ import annotations
 
+import re
+
 from trolley.schema import BUYER_RANGES, DEFAULT_PARAMS, aisle_list_sql
 
 PURCHASE_CTES = """
@@ -31,8 +33,9 @@ def rk(expr: str) -> str:
 
 
 def with_ctes(body: str, *extra: str) -> str:
-    ctes = [PURCHASE_CTES.strip()] + [e.strip() for e in extra if e]
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+    """Every named table is computed once, whatever the planner would inline."""
+    ctes = ",\n".join([PURCHASE_CTES.strip()] + [e.strip() for e in extra if e])
+    return "WITH " + re.sub(r"\b(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", ctes) + "\n" + body.strip()
 
 
 def aisles_in(scenario: str) -> str:

@@ -19,34 +19,28 @@ class ModelState:
     interactions: DataFrame   # user_id, item_id, value
     embeddings: DataFrame     # user_id, item_id, weight
     neighbors: DataFrame      # user_id, neighbor_id, similarity, rank
+    norms: DataFrame          # user_id, nsq, norm
     params: HyperParams = DEFAULT_PARAMS
     k: int = DEFAULT_K
     ordered: bool = False
     num_blocks: int = 1
-    nnz: int | None = None    # number of interactions when the state was built
 
     def with_(self, **kw) -> "ModelState":
         return replace(self, **kw)
 
 
-def blocks_for(p: Purchases) -> int:
-    """Block count from the number of order lines (an upper bound of the interactions; a parquet
-    count reads footers only)."""
-    spark = p.order_products.sparkSession
-    return K.choose_blocks(spark, p.order_products.count())
-
-
 def build_state(p: Purchases, params: HyperParams = DEFAULT_PARAMS, k: int = DEFAULT_K,
                 ordered: bool = False, num_blocks: int | None = None) -> ModelState:
-    """The whole model. Interactions are materialised once (they feed the block sizing, the
-    hot-row check, the neighbour build and maintenance); the rest stays lazy."""
+    """The whole model. Interactions, embeddings and lists are written once: later steps read each of
+    them several times."""
     I = materialize(EM.interactions(p))
     nnz, longest = K.row_stats(I)
     B = num_blocks if num_blocks is not None else K.choose_blocks(I.sparkSession, nnz)
     return ModelState(
         purchases=p,
         interactions=I,
-        embeddings=EM.embeddings(p, params, ordered),
-        neighbors=K.build_neighbors(I, k, num_blocks=B, longest_row=longest),
-        params=params, k=k, ordered=ordered, num_blocks=B, nnz=nnz,
+        embeddings=materialize(EM.embeddings(p, params, ordered)),
+        neighbors=materialize(K.build_neighbors(I, k, num_blocks=B, longest_row=longest)),
+        norms=K.norms(I),
+        params=params, k=k, ordered=ordered, num_blocks=B,
     )

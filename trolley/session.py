@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "trolley",
@@ -27,7 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("TROLLEY_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("TROLLEY_DRIVER_MEMORY", "8g"))
         .config("spark.python.unix.domain.socket.enabled", "true")
     )
     if event_log_dir:   # stage and task times without the UI: Spark's event log in a scratch folder
@@ -40,14 +41,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written versions and streaming checkpoints.
 
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared folder there).
-    Only when it is unset, as in tests and local runs, a fresh scratch folder is taken.
+    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared folder there), else
+    the folder set on the context. Where both are unset, a local master gets a scratch folder, as in
+    tests; on a cluster that is an error, since executors would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="trolley-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -61,11 +65,12 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
-def materialize(df):
-    """Write a reused intermediate to the shared checkpoint folder and read it back.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reused intermediate as Parquet to the shared checkpoint folder and read it back.
 
-    Cuts the lineage (an executor loss re-reads the files instead of recomputing upstream) and
-    keeps several consumers from recomputing the same plan. Never a machine-local checkpoint.
+    Cuts the lineage (an executor loss rereads the files instead of recomputing upstream), keeps
+    several consumers from recomputing the same plan, and lets each read only its columns.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

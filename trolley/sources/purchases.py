@@ -12,12 +12,12 @@ the reader (``ReadSchema`` lists only the used columns).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.schema import ORDER_PRODUCTS, ORDERS, PRODUCTS, check_columns
+from trolley.schema import ORDER_PRODUCTS, ORDERS, PRODUCTS, REFERENCE_SCENARIOS, TEST_SCENARIOS, check_columns
 
 
 @dataclass(frozen=True)
@@ -25,18 +25,22 @@ class Purchases:
     orders: DataFrame          # order_id, user_id, order_dow, order_hour_of_day, order_ts
     order_products: DataFrame  # order_id, product_id
     products: DataFrame        # product_id, product_name, aisle_id, department
-    aisles: DataFrame | None = None        # aisle_id, aisle (names; loaded, used by R13)
+    aisles: DataFrame | None = None        # aisle_id, aisle
     departments: DataFrame | None = None   # department
     order_by: tuple[str, ...] = ("order_ts",)   # orders columns giving the basket order
+    scenarios: dict = field(default_factory=lambda: TEST_SCENARIOS)   # aisles that a scenario's name means here
 
     def with_(self, **kw) -> "Purchases":
         return replace(self, **kw)
 
     def register(self, prefix: str = "") -> None:
-        """Expose the three tables to ``spark.sql`` (temp views; no data is moved)."""
+        """Expose the tables to ``spark.sql`` (temp views; no data is moved)."""
         self.orders.createOrReplaceTempView(f"{prefix}orders")
         self.order_products.createOrReplaceTempView(f"{prefix}order_products")
         self.products.createOrReplaceTempView(f"{prefix}products")
+        for name, frame in (("aisles", self.aisles), ("departments", self.departments)):
+            if frame is not None:
+                frame.createOrReplaceTempView(f"{prefix}{name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +105,7 @@ def load_instacart(spark: SparkSession, folder: str) -> Purchases:
         check_columns(orders, ORDERS, "orders"),
         check_columns(order_products, ORDER_PRODUCTS, "order_products"),
         check_columns(products, PRODUCTS, "products"),
-        aisles, departments.select("department"), ("order_number",),
+        aisles, departments.select("department"), ("order_number",), REFERENCE_SCENARIOS,
     )
 
 

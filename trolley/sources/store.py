@@ -10,26 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.session import checkpoint_root
-
 INDEX_PARTS = ("interactions", "norms", "neighbors")
 
 
-def state_root(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/{name}"
-
-
 def version_path(root: str, table: str, version: int) -> str:
     return f"{root.rstrip('/')}/{table}/v={int(version)}"
 
 
-def write_version(df: DataFrame, root: str, table: str, version: int,
-                  partition_cols: list[str] | None = None) -> str:
+def write_version(df: DataFrame, root: str, table: str, version: int) -> str:
     path = version_path(root, table, version)
-    writer = df.write.mode("overwrite")
-    if partition_cols:
-        writer = writer.partitionBy(*partition_cols)
-    writer.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -37,17 +27,43 @@ def read_version(spark: SparkSession, root: str, table: str, version: int) -> Da
     return spark.read.parquet(version_path(root, table, version))
 
 
-def version_exists(spark: SparkSession, root: str, table: str, version: int) -> bool:
-    """Whether a committed version can be read (works for any Hadoop-compatible path)."""
-    try:
-        spark.read.parquet(version_path(root, table, version))
-        return True
-    except Exception:  # noqa: BLE001 - path-not-found is an AnalysisException
-        return False
+def _filesystem(spark: SparkSession, path: str):
+    """Hadoop file system and path object; works for any store that Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def read_version_or_none(spark: SparkSession, root: str, table: str, version: int) -> DataFrame | None:
-    return read_version(spark, root, table, version) if version_exists(spark, root, table, version) else None
+def version_exists(spark: SparkSession, root: str, table: str, version: int) -> bool:
+    """Whether the version was committed. An unreachable store raises; it is not an absent version."""
+    fs, path = _filesystem(spark, f"{version_path(root, table, version)}/_SUCCESS")
+    return bool(fs.exists(path))
+
+
+def latest_version(spark: SparkSession, root: str, table: str, default: int = 0) -> int:
+    """The highest committed version, which a restarted stream finds again; ``default`` if there is none."""
+    fs, path = _filesystem(spark, f"{root.rstrip('/')}/{table}")
+    if not fs.exists(path):
+        return default
+    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
+    return next((v for v in sorted(found, reverse=True) if version_exists(spark, root, table, v)), default)
+
+
+def read_previous(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame | None:
+    """The version that batch ``batch_id`` continues. Only the first batch may find none."""
+    if batch_id == 0 and not version_exists(spark, root, table, 0):
+        return None
+    return read_version(spark, root, table, batch_id)
+
+
+def drop_versions(spark: SparkSession, root: str, table: str, before: int) -> None:
+    """Delete versions lower than ``before``; a replayed batch still needs the one it continues."""
+    fs, path = _filesystem(spark, f"{root.rstrip('/')}/{table}")
+    if not fs.exists(path):
+        return
+    for s in fs.listStatus(path):
+        name = s.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < before:
+            fs.delete(s.getPath(), True)
 
 
 def save_index(index: dict[str, DataFrame], k: int, path: str) -> None:

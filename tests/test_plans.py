@@ -23,6 +23,17 @@ def test_scan_prunes_columns(spark):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_cohorts_are_pruned_before_the_aggregate(spark):
+    from trolley.operators import relational as R
+    from trolley.sources.purchases import load_purchases
+    p = load_purchases(spark, SF_SMALL)
+    one = spark.createDataFrame([(1, 7)], "cohort_id long, user_id long")
+    lines = R.top_aisles(p, one)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counting = next(i for i, x in enumerate(lines) if "Aggregate [user_id" in x and "aisle_id" in x)
+    semi = next(i for i, x in enumerate(lines) if "Join LeftSemi" in x)
+    assert semi > counting      # deeper in the tree: runs first
+
+
 def test_topk_uses_window_group_limit(spark):
     import __spark_entry__ as E
     df = E.queries()["sim_index"](spark, SF_SMALL)

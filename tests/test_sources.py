@@ -48,3 +48,15 @@ def test_instacart_layout_matches(spark):
     n = ["user_id", "neighbor_id", "similarity", "rank"]
     assert same(K.build_neighbors(EM.interactions(ic), 10), K.build_neighbors(EM.interactions(tp), 10), n)
     assert ic.aisles.count() == tp.aisles.count()
+
+
+def test_scenario_names_follow_the_layout(spark):
+    from trolley.operators import relational as R
+    from trolley.schema import REFERENCE_SCENARIOS, TEST_SCENARIOS
+    folder = run_folder(spark, "layout-names")
+    write_layout(spark, folder)
+    ic, tp = load_instacart(spark, folder), load_purchases(spark, SF_SMALL)
+    cols = ["user_id", "order_id", "product_id"]
+    assert same(R.category_lines(ic, "alcohol"), R.category_lines(tp, REFERENCE_SCENARIOS["alcohol"]), cols)
+    assert same(R.category_lines(tp, "alcohol"), R.category_lines(ic, TEST_SCENARIOS["alcohol"]), cols)
+    assert ic.with_(scenarios={"alcohol": (1,)}).scenarios["alcohol"] == (1,)

@@ -103,10 +103,11 @@ def top_aisles(p: Purchases, cohorts: DataFrame, n: int = 10, counts: DataFrame
     """Per cohort, the aisles with the largest share of the members' purchase lines.
 
     ``cohorts(cohort_id, user_id)``; membership is a set (duplicates are ignored, as with ``IN``).
-    Share = lines in aisle / lines of the cohort, as double. Ties: aisle id ascending.
+    Share = lines in aisle / lines of the cohort, as double. Ties: aisle id ascending. Only the
+    members' lines are counted: the semi join stands before the aggregate.
     """
     members = cohorts.select("cohort_id", "user_id").distinct()
-    counts = counts if counts is not None else user_aisle_counts(p)
+    counts = counts if counts is not None else user_aisle_counts(p, members.select("user_id").distinct())
     per_aisle = (members.join(counts, "user_id")
                  .groupBy("cohort_id", "aisle_id").agg(F.sum("cnt").alias("cnt")))
     total = F.sum("cnt").over(Window.partitionBy("cohort_id"))

@@ -64,14 +64,15 @@ def q_src_purchases(spark, d):
 
 
 PATH_QUERY = """
-SELECT CAST(substr(p.p_brand, 7) AS INT) AS aisle_id,
-       CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS normalized_count
-  FROM parquet.`{dir}/part.parquet` p
-  JOIN parquet.`{dir}/lineitem.parquet` op ON p.p_partkey = op.l_partkey
-  JOIN parquet.`{dir}/orders.parquet` o ON o.o_orderkey = op.l_orderkey
- GROUP BY CAST(substr(p.p_brand, 7) AS INT)
- ORDER BY normalized_count DESC, aisle_id
- LIMIT 10"""
+WITH sold AS (
+  SELECT l_partkey, COUNT(*) AS n FROM parquet.`{dir}/lineitem.parquet`
+  WHERE l_orderkey IN (SELECT o_orderkey FROM parquet.`{dir}/orders.parquet`) GROUP BY l_partkey
+), by_aisle AS (
+  SELECT CAST(substr(p_brand, 7) AS INT) AS aisle_id, SUM(n) AS n
+  FROM sold JOIN parquet.`{dir}/part.parquet` ON p_partkey = l_partkey GROUP BY ALL
+)
+SELECT aisle_id, CAST(n AS DOUBLE) / CAST(SUM(n) OVER () AS DOUBLE) AS normalized_count
+FROM by_aisle ORDER BY normalized_count DESC, aisle_id LIMIT 10"""
 
 
 @register("src_parquet_path", S.with_ctes("""
@@ -82,6 +83,21 @@ def q_src_parquet_path(spark, d):
     return sql_over_path(spark, d, PATH_QUERY)
 
 
+@register("src_registered", S.with_ctes("""
+SELECT part.p_brand AS aisle, COUNT(*) AS num_lines, COUNT(DISTINCT ln.user_id) AS num_users,
+       (SELECT COUNT(DISTINCT p_type) FROM part) AS num_departments
+FROM ln JOIN part ON part.p_partkey = ln.product_id GROUP BY part.p_brand"""))
+def q_src_registered(spark, d):
+    """S3: SQL over the five registered tables."""
+    load_purchases(spark, d).register("shop_")
+    return spark.sql("""
+        SELECT aisle, COUNT(*) AS num_lines, COUNT(DISTINCT user_id) AS num_users,
+               (SELECT COUNT(*) FROM shop_departments) AS num_departments
+        FROM shop_order_products JOIN shop_orders USING (order_id) JOIN shop_products USING (product_id)
+             JOIN shop_aisles USING (aisle_id)
+        GROUP BY aisle""")
+
+
 @register("src_edges", S.with_ctes("""
 SELECT 'basket_user' AS edge, order_id, user_id AS other_id FROM po
 UNION ALL

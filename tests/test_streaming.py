@@ -51,8 +51,7 @@ def test_change_log_order_insensitive(spark):
         glob = CH.write_change_files([c.coalesce(1) for c in order], f"{root}/in")
         v = CH.run_change_log(spark, glob, root, max_files=1)
         assert v == 2
-        from trolley.sources.store import read_version
-        table = read_version(spark, root, "lines", v)
+        table = CH.lines_at(spark, root, v)
         results.append(sorted(tuple(r) for r in CH.live_interactions(table).collect()))
     assert results[0] == results[1] == [(1, 6)]
 
@@ -65,29 +64,40 @@ def test_apply_changes_keeps_negative_counts(spark):
 
 
 def test_restart_finds_its_version_and_old_ones_go(spark):
-    from trolley.sources.store import read_version, version_exists
+    from trolley.sources.store import version_exists
     root = CH.run_folder(spark, "test-restart")
     for i in range(3):
         changes(spark, [(1, 10 + i, 1, 5 + i)]).coalesce(1).write.json(f"{root}/in/part={i:05d}")
         v = CH.run_change_log(spark, f"{root}/in/part=*/*.json", root, max_files=1)
         assert v == i + 1
     assert CH.run_change_log(spark, f"{root}/in/part=*/*.json", root, max_files=1) == 3   # no new file
-    assert read_version(spark, root, "lines", 3).count() == 3
-    assert not version_exists(spark, root, "lines", 1) and version_exists(spark, root, "lines", 2)
+    assert CH.lines_at(spark, root, 3).count() == 3
+    assert not version_exists(spark, root, "lines/manifest", 1) and version_exists(spark, root, "lines/manifest", 2)
+
+
+def test_a_batch_writes_its_users_buckets_only(spark):
+    import os
+    root = CH.run_folder(spark, "test-buckets")
+    batches = [[(1, u, u, 5) for u in range(40)], [(1, 100, 7, 6)], [(-1, 7, 7, 5), (-1, 100, 7, 6)]]
+    for i, rows in enumerate(batches):
+        changes(spark, rows).coalesce(1).write.json(f"{root}/in/part={i:05d}")
+    assert CH.run_change_log(spark, f"{root}/in/part=*/*.json", root, max_files=1) == 3
+    data = f"{root.removeprefix('file:')}/lines/data"
+    written = {v: sorted(x for x in os.listdir(f"{data}/{v}") if x.startswith("bucket=")) for v in os.listdir(data)}
+    assert len(written["v=1"]) > 1 and len(written["v=2"]) == 1 and len(written["v=3"]) <= 1
+    assert sorted(r["user_id"] for r in CH.lines_at(spark, root, 3).collect()) == [u for u in range(40) if u != 7]
 
 
 def test_a_failing_read_is_not_an_absent_version(spark):
     import pytest
 
-    from trolley.sources.store import read_previous, version_exists, write_version
+    from trolley.sources.store import version_exists
     root = CH.run_folder(spark, "test-missing")
-    assert read_previous(spark, root, "lines", 0) is None
+    assert CH.lines_at(spark, root, 0).count() == 0
     with pytest.raises(Exception):
-        read_previous(spark, root, "lines", 3)      # a later batch never starts from nothing
+        CH.lines_at(spark, root, 3)      # a later batch never starts from nothing
     with pytest.raises(Exception):
         version_exists(spark, "nosuchstore://x", "lines", 0)
-    write_version(changes(spark, [(1, 1, 1, 1)]), root, "lines", 0)
-    assert read_previous(spark, root, "lines", 0).count() == 1
 
 
 def test_keyed_state_embeddings_match_batch(spark):
@@ -95,7 +105,7 @@ def test_keyed_state_embeddings_match_batch(spark):
     from trolley.operators import embeddings as EM
     from trolley.operators import unlearn as U
     from trolley.sources.purchases import lines, load_purchases
-    from trolley.sources.store import read_version
+    from trolley.sources.store import read_buckets
     from trolley.streaming import maintain as MT
     from trolley.streaming.keyed import keyed_embedding_stream
     p = load_purchases(spark, SF_SMALL)
@@ -105,7 +115,7 @@ def test_keyed_state_embeddings_match_batch(spark):
     glob = CH.write_change_files([MT.line_changes(lines(p), 1).repartition(2),
                                   MT.line_changes(removed, -1).coalesce(1)], f"{root}/in")
     v = keyed_embedding_stream(spark, glob, root, max_files=1)
-    got = read_version(spark, root, "embeddings", v)
+    got = read_buckets(spark, root, "embeddings", v, MT.VECTORS)
     p_new = U.apply_deletions(p, U.most_bought_item_deletions(p))
     want = EM.embeddings(p_new)
     cols = ["user_id", "item_id", F.round("weight", 9).alias("w")]

@@ -825,7 +825,7 @@ def q_diff_report_aisles(spark, d):
 
 # ------------------------------------------------------------------------------------- streaming
 
-from trolley.sources.store import read_version  # noqa: E402
+from trolley.sources.store import read_buckets, read_version  # noqa: E402
 from trolley.streaming import changes as CH  # noqa: E402
 from trolley.streaming import maintain as MT  # noqa: E402
 from trolley.streaming import requests as RQ  # noqa: E402
@@ -871,7 +871,7 @@ GROUP BY order_id, user_id, product_id""", *RECALL_CTES))
 def q_stream_changes(spark, d):
     p, root, glob = _change_log(spark, d)
     v = CH.run_change_log(spark, glob, root, max_files=2)
-    return CH.live_lines(read_version(spark, root, "lines", v)).select(*CH.KEYS, "mult")
+    return CH.live_lines(CH.lines_at(spark, root, v)).select(*CH.KEYS, "mult")
 
 
 @register("stream_interactions", S.with_ctes("SELECT DISTINCT user_id, product_id AS item_id FROM ln2",
@@ -879,7 +879,7 @@ def q_stream_changes(spark, d):
 def q_stream_interactions(spark, d):
     p, root, glob = _change_log(spark, d)
     v = CH.run_change_log(spark, glob, root, max_files=2)
-    return CH.live_interactions(read_version(spark, root, "lines", v))
+    return CH.live_interactions(CH.lines_at(spark, root, v))
 
 
 @register("stream_maintain", S.with_ctes("SELECT * FROM nbr2", *UNL_CTES))
@@ -896,7 +896,7 @@ def q_stream_maintain(spark, d):
 def q_stream_embeddings(spark, d):
     p, root, glob = _change_log(spark, d)
     v = MT.embedding_stream(spark, glob, root, p.orders, max_files=2)
-    return _rounded(read_version(spark, root, "embeddings", v), "weight")
+    return _rounded(read_buckets(spark, root, "embeddings", v, MT.VECTORS), "weight")
 
 
 # ------------------------------------------------------------------------- index store, changes
@@ -931,4 +931,4 @@ def q_stream_embeddings_keyed(spark, d):
     from trolley.streaming.keyed import keyed_embedding_stream
     p, root, glob = _change_log(spark, d)
     v = keyed_embedding_stream(spark, glob, root, max_files=2)
-    return _rounded(read_version(spark, root, "embeddings", v), "weight")
+    return _rounded(read_buckets(spark, root, "embeddings", v, MT.VECTORS), "weight")

@@ -56,3 +56,12 @@ def test_keep_good_keeps_rows_and_columns(spark, docs_of):
     want = [r.doc_id for r in Q.quality(docs).where("kept").collect()]
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
     assert Q.quality(docs_of([])).count() == 0 and Q.keep_good(docs_of([])).count() == 0
+
+
+def test_noise_or_repetition_in_a_short_tail_fails(spark, docs_of):
+    rng = random.Random(4)
+    body = prose(rng, 2000)[:8192]
+    noise = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    tails = {1: noise(2000), 2: noise(1500), 3: "z" * 1900, 4: "z" * 300, 5: prose(rng, 300)[:1500], 6: "end", 7: prose(rng, 40)[:150]}
+    got = {r.doc_id: r.method_failed for r in Q.quality(docs_of([(i, body + t) for i, t in tails.items()])).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False}

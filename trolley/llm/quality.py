@@ -21,6 +21,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 CHUNK_BYTES = 4096
+LEAST_BYTES = 256     # of a last chunk: the frame header alone takes shorter ones out of any band
 LEVEL = 3
 # (bytes up to, lowest ratio, highest ratio): the band of texts of at most that many bytes.
 BANDS = ((256, 0.30, 1.15), (1024, 0.16, 0.90), (4096, 0.12, 0.72), (16384, 0.08, 0.68), (1 << 62, 0.05, 0.66))
@@ -67,15 +68,15 @@ def band_of(n_bytes: int, bands=BANDS) -> tuple[float, float]:
 
 
 def ratios(raw: bytes, compressor, chunk: int = CHUNK_BYTES) -> tuple[float, list[tuple[int, float]]]:
-    """Whole-document ratio, and (bytes, ratio) of each full chunk and of a rest of half a chunk or more."""
+    """Whole-document ratio, and (bytes, ratio) of each chunk; a last one under ``LEAST_BYTES`` takes bytes before it."""
     if not raw:
         return 0.0, []
     whole = len(compressor.compress(raw)) / len(raw)
     if len(raw) <= chunk:
         return whole, []
     parts = [raw[i:i + chunk] for i in range(0, len(raw), chunk)]
-    if len(parts[-1]) < chunk // 2:
-        parts.pop()
+    if len(parts[-1]) < LEAST_BYTES:
+        parts[-1] = raw[-min(LEAST_BYTES, chunk):]
     return whole, [(len(p), len(compressor.compress(p)) / len(p)) for p in parts]
 
 

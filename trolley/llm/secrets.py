@@ -22,7 +22,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"          # a run of 16 or more is a maximal run of [0-9a-f]+ that is long enough
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+MIN_CANDIDATE = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}"
 WORD = r"[A-Za-z0-9+/_=-]{5,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE_DOCS = 20_000
@@ -108,7 +109,7 @@ def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col:
     """``(doc_id, base, spans)`` per input row: arrays of ``(start, kind, end)`` sorted by start, then kind.
 
     ``kind`` counts in ``KINDS``; ``base`` has the patterns' spans, ``spans`` also those that the
-    models add where no base span lies. Null texts count as empty and have no spans; whole texts are
+    models add in what the base spans leave of each token. Null texts count as empty and have no spans; whole texts are
     scanned; repeated rows repeat. Reads no other column.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -123,7 +124,17 @@ def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col:
         score = F.aggregate(_transitions(token), F.lit(0.0), lambda acc, t: acc + F.element_at(table, t))
         return (score >= MIN_RATIO) & (score >= MIN_RATIO_PER_STEP * (span["end"] - span["start"] - 1))
 
-    free = F.filter("tokens", lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    def parts(t: Column) -> Column:
+        """What the base spans leave of a token: the pieces before, between and after them."""
+        inside = F.filter("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+        part = lambda start, end: F.array(F.struct(start.alias("start"), t["kind"].alias("kind"), end.alias("end")))
+        return F.aggregate(
+            inside, F.struct(t["start"].alias("at"), F.array().cast(SPAN).alias("cut")),
+            lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"),
+                                    F.concat(acc["cut"], part(acc["at"], b["start"])).alias("cut")),
+            lambda acc: F.concat(acc["cut"], part(acc["at"], t["end"])))
+
+    free = F.filter(F.flatten(F.transform("tokens", parts)), lambda t: t["end"] - t["start"] >= MIN_CANDIDATE)
     return (with_base.withColumn("free", free)
             .select("doc_id", "base", F.array_sort(F.concat("base", F.filter("free", likely))).alias("spans")))
 

@@ -69,3 +69,14 @@ def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in D.contamination(docs_of(DOC_ROWS), none).collect())
     assert D.contamination(docs_of([]), none).count() == 0
+
+
+def test_windows_of_many_copies_stay_small(spark, docs_of):
+    """Items that share a prompt: no broadcast row holds their ids, and all of them are listed."""
+    items = [(i, ITEM) for i in range(3000)]
+    docs = docs_of([(1, ITEM), (2, "clean words only")])
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found, _ = D.hits(docs.selectExpr("doc_id as text_key", "text"), frame)
+    assert not any(t.startswith("array") for _, t in found.dtypes)
+    got = sorted((tuple(r) for r in D.report(D.contamination(docs, frame)).collect()), key=repr)
+    assert got == brute([(1, ITEM), (2, "clean words only")], items)

@@ -50,25 +50,27 @@ def kept_grams(lengths: list[int], window: int = WINDOW, gram: int = GRAM) -> Co
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(run array<string>, n, item_ids)``: each distinct item window, its length and the items that have it."""
+    """``(run array<string>, window_key, item_id)`` of every item window; equal windows share a key."""
     size = F.least(F.size("words"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("words") - size + 1)
     return (items.where("size(words) > 0")
-            .select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("run"))
-            .groupBy("run").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-            .withColumn("n", F.size("run")))
+            .select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice("words", i, size)))).alias("run"))
+            .withColumn("window_key", digest128(F.col("run"))))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
-         max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``(text_key, start, end, item_ids)`` of every occurrence of an item window in ``docs(text_key, text)``.
+         max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """``(text_key, start, end, window_key)`` of every occurrence of an item window in ``docs(text_key, text)``,
+    and ``(window_key, item_id)`` of the items that have each window.
 
     ``start`` counts words from 1, ``end`` is exclusive. Equal texts share a key and give their hits once.
+    A broadcast window has no item ids, so its row does not grow with the benchmark.
     """
     items = materialize(benchmark.select("item_id", words(F.col("text")).alias("words")), "items")
     lengths = sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(
         f"n between 1 and {window - 1}").distinct().collect())   # fewer than window numbers
-    windows = materialize(item_windows(items, window), "item-windows")
+    of_items = materialize(item_windows(items, window), "item-windows")
+    windows = materialize(of_items.select("run", "window_key").distinct(), "distinct-windows")
     # an item only needs the fingerprints of its own form: the short form if it is short
     short = items.where(f"size(words) between 1 and {window - 1}").select(F.expr(
         "shiftright(xxhash64(size(words), words), 30)").alias("f"))
@@ -99,15 +101,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     spans = (found.select("text_key", F.explode(F.transform(tries, lambda t: F.struct(
         t["start"].alias("start"), (t["start"] + t["n"]).alias("end"), F.slice("words", t["start"], t["n"]).alias("run"))))
         .alias("t")).select("text_key", "t.*"))
-    return spans.join(windows.select("run", "item_ids"), "run").select("text_key", "start", "end", "item_ids")
+    found = spans.join(windows, "run").select("text_key", "start", "end", "window_key")
+    return found, of_items.select("window_key", "item_id")
 
 
 def _hit_texts(keyed: DataFrame, benchmark: DataFrame, window: int, gram: int, max_broadcast: int) -> DataFrame:
     """``(text_key, spans, n_hit, item_ids)`` of the texts with a hit."""
-    found = hits(keyed.select("text_key", "text"), benchmark.select("item_id", "text"), window, gram, max_broadcast)
-    per_text = found.groupBy("text_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("ids"))
+    found, of_items = hits(keyed.select("text_key", "text"), benchmark.select("item_id", "text"), window, gram, max_broadcast)
+    found = materialize(found.distinct(), "hits")
+    ids = (found.select("text_key", "window_key").distinct().join(of_items, "window_key")
+           .groupBy("text_key").agg(F.collect_set("item_id").alias("ids")))
+    per_text = (found.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+                .join(ids, "text_key"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
         lambda acc, s: F.struct(

@@ -24,7 +24,7 @@ def test_stages_chain(spark):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES) and 4 <= len(P.STAGES) <= 5
     import __spark_entry__ as E
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
@@ -36,7 +36,7 @@ def test_queries_match_their_sql(spark):
 
     from scripts.check_oracle import digest
     duck = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "embeddings"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SMOKE}/{name}.parquet')")
     for name, sql in SQL.items():
         df = QUERIES[name](spark, SMOKE)

@@ -5,9 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from trolley.session import checkpoint_root
 
@@ -52,20 +57,44 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def slices(batch: pa.RecordBatch, text_col: str, max_chars: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive pieces of an Arrow batch: each holds one row or up to ``max_chars`` of text."""
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = size.cumsum() // max_chars
+    cuts = np.flatnonzero(np.diff(piece)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(lo, hi - lo)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_chars: int = 8_000_000,
                 text_col: str = "text") -> DataFrame:
-    """``fn`` over bounded pieces of each Arrow batch: a piece holds one row or up to ``max_chars``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            size = pdf[text_col].str.len().fillna(0).to_numpy().cumsum()
-            piece = (size // max_chars).astype("int64")
-            for _, part in pdf.groupby(piece, sort=False):
-                yield fn(part.reset_index(drop=True))
-
-    return df.mapInPandas(run, schema)
+    """``fn`` over bounded pieces of each Arrow batch: a piece holds one row or up to ``max_chars``.
+
+    Long columns reach ``fn`` as pandas ``Int64``, so ids beside a null and ids over 2^53 stay exact.
+    """
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, max_chars):
+                out = fn(part.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get))
+                yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, mask: Callable[[list], np.ndarray], max_chars: int = 8_000_000,
+              text_col: str = "text") -> DataFrame:
+    """Rows whose text ``mask`` accepts; every column passes as Arrow, so no value is converted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, max_chars):
+                yield part.filter(pa.array(mask(part.column(text_col).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def bitmap(keys: DataFrame, hash_col: str, log2_bits: int = 22) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from trolley.llm.common import map_batches
+from trolley.llm.common import keep_rows, map_batches
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -121,12 +121,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands=BANDS, chunk: int = CHUNK_BYTES,
-                 level: int = LEVEL) -> DataFrame:
+              level: int = LEVEL) -> DataFrame:
     """Rows of ``docs`` whose text passes the base rules and the bands, columns unchanged."""
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        judged = _measure(pd.DataFrame({"doc_id": pd.Series(range(len(pdf)), dtype="Int64"), "text": pdf[text_col]}),
-                          bands, chunk, level)
-        return pdf[judged["kept"].to_numpy(bool)]
+    def mask(texts: list) -> np.ndarray:
+        pdf = pd.DataFrame({"doc_id": pd.Series(range(len(texts)), dtype="Int64"), "text": pd.Series(texts, dtype=object)})
+        return _measure(pdf, bands, chunk, level)["kept"].to_numpy(bool)
 
-    return map_batches(docs, keep, docs.schema, text_col=text_col)
+    return keep_rows(docs, mask, text_col=text_col)

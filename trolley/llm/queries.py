@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trolley.llm import (decontaminate, html_extract, langid, line_dedup, quality, secrets, sentencepiece_bpe, simhash,
-                         urlfilter, warc)
+from trolley.llm import (decontaminate, hard_negatives, html_extract, langid, line_dedup, periodic, quality, secrets,
+                         sentencepiece_bpe, simhash, urlfilter, warc, winnow)
 from trolley.llm.common import table
 
 
@@ -63,6 +64,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.detect(periodic.plant(table(spark, sf_dir, "documents"))))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op13_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnow.with_next(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", winnow.as_text("hashes", "positions").alias("fingerprint"),
+                      winnow.as_text("edited_hashes", "edited_positions").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_periodic": op11_periodic,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_winnow": op13_winnow,
 }
 SQL: dict[str, str] = {
     "op5_warc": """
@@ -110,4 +130,25 @@ SQL: dict[str, str] = {
                coalesce(action, CASE WHEN regexp_matches(host,
                    '(^|[.])([^.]*-)?(adult|bets|casino|gambling|pills|porn|spam|xxx)(-[^.]*)?[.]') THEN 'block' ELSE 'allow' END) AS verdict
         FROM u LEFT JOIN best USING (page_id)""",
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM (SELECT DISTINCT * FROM embeddings)
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                   CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+             AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
 }

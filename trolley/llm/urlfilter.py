@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.common import ASCII_UPPER, materialize
+from trolley.llm.common import ASCII_UPPER, map_batches, materialize
 
 BITS_PER_KEY = 8
 PROBES = 4
@@ -166,28 +166,27 @@ def judge(pages: DataFrame, rules=RULES, unwanted: tuple[str, ...] = UNWANTED, i
         "allow": build_cascade(lists["allow"], universe), "block": build_cascade(lists["block"], universe),
         "hosts": build_cascade(hosts, universe)})   # each at most MAX_FILTER_BYTES a level
 
-    def run(batches):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = shared.value
-        for pdf in batches:
-            rule, verdict = [], []
-            memo: dict[tuple[str, str], tuple[str | None, str]] = {}
-            for host, path in zip(pdf["host"], pdf["path"]):
-                start = path[:max(lengths, default=0)]
-                if (host, start) not in memo:
-                    keys, parents = keys_of(host, start, lengths), suffixes(host)
-                    h = hashes(keys)
-                    fits = [(len(k), "allow", k) for k, x in zip(keys, lists["allow"].contains(h)) if x]
-                    fits += [(len(k), "block", k) for k, x in zip(keys, lists["block"].contains(h)) if x]
-                    if fits:
-                        _, action, key = max(fits)
-                        memo[host, start] = key, action
-                    else:
-                        bad = lists["hosts"].contains(hashes(parents)).any()
-                        memo[host, start] = None, "block" if bad else "allow"
-                k, v = memo[host, start]
-                rule.append(k)
-                verdict.append(v)
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "host": pdf["host"], "path": pdf["path"],
-                                "rule": pd.Series(rule, dtype=object), "verdict": verdict})
-
-    return rows.mapInPandas(run, "page_id long, host string, path string, rule string, verdict string")
+        rule, verdict = [], []
+        memo: dict[tuple[str, str], tuple[str | None, str]] = {}
+        for host, path in zip(pdf["host"], pdf["path"]):
+            start = path[:max(lengths, default=0)]
+            if (host, start) not in memo:
+                keys, parents = keys_of(host, start, lengths), suffixes(host)
+                h = hashes(keys)
+                fits = [(len(k), "allow", k) for k, x in zip(keys, lists["allow"].contains(h)) if x]
+                fits += [(len(k), "block", k) for k, x in zip(keys, lists["block"].contains(h)) if x]
+                if fits:
+                    _, action, key = max(fits)
+                    memo[host, start] = key, action
+                else:
+                    bad = lists["hosts"].contains(hashes(parents)).any()
+                    memo[host, start] = None, "block" if bad else "allow"
+            k, v = memo[host, start]
+            rule.append(k)
+            verdict.append(v)
+        return pd.DataFrame({"page_id": pdf["page_id"], "host": pdf["host"], "path": pdf["path"],
+                             "rule": pd.Series(rule, dtype=object), "verdict": verdict})
+
+    return map_batches(rows, run, "page_id long, host string, path string, rule string, verdict string", text_col="path")

@@ -29,7 +29,7 @@ def read_version(spark: SparkSession, root: str, table: str, version: int) -> Da
     return spark.read.parquet(version_path(root, table, version))
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object; works for any store that Spark can write to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -37,13 +37,13 @@ def _filesystem(spark: SparkSession, path: str):
 
 def version_exists(spark: SparkSession, root: str, table: str, version: int) -> bool:
     """Whether the version was committed. An unreachable store raises; it is not an absent version."""
-    fs, path = _filesystem(spark, f"{version_path(root, table, version)}/_SUCCESS")
+    fs, path = filesystem(spark, f"{version_path(root, table, version)}/_SUCCESS")
     return bool(fs.exists(path))
 
 
 def latest_version(spark: SparkSession, root: str, table: str, default: int = 0) -> int:
     """The highest committed version, which a restarted stream finds again; ``default`` if there is none."""
-    fs, path = _filesystem(spark, f"{root.rstrip('/')}/{table}")
+    fs, path = filesystem(spark, f"{root.rstrip('/')}/{table}")
     if not fs.exists(path):
         return default
     found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
@@ -52,7 +52,7 @@ def latest_version(spark: SparkSession, root: str, table: str, default: int = 0)
 
 def drop_versions(spark: SparkSession, root: str, table: str, before: int) -> None:
     """Delete versions lower than ``before``; a replayed batch still needs the one it continues."""
-    fs, path = _filesystem(spark, f"{root.rstrip('/')}/{table}")
+    fs, path = filesystem(spark, f"{root.rstrip('/')}/{table}")
     if not fs.exists(path):
         return
     for s in fs.listStatus(path):
@@ -96,7 +96,7 @@ def write_buckets(df: DataFrame, root: str, table: str, version: int, key: str,
     held = {}
     if version and version_exists(spark, root, f"{table}/manifest", version - 1):
         held = {b: v for b, v in _manifest(spark, root, table, version - 1).items() if b not in set(touched)}
-    fs, _ = _filesystem(spark, data)
+    fs, _ = filesystem(spark, data)
     new_path = spark._jvm.org.apache.hadoop.fs.Path
     held |= {b: version for b in touched if fs.exists(new_path(_bucket_path(root, table, version, b)))}
     rows = spark.createDataFrame(sorted(held.items()), "bucket int, version int")
@@ -119,7 +119,7 @@ def drop_buckets(spark: SparkSession, root: str, table: str, before: int) -> Non
     last = latest_version(spark, root, f"{table}/manifest")
     needed = {item for v in range(before, last + 1) if version_exists(spark, root, f"{table}/manifest", v)
               for item in _manifest(spark, root, table, v).items()}
-    fs, data = _filesystem(spark, f"{root.rstrip('/')}/{table}/data")
+    fs, data = filesystem(spark, f"{root.rstrip('/')}/{table}/data")
     for s in fs.listStatus(data) if fs.exists(data) else []:
         version = int(s.getPath().getName()[2:])
         for f in fs.listStatus(s.getPath()):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trolley.session import checkpoint_root
+from trolley.sources.store import filesystem
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -23,14 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of an action when it ends: a written table needs none of them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    with _shuffles_end(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a reused intermediate to the shared checkpoint folder and read it back.
 
     The files cut the lineage: a lost executor makes Spark reread them, not recompute upstream.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, f"{checkpoint_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Written intermediates with an owner: ``drop`` deletes a table when its last reader has written its own."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.root = f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        out = _written(df, path)
+        self.held[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.held.pop(id(t))
+            fs, where = filesystem(t.sparkSession, path)
+            fs.delete(where, True)
 
 
 def ascii_lower(text: Column) -> Column:

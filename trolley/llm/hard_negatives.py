@@ -133,14 +133,27 @@ def negatives_in(block: Block, anchor: np.ndarray, label: int, windows: list[tup
         return [(np.empty(0, np.int64),) * 2] * len(windows)
     rows = np.flatnonzero(block.labels != label)
 
+    windows_left = sorted(set(zip(lows[real].tolist(), highs[real].tolist())))
+
     def prune(rows, partial, low, high):
-        stays = np.zeros(len(partial), bool)
-        for lo, hi in set(zip(lows[real].tolist(), highs[real].tolist())):
-            inside = (partial + high >= lo) & (partial + low <= hi)
-            sure = partial[(partial + low >= lo) & (partial + high <= hi)] + low
-            if len(sure) >= n:                      # as many rows certainly in the window as are wanted
-                inside &= partial + high >= np.partition(sure, len(sure) - n)[len(sure) - n]
-            stays |= inside
+        spans: list[list] = []                      # partial scores that can still end in a window, as disjoint spans
+        for lo, hi in windows_left:
+            least = lo - high
+            if lo - low <= hi - high:               # narrow enough bounds for a row to be certainly inside
+                sure = partial[(partial >= lo - low) & (partial <= hi - high)]
+                if len(sure) >= n:                  # as many as are wanted: what cannot reach the last of them goes
+                    least = max(least, np.partition(sure, len(sure) - n)[len(sure) - n] + low - high)
+            spans.append([least, hi - low])
+        spans.sort()
+        merged = spans[:1]
+        for least, most in spans[1:]:
+            if least <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], most)
+            else:
+                merged.append([least, most])
+        stays = (partial >= merged[0][0]) & (partial <= merged[0][1])
+        for least, most in merged[1:]:
+            stays |= (partial >= least) & (partial <= most)
         return stays
 
     rows, scores = block.scan(anchor, rows, prune)
@@ -219,11 +232,11 @@ def _negatives(n: int, low: tuple[int, int], high: tuple[int, int]):
 
 
 def _dealt(rows: DataFrame, anchors: DataFrame, rows_per_block: int, anchors_per_group: int) -> tuple[int, int]:
-    """Number of blocks and of anchor groups: bounded sizes, and at least a block a task slot."""
+    """Number of blocks and of anchor groups: bounded sizes, and two tasks or more a task slot."""
     n, m = rows.count(), anchors.count()
     slots = rows.sparkSession.sparkContext.defaultParallelism
     groups = max(1, -(-m // anchors_per_group))
-    blocks = max(1, -(-n // rows_per_block), min(-(-slots // groups), -(-n // 2048)))
+    blocks = max(1, -(-n // rows_per_block), min(-(-2 * slots // groups), -(-n // 2048)))
     return blocks, groups
 
 

@@ -35,7 +35,8 @@ _BASE = 0x9E3779B97F4A7C15         # odd, so that it has an inverse modulo 2^64
 SCHEMA = "doc_id long, n_chars long, hashes array<long>, positions array<long>"
 NEXT_SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, hashes array<long>, positions array<long>, "
                "edited_hashes array<long>, edited_positions array<long>, near_edited double, near_next double")
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 8_000
+MAX_RANGES = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,19 +136,19 @@ def _number_of(bounds: list[int], holds) -> Column:
 def _in_ranges(rows: DataFrame, rows_per_range: int) -> tuple[DataFrame, int]:
     """``rows(doc_id, text)`` plus ``key`` (order within an id) and ``range``: consecutive ids, about evenly many.
 
-    Bounds are approximate percentiles of all ids: at most a few thousand numbers. An id that holds
+    Bounds are approximate percentiles of all ids: at most ``MAX_RANGES`` numbers. An id that holds
     several bounds is dealt over its ranges by the key, and so are the rows without an id, after all
     others. Which bounds are met changes the dealing only, never the order.
     """
     keyed = rows.withColumn("key", F.xxhash64("text"))
     found = rows.agg(F.count("doc_id").alias("n"), F.count(F.lit(1)).alias("all")).first()
     n_null = found["all"] - found["n"]
-    parts = min(10_000, max(rows.sparkSession.sparkContext.defaultParallelism, -(-found["n"] // rows_per_range)))
+    parts = min(MAX_RANGES, max(rows.sparkSession.sparkContext.defaultParallelism, -(-found["n"] // rows_per_range)))
     bounds: list[int] = []
     if found["n"]:
         shares = [i / parts for i in range(1, parts)]
         bounds = rows.agg(F.percentile_approx("doc_id", shares, 10 * parts + 10_000).alias("b")).first()["b"] if shares else []
-    nulls = min(10_000, max(1, -(-n_null // rows_per_range)))
+    nulls = min(MAX_RANGES, max(1, -(-n_null // rows_per_range)))
     share = F.col("key") / F.lit(2.0 ** 64) + F.lit(0.5)      # of the key's way through all keys
     below = _number_of(bounds, lambda b: b < F.col("doc_id"))
     equal = _number_of(bounds, lambda b: b <= F.col("doc_id")) - below
@@ -172,7 +173,7 @@ def with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: s
     dealt, n_ranges = _in_ranges(rows, rows_per_range)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     heads = materialize(dealt.groupBy("range").agg(F.min(order).alias("head")), "range-heads")    # a row a range
-    ranges = sorted(r["range"] for r in heads.select("range").collect())                          # at most 20,000
+    ranges = sorted(r["range"] for r in heads.select("range").collect())                          # at most 2 * MAX_RANGES
     before = {r: ranges[i - 1] for i, r in enumerate(ranges)}                                     # the first's is the last
     side = dealt.sparkSession.createDataFrame(sorted(before.items()), "range int, to int")
     edge = (dealt.join(F.broadcast(heads.join(side, "range")), "range")          # one small row a range

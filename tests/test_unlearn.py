@@ -150,3 +150,44 @@ def test_refresh_recommendations_many_users(spark):
     key = ["user_id", "item_id", F.round("score", 9).alias("s"), "rank"]
     assert got.select(*key).exceptAll(want.select(*key)).count() == 0
     assert want.select(*key).exceptAll(got.select(*key)).count() == 0
+
+
+def test_one_deletion_writes_in_proportion(spark):
+    """Bytes written by forgetting one pair: a share of the tables, and of lists only those that changed."""
+    from tests.conftest import SF_MID
+    from trolley.operators import unlearn as U
+    from trolley.plans.model_store import ModelStore
+    from trolley.plans.state import build_state
+    from trolley.sources.purchases import load_purchases
+    from trolley.streaming.changes import run_folder
+    p = load_purchases(spark, SF_MID)
+    st = build_state(p, k=10)
+    res = U.forget(st, U.latest_line(p))
+    written = res.state.store.written[1]
+    whole = ModelStore.at(st, run_folder(spark, "test-whole"))
+    for name in ("order_products", "interactions", "embeddings"):
+        assert 0 < written[name] < 0.1 * whole.tables[name].manifest(0).written, name
+    lists = st.neighbors.select("user_id").distinct().count()
+    rewritten = res.maintenance.rewritten.count()
+    assert written["neighbors"] < 5 * (rewritten / lists) * whole.tables["neighbors"].manifest(0).written + 20_000
+    assert rewritten < 0.2 * lists
+    # a second forget goes on from the first, and both equal a rebuild
+    again = U.forget(res.state, U.latest_line(res.state.purchases))
+    want = build_state(again.state.purchases, k=10)
+    for name, cols in (("interactions", ["user_id", "item_id"]), ("neighbors", ["user_id", "neighbor_id", "similarity", "rank"])):
+        got, full = getattr(again.state, name).select(*cols), getattr(want, name).select(*cols)
+        assert got.exceptAll(full).count() == 0 == full.exceptAll(got).count(), name
+
+
+def test_changed_lists_are_found_by_digest(spark):
+    from tests.conftest import SF_SMALL
+    from trolley.operators import unlearn as U
+    from trolley.plans.state import build_state
+    from trolley.sources.purchases import load_purchases
+    p = load_purchases(spark, SF_SMALL)
+    st = build_state(p, k=5)
+    res = U.forget(st, U.most_bought_item_deletions(p))
+    cols = ["user_id", "neighbor_id", "similarity"]
+    o, n = st.neighbors.select(*cols), res.state.neighbors.select(*cols)
+    want = {r[0] for r in o.exceptAll(n).unionByName(n.exceptAll(o)).select("user_id").distinct().collect()}
+    assert {r[0] for r in U.changed_lists(st.neighbors, res.maintenance).collect()} == want

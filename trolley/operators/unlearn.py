@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from trolley.operators import embeddings as EM
 from trolley.operators import similarity as K
 from trolley.operators.relational import baskets_of
+from trolley.plans.model_store import ModelStore
 from trolley.plans.state import ModelState
 from trolley.schema import EMBEDDINGS, INTERACTIONS, NEIGHBORS, check_columns
 from trolley.session import checkpoint_root, materialize, parallelism
@@ -72,11 +73,15 @@ def updated_norms(I_new: DataFrame, changed: DataFrame) -> DataFrame:
 
 def refresh_embeddings(E_old: DataFrame, p_new: Purchases, changed: DataFrame, state: ModelState) -> DataFrame:
     """Recompute the changed users' vectors from their remaining lines; keep all other rows."""
+    return E_old.join(changed, "user_id", "left_anti").unionByName(fresh_embeddings(p_new, changed, state))
+
+
+def fresh_embeddings(p_new: Purchases, changed: DataFrame, state: ModelState) -> DataFrame:
+    """The vectors of the changed users alone, from their remaining lines."""
     o = p_new.orders.join(changed, "user_id", "left_semi")
     sub = p_new.with_(orders=o, order_products=p_new.order_products.join(o.select("order_id"), "order_id",
                                                                           "left_semi"))
-    fresh = EM.embeddings(sub, state.params, state.ordered)
-    return E_old.join(changed, "user_id", "left_anti").unionByName(fresh)
+    return EM.embeddings(sub, state.params, state.ordered)
 
 
 # ------------------------------------------------------------------------------ U8-U11
@@ -150,6 +155,8 @@ class Maintenance:
     labels: DataFrame        # user_id, label (affected users only)
     affected: DataFrame
     recomputed: DataFrame    # the lists of the changed users and of those labelled recompute
+    rewritten: DataFrame     # user_id of every list that is not provably unchanged, the changed users' included
+    rows: DataFrame          # the new rows of the rewritten lists
 
 
 def maintain_neighbors(N_old: DataFrame, I_old: DataFrame, I_new: DataFrame, changed: DataFrame,
@@ -174,11 +181,12 @@ def maintain_neighbors(N_old: DataFrame, I_old: DataFrame, I_new: DataFrame, cha
     redo = labels.where(F.col("label") == "recompute").select("user_id").unionByName(changed).distinct()
     n_redo = I_new.join(redo, "user_id", "left_semi").count()
     fresh = materialize(recompute(I_new, redo, k, num_blocks, n_redo))
-    keep_exact = merged.join(labels.where(F.col("label") != "recompute"), "user_id", "left_semi")
-    untouched = N_old.join(touched, "user_id", "left_anti")
+    updated = merged.join(labels.where(F.col("label") == "updated"), "user_id", "left_semi")
+    rewritten = labels.where(F.col("label") != "unchanged").select("user_id").unionByName(changed).distinct()
     cols = ["user_id", "neighbor_id", "similarity", "rank"]
-    new_n = untouched.select(*cols).unionByName(keep_exact.select(*cols)).unionByName(fresh.select(*cols))
-    return Maintenance(new_n, labels, affected, fresh)
+    rows = updated.select(*cols).unionByName(fresh.select(*cols))
+    new_n = N_old.join(rewritten, "user_id", "left_anti").select(*cols).unionByName(rows)
+    return Maintenance(new_n, labels, affected, fresh, rewritten, rows)
 
 
 def counters(labels: DataFrame) -> DataFrame:
@@ -203,50 +211,65 @@ class ForgetResult:
 def forget(state: ModelState, deletions: DataFrame) -> ForgetResult:
     """Forget a set of purchases; the new state equals a rebuild on the remaining lines.
 
-    The new tables are written in turn, and each duration is the wall clock around its writes.
+    Each table gets a delta (see ``plans.model_store``): order lines and interactions by tombstones, the
+    changed users' vectors and the lists that are not provably unchanged as a whole. Nothing else is written
+    again, whatever the size of the tables. The given state stays readable. Each duration is the wall
+    clock around a table's commit.
     """
     checkpoint_root(state.interactions.sparkSession)
     check_columns(state.interactions, INTERACTIONS, "interactions")
     check_columns(state.embeddings, EMBEDDINGS, "embeddings")
     check_columns(state.neighbors, NEIGHBORS, "neighbors")
     t0 = time.time()
+    store = state.store if state.store is not None else ModelStore.over(state)
+    v = state.version + 1
     p_old = state.purchases
     accepted, rejected = split_requests(state.interactions, deletions)
     accepted = materialize(accepted)
-    p_new = apply_deletions(p_old, accepted)
-    p_new = p_new.with_(order_products=materialize(p_new.order_products))
-    I_new = materialize(state.interactions.join(accepted, ["user_id", "item_id"], "left_anti"))
+    gone = materialize(baskets_of(p_old, accepted))
+    p_new = p_old.with_(order_products=store.commit(
+        "order_products", v, gone=gone.select("order_id", F.col("item_id").alias("product_id"))))
+    I_new = store.commit("interactions", v, gone=accepted)
     changed = accepted.select("user_id").distinct()
     t1 = time.time()
-    E_new = materialize(refresh_embeddings(state.embeddings, p_new, changed, state))
+    E_new = store.commit("embeddings", v, gone=changed, rows=fresh_embeddings(p_new, changed, state))
     t2 = time.time()
     m = maintain_neighbors(state.neighbors, state.interactions, I_new, changed, state.k, state.num_blocks)
-    m.neighbors = materialize(m.neighbors)
+    m.neighbors = store.commit("neighbors", v, gone=m.rewritten, rows=m.rows)
     norms = state.norms.join(changed, "user_id", "left_anti").unionByName(updated_norms(I_new, changed))
+    store.seal(v)
     t3 = time.time()
-    new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors, norms=norms)
+    new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors, norms=norms,
+                            store=store, version=v)
     return ForgetResult(new_state, accepted, rejected, changed, m,
                         {"database_update": int((t1 - t0) * 1000), "embedding_update": int((t2 - t1) * 1000),
                          "topk_index_update": int((t3 - t2) * 1000)},
-                        baskets_of(p_old, accepted), state.neighbors)
+                        gone, state.neighbors)
+
+
+def changed_lists(N_old: DataFrame, m: Maintenance) -> DataFrame:
+    """The users whose list differs, by comparing a digest of each rewritten list before and after."""
+    digest = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("neighbor_id", "similarity")).alias("x")]
+    old = N_old.join(m.rewritten, "user_id", "left_semi").groupBy("user_id").agg(*digest)
+    new = m.rows.groupBy("user_id").agg(*digest)
+    same = old.join(new, ["user_id", "n", "x"], "left_semi").select("user_id")
+    return old.select("user_id").unionByName(new.select("user_id")).distinct().join(same, "user_id", "left_anti")
 
 
-def recommendation_users(N_old: DataFrame, N_new: DataFrame, changed: DataFrame) -> DataFrame:
+def recommendation_users(result: "ForgetResult") -> DataFrame:
     """Users whose recommendations can differ after a forget: their list changed, a neighbour's
     (or their own) embedding changed."""
-    cols = ["user_id", "neighbor_id", "similarity"]
-    o, n = N_old.select(*cols), N_new.select(*cols)
-    list_changed = o.exceptAll(n).unionByName(n.exceptAll(o)).select("user_id")
-    via_neighbor = N_new.join(changed.select(F.col("user_id").alias("neighbor_id")), "neighbor_id",
-                              "left_semi").select("user_id")
-    return list_changed.unionByName(via_neighbor).unionByName(changed.select("user_id")).distinct()
+    via_neighbor = result.state.neighbors.join(result.changed.select(F.col("user_id").alias("neighbor_id")), "neighbor_id",
+                                               "left_semi").select("user_id")
+    return (changed_lists(result.previous_neighbors, result.maintenance).unionByName(via_neighbor)
+            .unionByName(result.changed.select("user_id")).distinct())
 
 
 def refresh_recommendations(old_recs: DataFrame, result: "ForgetResult", alpha: float, n: int) -> DataFrame:
     """New top-n lists: recomputed for the users that can change, kept for everybody else."""
     from trolley.operators.recommend import recommend
     st = result.state
-    users = recommendation_users(result.previous_neighbors, st.neighbors, result.changed)
+    users = recommendation_users(result)
     fresh = recommend(st.neighbors, st.embeddings, alpha, n, users=users)
     return old_recs.join(users, "user_id", "left_anti").unionByName(fresh.select(*old_recs.columns))
 

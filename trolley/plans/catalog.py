@@ -825,7 +825,8 @@ def q_diff_report_aisles(spark, d):
 
 # ------------------------------------------------------------------------------------- streaming
 
-from trolley.sources.store import read_buckets, read_version  # noqa: E402
+from trolley.plans.model_store import ModelStore  # noqa: E402
+from trolley.sources.store import read_buckets  # noqa: E402
 from trolley.streaming import changes as CH  # noqa: E402
 from trolley.streaming import maintain as MT  # noqa: E402
 from trolley.streaming import requests as RQ  # noqa: E402
@@ -887,8 +888,9 @@ def q_stream_maintain(spark, d):
     p = load_purchases(spark, d)
     root = CH.run_folder(spark, "maintain")
     glob = _request_files(spark, d, f"{root}/in")
-    v = MT.maintain_stream(spark, build_state(p), glob, root, max_files=1)
-    return read_version(spark, root, "neighbors", v)
+    st = build_state(p)
+    v = MT.maintain_stream(spark, st, glob, root, max_files=1)
+    return ModelStore.at(st, f"{root}/model").read("neighbors", v)
 
 
 @register("stream_embeddings", S.with_ctes(f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM emb2",

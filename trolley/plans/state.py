@@ -24,6 +24,8 @@ class ModelState:
     k: int = DEFAULT_K
     ordered: bool = False
     num_blocks: int = 1
+    store: object = None      # the ModelStore that the tables are read from, if any, and its version
+    version: int = 0
 
     def with_(self, **kw) -> "ModelState":
         return replace(self, **kw)

@@ -102,3 +102,60 @@ def test_kernel_chunking_matches_brute_force(monkeypatch, cells, expansion):
     assert got_r.keys() == want(range(15, 30), range(15)).keys()
     for (o, n), s in {**want(range(15), range(15, 30)), **want(range(15, 30), range(15))}.items():
         assert (got_l.get((o, n)) or got_r.get((o, n))) == pytest.approx(s, abs=1e-12)
+
+
+def weighted(spark, rng, users=40, hot=0):
+    rows = {(u, int(i)): float(rng.integers(1, 4)) for u in range(users) for i in rng.choice(60, 8, replace=False)}
+    rows |= {(1000 + h, i): 1.0 for h in range(hot) for i in range(0, 60, 1 + h)}       # users that hold most items
+    return rows, spark.createDataFrame([(u, i, x) for (u, i), x in rows.items()], "user_id long, item_id long, value double")
+
+
+def brute_lists(rows, measure, left, right, k):
+    import math
+    vec = {}
+    for (u, i), x in rows.items():
+        vec.setdefault(u, {})[i] = x
+    mass = {u: sum(x * x for x in v.values()) for u, v in vec.items()}
+    out = set()
+    for u in left:
+        found = []
+        for v in right:
+            dot = sum(x * vec[v].get(i, 0) for i, x in vec[u].items()) if u != v else 0
+            if dot > 0:
+                sim = dot / (math.sqrt(mass[u]) * math.sqrt(mass[v])) if measure == "cosine" else dot / (mass[u] + mass[v] - dot)
+                found.append((-sim, v))
+        out |= {(u, v, round(-s, 12)) for s, v in sorted(found)[:k]}
+    return out
+
+
+def test_measures_and_hot_rows_equal_brute_force(spark):
+    import numpy as np
+
+    from trolley.functions.measures import COSINE, TANIMOTO
+    from trolley.operators import similarity as K
+    rows, I = weighted(spark, np.random.default_rng(5), hot=2)
+    users = sorted({u for u, _ in rows})
+    left_users, right_users = users[:15] + [1000], users[10:]
+    left = I.where(I.user_id.isin(left_users))
+    right = I.where(I.user_id.isin(right_users))
+    listed = lambda df: {(r.user_id, r.neighbor_id, round(r.similarity, 12)) for r in df.collect()}
+    for m in (COSINE, TANIMOTO):
+        for hot in (10_000, 20):      # all users in blocks, or the hot ones by joins
+            assert listed(K.build_neighbors(I, 6, num_blocks=3, hot_threshold=hot, measure=m)) == brute_lists(rows, m.name, users, users, 6)
+            got = K.neighbors_for(left, right, 6, left_blocks=2, right_blocks=2, hot_threshold=hot, measure=m)
+            assert listed(got) == brute_lists(rows, m.name, left_users, right_users, 6)
+    assert COSINE.less(10.0, 3.0) == 1.0
+
+
+def test_forget_with_another_measure_equals_a_rebuild(spark):
+    from tests.conftest import SF_SMALL
+    from trolley.functions.measures import TANIMOTO
+    from trolley.operators import unlearn as U
+    from trolley.plans.state import build_state
+    from trolley.sources.purchases import load_purchases
+    p = load_purchases(spark, SF_SMALL)
+    res = U.forget(build_state(p, k=5, measure=TANIMOTO), U.most_bought_item_deletions(p))
+    want = build_state(res.state.purchases, k=5, measure=TANIMOTO)
+    cols = ["user_id", "neighbor_id", "similarity", "rank"]
+    got, full = res.state.neighbors.select(*cols), want.neighbors.select(*cols)
+    assert got.exceptAll(full).count() == 0 == full.exceptAll(got).count()

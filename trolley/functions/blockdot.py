@@ -3,8 +3,8 @@
 A task receives the rows ``(user_id, item_id, value)`` of two user blocks. It computes the dot
 products of every left user with every right user that shares an item (row-wise sparse product:
 expand each left entry against the right entries of the same item, accumulate per user pair with
-``bincount``), turns them into cosines with both squared norms (every user's whole row is in the
-task), and keeps only the top-k per owner under the total order (similarity desc, id asc).
+``bincount``), turns them into similarities with both masses (every user's whole row is in the
+task; see ``functions.measures``), and keeps only the top-k per owner under the total order (similarity desc, id asc).
 Pair products never leave the task; the task emits at most k rows per user it owns.
 
 Memory is bounded by processing left users in chunks: a chunk holds at most ``MAX_CELLS`` dense
@@ -16,6 +16,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from trolley.functions.measures import COSINE, Measure
+
 MAX_CELLS = 1 << 22
 MAX_EXPANSION = 1 << 23
 
@@ -33,11 +35,12 @@ def topk_per_owner(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int
 
 
 class _Side:
-    """One side's rows with local user ids, squared norms and an item-sorted view."""
+    """One side's rows with local user ids, finished masses and an item-sorted view."""
 
-    def __init__(self, users: np.ndarray, items: np.ndarray, values: np.ndarray):
+    def __init__(self, users: np.ndarray, items: np.ndarray, values: np.ndarray, measure: Measure = COSINE):
         self.ids, self.local = np.unique(users, return_inverse=True)
-        self.nsq = np.bincount(self.local, weights=values * values, minlength=self.ids.size)
+        self.mass = measure.of_rows(values, self.local, self.ids.size)
+        self.measure = measure
         order = np.argsort(items, kind="stable")
         self.items_sorted = items[order]
         self.local_sorted = self.local[order]
@@ -47,7 +50,7 @@ class _Side:
 
 
 def block_scores(left: _Side, right: _Side, k: int, right_topk: bool):
-    """Top-k per left user (and, when ``right_topk``, per right user) of the cosine with the other side.
+    """Top-k per left user (and, when ``right_topk``, per right user) of the similarity with the other side.
 
     Returns two tuples of arrays ``(owner_id, other_id, similarity)``.
     """
@@ -61,8 +64,6 @@ def block_scores(left: _Side, right: _Side, k: int, right_topk: bool):
     per_user = np.bincount(left.local, weights=fan, minlength=left.ids.size).astype(np.int64)
     rows_per_user = np.bincount(left.local, minlength=left.ids.size)
     row_start = np.r_[0, np.cumsum(rows_per_user)]
-    rn_left = np.sqrt(left.nsq)
-    rn_right = np.sqrt(right.nsq)
     max_users = max(1, MAX_CELLS // max(1, n_right))
 
     out_l, out_r = [], []
@@ -101,7 +102,7 @@ def block_scores(left: _Side, right: _Side, k: int, right_topk: bool):
                 a = nz // n_right + u0
                 b = nz % n_right
                 dot = acc[nz]
-                sim = dot / (rn_left[a] * rn_right[b])
+                sim = left.measure.similarity(dot, left.mass[a], right.mass[b])
                 lid, rid = left.ids[a], right.ids[b]
                 keep = lid != rid
                 lid, rid, sim = lid[keep], rid[keep], sim[keep]
@@ -134,7 +135,7 @@ def _frame(parts) -> pd.DataFrame:
                          "similarity": sim.astype(np.float64)})
 
 
-def symmetric_task(k: int, num_blocks: int):
+def symmetric_task(k: int, num_blocks: int, measure: Measure = COSINE):
     """Kernel for a block pair of one matrix, keyed by ``gid = lo * B + hi``; rows carry ``blk``;
     lo == hi is the diagonal."""
     def run(key, pdf):
@@ -144,18 +145,18 @@ def symmetric_task(k: int, num_blocks: int):
         i = pdf["item_id"].to_numpy(np.int64)
         x = pdf["value"].to_numpy(np.float64)
         a = blk == lo
-        left = _Side(u[a], i[a], x[a])
+        left = _Side(u[a], i[a], x[a], measure)
         if lo == hi:
             res_l, _ = block_scores(left, left, k, right_topk=False)
             return _frame([res_l])
         b = blk == hi
-        right = _Side(u[b], i[b], x[b])
+        right = _Side(u[b], i[b], x[b], measure)
         res_l, res_r = block_scores(left, right, k, right_topk=True)
         return _frame([res_l, res_r])
     return run
 
 
-def asymmetric_task(k: int):
+def asymmetric_task(k: int, measure: Measure = COSINE):
     """Kernel for a (left block, right block) task: rows carry ``side`` = 'L' or 'R'."""
     def run(key, pdf):
         side = pdf["side"].to_numpy()
@@ -165,6 +166,6 @@ def asymmetric_task(k: int):
         a, b = side == "L", side == "R"
         if not a.any() or not b.any():
             return _frame([])
-        res_l, _ = block_scores(_Side(u[a], i[a], x[a]), _Side(u[b], i[b], x[b]), k, right_topk=False)
+        res_l, _ = block_scores(_Side(u[a], i[a], x[a], measure), _Side(u[b], i[b], x[b], measure), k, right_topk=False)
         return _frame([res_l])
     return run

@@ -27,16 +27,6 @@ def rank_key(c: str | Column) -> Column:
     return F.round(col(c) * F.lit(RANK_SCALE)) / F.lit(RANK_SCALE)
 
 
-def cosine(dot: str | Column, nsq_a: str | Column, nsq_b: str | Column) -> Column:
-    """Cosine from a dot product and two squared norms: ``dot / (sqrt(a) * sqrt(b))``.
-
-    Written in exactly this order in every engine, so binary data gives bit-equal values.
-    A zero norm gives null (the row has no interactions and takes no part).
-    """
-    denom = F.sqrt(col(nsq_a)) * F.sqrt(col(nsq_b))
-    return F.when(denom > 0, col(dot) / denom)
-
-
 def top_n_window(partition: list[str], order: list[Column]):
     return Window.partitionBy(*partition).orderBy(*order)
 

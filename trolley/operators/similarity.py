@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.functions import blockdot
-from trolley.functions.expressions import cosine, top_n
+from trolley.functions.expressions import top_n
+from trolley.functions.measures import COSINE, Measure
 from trolley.session import parallelism
 
 PAIR_SCHEMA = "user_id long, neighbor_id long, similarity double"
@@ -47,10 +48,10 @@ def rows_per_block(spark) -> int:
         return ROWS_PER_BLOCK
 
 
-def norms(I: DataFrame) -> DataFrame:
-    """K1: ``(user_id, nsq, norm)``; the squared norm is kept exact (sums of squares)."""
-    return (I.groupBy("user_id").agg(F.sum(F.col("value") * F.col("value")).alias("nsq"))
-            .withColumn("norm", F.sqrt("nsq")))
+def norms(I: DataFrame, measure: Measure = COSINE) -> DataFrame:
+    """K1: ``(user_id, nsq, norm)``; the mass ``nsq`` is kept exact (for cosine: the sum of squares)."""
+    return (I.groupBy("user_id").agg(F.sum(measure.term(F.col("value"))).alias("nsq"))
+            .withColumn("norm", measure.finish(F.col("nsq"), F.sqrt)))
 
 
 def pair_dot_totals(I: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def choose_blocks(spark, nnz: int, rows: int | None = None) -> int:
     return max(1, by_size, by_slots)
 
 
-def block_candidates(I: DataFrame, k: int, num_blocks: int) -> DataFrame:
+def block_candidates(I: DataFrame, k: int, num_blocks: int, measure: Measure = COSINE) -> DataFrame:
     """Per block pair, the top-k neighbours of every user of the pair (K2 + K3 + K4 per task)."""
     B = int(num_blocks)
     rows = I.select("user_id", "item_id", F.col("value").cast("double").alias("value")) \
@@ -83,7 +84,7 @@ def block_candidates(I: DataFrame, k: int, num_blocks: int) -> DataFrame:
            .withColumn("gid", F.least("blk", "peer") * B + F.greatest("blk", "peer"))
            .drop("peer"))
     return _one_task_per_group(rep, B * (B + 1) // 2).applyInPandas(
-        blockdot.symmetric_task(k, B), PAIR_SCHEMA)
+        blockdot.symmetric_task(k, B, measure), PAIR_SCHEMA)
 
 
 def _one_task_per_group(rows: DataFrame, n_groups: int):
@@ -119,27 +120,37 @@ def hot_users(I: DataFrame, hot_threshold: int) -> DataFrame:
             .where(F.col("len") > hot_threshold).select("user_id"))
 
 
-def hot_candidates(I: DataFrame, hot: DataFrame, k: int) -> DataFrame:
-    """Candidates that involve a hot user: its own top-k, and its entry in every other list."""
-    h_rows = I.join(hot, "user_id", "left_semi").select(F.col("user_id").alias("h"), "item_id",
-                                                        F.col("value").alias("x"))
-    dots = (h_rows.join(I.select("user_id", "item_id", F.col("value").alias("y")), "item_id")
-            .where(F.col("h") != F.col("user_id"))
-            .groupBy("h", "user_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+def joined_similarities(left: DataFrame, right: DataFrame, measure: Measure = COSINE,
+                        left_mass: DataFrame | None = None, right_mass: DataFrame | None = None) -> DataFrame:
+    """``(user_id, neighbor_id, similarity)`` of every left user with every right user that shares an item.
+
+    A join on the item, summed map-side per pair; adaptive execution splits skewed items. For a bounded
+    number of users on one side. The masses default to those of the rows given, which then must be whole.
+    """
+    l_mass = (norms(left, measure) if left_mass is None else left_mass).select("user_id", F.col("nsq").alias("mass_l"))
+    r_mass = (norms(right, measure) if right_mass is None else right_mass).select(
+        F.col("user_id").alias("neighbor_id"), F.col("nsq").alias("mass_r"))
+    dots = (left.select("user_id", "item_id", F.col("value").alias("x"))
+            .join(right.select(F.col("user_id").alias("neighbor_id"), "item_id", F.col("value").alias("y")), "item_id")
+            .where(F.col("user_id") != F.col("neighbor_id"))
+            .groupBy("user_id", "neighbor_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
             .where(F.col("dot") > 0))
-    nsq = norms(I)
-    sims = (dots.join(nsq.select(F.col("user_id").alias("h"), F.col("nsq").alias("nsq_h")), "h")
-            .join(nsq.select("user_id", F.col("nsq").alias("nsq_v")), "user_id")
-            .select("h", "user_id", cosine("dot", "nsq_h", "nsq_v").alias("similarity")))
-    own = top_k(sims.select(F.col("h").alias("user_id"), F.col("user_id").alias("neighbor_id"), "similarity"), k)
-    mirrored = (sims.join(hot, "user_id", "left_anti")
-                .select("user_id", F.col("h").alias("neighbor_id"), "similarity"))
+    return (dots.join(l_mass, "user_id").join(r_mass, "neighbor_id")
+            .select("user_id", "neighbor_id", measure.column("dot", "mass_l", "mass_r").alias("similarity")))
+
+
+def hot_candidates(I: DataFrame, hot: DataFrame, k: int, measure: Measure = COSINE) -> DataFrame:
+    """Candidates that involve a hot user: its own top-k, and its entry in every other list."""
+    sims = joined_similarities(I.join(hot, "user_id", "left_semi"), I, measure)
+    own = top_k(sims, k)
+    mirrored = (sims.select(F.col("neighbor_id").alias("user_id"), F.col("user_id").alias("neighbor_id"), "similarity")
+                .join(hot, "user_id", "left_anti"))
     return own.select("user_id", "neighbor_id", "similarity").unionByName(mirrored)
 
 
 def build_neighbors(I: DataFrame, k: int = 50, num_blocks: int | None = None,
                     nnz: int | None = None, hot_threshold: int | None = None,
-                    longest_row: int | None = None) -> DataFrame:
+                    longest_row: int | None = None, measure: Measure = COSINE) -> DataFrame:
     """K5: the neighbour table ``(user_id, neighbor_id, similarity, rank)`` for every user.
 
     ``num_blocks`` defaults from ``nnz``; rows longer than ``hot_threshold`` (default: a fifth of a
@@ -152,26 +163,46 @@ def build_neighbors(I: DataFrame, k: int = 50, num_blocks: int | None = None,
             num_blocks = choose_blocks(I.sparkSession, nnz)
     threshold = hot_threshold if hot_threshold is not None else rows_per_block(I.sparkSession) // 5
     if longest_row <= threshold:
-        return top_k(block_candidates(I, k, num_blocks), k)
+        return top_k(block_candidates(I, k, num_blocks, measure), k)
     hot = hot_users(I, threshold)
     cold = I.join(hot, "user_id", "left_anti")
-    cands = block_candidates(cold, k, num_blocks).unionByName(hot_candidates(I, hot, k))
+    cands = block_candidates(cold, k, num_blocks, measure).unionByName(hot_candidates(I, hot, k, measure))
     return top_k(cands, k)
 
 
 def neighbors_for(I_left: DataFrame, I_right: DataFrame, k: int, left_blocks: int = 1,
-                  right_blocks: int | None = None) -> DataFrame:
+                  right_blocks: int | None = None, hot_threshold: int | None = None,
+                  longest_row: int | None = None, measure: Measure = COSINE) -> DataFrame:
     """Top-k neighbours of the users in ``I_left`` among the users of ``I_right``.
 
     Used by maintenance: recomputing flagged lists (left = flagged users' rows, right = all rows)
     and the best changed users for each affected list (left = affected rows, right = changed
     users' rows). Left rows go to every right block and right rows to every left block, so the
     small side is the one that is copied.
+
+    The rule of the build holds here too: users with more rows than ``hot_threshold`` (default: a fifth of
+    a block) on either side leave the blocks, and their pairs come from joins on the item. Without
+    ``longest_row`` one aggregation over the row lengths tells whether there are any.
     """
     spark = I_left.sparkSession
-    if right_blocks is None:
-        right_blocks = max(1, parallelism(spark))
-    BL, BR = int(left_blocks), int(right_blocks)
+    threshold = hot_threshold if hot_threshold is not None else rows_per_block(spark) // 5
+    if longest_row is None:
+        longest_row = max(row_stats(I_left)[1], row_stats(I_right)[1])
+    if longest_row <= threshold:
+        return top_k(_block_pairs(I_left, I_right, k, left_blocks, right_blocks, measure), k)
+    hot_left, hot_right = hot_users(I_left, threshold), hot_users(I_right, threshold)
+    light_left, light_right = (I_left.join(hot_left, "user_id", "left_anti"), I_right.join(hot_right, "user_id", "left_anti"))
+    heavy_left, heavy_right = (I_left.join(hot_left, "user_id", "left_semi"), I_right.join(hot_right, "user_id", "left_semi"))
+    cands = (_block_pairs(light_left, light_right, k, left_blocks, right_blocks, measure)
+             .unionByName(joined_similarities(heavy_left, I_right, measure))
+             .unionByName(joined_similarities(light_left, heavy_right, measure)))
+    return top_k(cands, k)
+
+
+def _block_pairs(I_left: DataFrame, I_right: DataFrame, k: int, left_blocks: int, right_blocks: int | None,
+                 measure: Measure) -> DataFrame:
+    """The k best of each left user in each right block."""
+    BL, BR = int(left_blocks), int(right_blocks or max(1, parallelism(I_left.sparkSession)))
     cols = ["user_id", "item_id", F.col("value").cast("double").alias("value")]
     left = (I_left.select(*cols).withColumn("side", F.lit("L"))
             .withColumn("a", F.pmod(F.xxhash64("user_id"), F.lit(BL)).cast("int"))
@@ -180,17 +211,16 @@ def neighbors_for(I_left: DataFrame, I_right: DataFrame, k: int, left_blocks: in
              .withColumn("b", F.pmod(F.xxhash64("user_id"), F.lit(BR)).cast("int"))
              .withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(BL - 1)))))
     both = left.unionByName(right).withColumn("gid", F.col("a") * BR + F.col("b")).drop("a", "b")
-    cands = _one_task_per_group(both, BL * BR).applyInPandas(blockdot.asymmetric_task(k), PAIR_SCHEMA)
-    return top_k(cands, k)
+    return _one_task_per_group(both, BL * BR).applyInPandas(blockdot.asymmetric_task(k, measure), PAIR_SCHEMA)
 
 
-def pair_similarities(I: DataFrame, pairs: DataFrame, nsq: DataFrame | None = None) -> DataFrame:
+def pair_similarities(I: DataFrame, pairs: DataFrame, nsq: DataFrame | None = None, measure: Measure = COSINE) -> DataFrame:
     """K3 on given pairs: ``(user_id, neighbor_id, dot, similarity)`` by joins only.
 
     The dot of each listed pair is recomputed from the two rows (join on (neighbor, item)), so the
     work is linear in |pairs| x row length; used to cross-check the kernel.
     """
-    nsq = nsq if nsq is not None else norms(I)
+    nsq = nsq if nsq is not None else norms(I, measure)
     left = pairs.select("user_id", "neighbor_id").join(I.select("user_id", "item_id", F.col("value").alias("x")),
                                                         "user_id")
     right = I.select(F.col("user_id").alias("neighbor_id"), "item_id", F.col("value").alias("y"))
@@ -199,7 +229,7 @@ def pair_similarities(I: DataFrame, pairs: DataFrame, nsq: DataFrame | None = No
     na = nsq.select("user_id", F.col("nsq").alias("nsq_u"))
     nb = nsq.select(F.col("user_id").alias("neighbor_id"), F.col("nsq").alias("nsq_v"))
     return (dots.join(na, "user_id").join(nb, "neighbor_id")
-            .select("user_id", "neighbor_id", "dot", cosine("dot", "nsq_u", "nsq_v").alias("similarity")))
+            .select("user_id", "neighbor_id", "dot", measure.column("dot", "nsq_u", "nsq_v").alias("similarity")))
 
 
 def neighbors_of(N: DataFrame, users: DataFrame) -> DataFrame:

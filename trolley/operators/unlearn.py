@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trolley.functions.measures import COSINE, Measure
 from trolley.operators import embeddings as EM
 from trolley.operators import similarity as K
 from trolley.operators.relational import baskets_of
@@ -64,9 +65,9 @@ def vanished(I_old: DataFrame, I_new: DataFrame) -> DataFrame:
                                                    ["user_id", "item_id"], "left_anti")
 
 
-def updated_norms(I_new: DataFrame, changed: DataFrame) -> DataFrame:
-    """Exact squared norms of the changed users from their remaining rows (no sqrt drift)."""
-    return K.norms(I_new.join(changed, "user_id", "left_semi"))
+def updated_norms(I_new: DataFrame, changed: DataFrame, measure: Measure = COSINE) -> DataFrame:
+    """Exact masses of the changed users from their remaining rows (no sqrt drift)."""
+    return K.norms(I_new.join(changed, "user_id", "left_semi"), measure)
 
 
 # ------------------------------------------------------------------------------ U2
@@ -99,11 +100,13 @@ def _rows_blocks(n_rows: int, spark=None) -> int:
 
 
 def merge_candidates(N_old: DataFrame, I_new: DataFrame, changed: DataFrame, affected: DataFrame,
-                     k: int, left_blocks: int, right_blocks: int) -> DataFrame:
+                     k: int, left_blocks: int, right_blocks: int, longest_row: int | None = None,
+                     measure: Measure = COSINE) -> DataFrame:
     """U9 part 1: ``top-k(L(v) minus C  +  best k changed users by new similarity)`` per affected v."""
     rows_a = I_new.join(affected, "user_id", "left_semi")
     rows_c = I_new.join(changed, "user_id", "left_semi")
-    cand = K.neighbors_for(rows_a, rows_c, k, left_blocks=left_blocks, right_blocks=right_blocks)
+    cand = K.neighbors_for(rows_a, rows_c, k, left_blocks=left_blocks, right_blocks=right_blocks,
+                           longest_row=longest_row, measure=measure)
     return merge_lists(N_old.join(affected, "user_id", "left_semi"), changed, cand, k)
 
 
@@ -141,12 +144,13 @@ def label_lists(N_old: DataFrame, merged: DataFrame, affected: DataFrame, k: int
     return s.select("user_id", label.alias("label"))
 
 
-def recompute(I_new: DataFrame, users: DataFrame, k: int, num_blocks: int,
-              n_rows: int | None = None) -> DataFrame:
+def recompute(I_new: DataFrame, users: DataFrame, k: int, num_blocks: int, n_rows: int | None = None,
+              longest_row: int | None = None, measure: Measure = COSINE) -> DataFrame:
     """Full top-k lists of the given users against all rows."""
     left = I_new.join(users, "user_id", "left_semi")
     lb = _rows_blocks(n_rows, I_new.sparkSession) if n_rows is not None else 1
-    return K.neighbors_for(left, I_new, k, left_blocks=lb, right_blocks=max(1, num_blocks))
+    return K.neighbors_for(left, I_new, k, left_blocks=lb, right_blocks=max(1, num_blocks),
+                           longest_row=longest_row, measure=measure)
 
 
 @dataclass
@@ -160,7 +164,7 @@ class Maintenance:
 
 
 def maintain_neighbors(N_old: DataFrame, I_old: DataFrame, I_new: DataFrame, changed: DataFrame,
-                       k: int, num_blocks: int) -> Maintenance:
+                       k: int, num_blocks: int, measure: Measure = COSINE) -> Maintenance:
     """U6/U7 generalised to many users at once: the neighbour table after the deletions.
 
     ``I_new`` should be a written table; row counts only size the blocks. Affected users, merged
@@ -170,17 +174,19 @@ def maintain_neighbors(N_old: DataFrame, I_old: DataFrame, I_new: DataFrame, cha
     affected = materialize(affected_users(I_old, changed))
     touched = (affected.withColumn("is_changed", F.lit(0))
                .unionByName(changed.select("user_id").withColumn("is_changed", F.lit(1))))
-    sizes = (I_new.join(touched, "user_id")
-             .agg(F.count(F.lit(1)).alias("n_touched"), F.sum("is_changed").alias("n_c")).first())
-    n_touched, n_c = int(sizes["n_touched"] or 0), int(sizes["n_c"] or 0)
+    # one aggregation sizes the blocks and tells whether a row is too long for them
+    sizes = (I_new.groupBy("user_id").agg(F.count(F.lit(1)).alias("len")).join(touched, "user_id", "left")
+             .agg(F.sum(F.when(F.col("is_changed").isNotNull(), F.col("len"))).alias("n_touched"),
+                  F.sum(F.when(F.col("is_changed") == 1, F.col("len"))).alias("n_c"), F.max("len").alias("longest")).first())
+    n_touched, n_c, longest = (int(sizes[x] or 0) for x in ("n_touched", "n_c", "longest"))
     touched = touched.select("user_id")
     merged = materialize(merge_candidates(N_old, I_new, changed, affected, k,
                                           left_blocks=max(parallelism(spark), _rows_blocks(n_touched, spark)),
-                                          right_blocks=_rows_blocks(n_c, spark)))
+                                          right_blocks=_rows_blocks(n_c, spark), longest_row=longest, measure=measure))
     labels = materialize(label_lists(N_old, merged, affected, k))
     redo = labels.where(F.col("label") == "recompute").select("user_id").unionByName(changed).distinct()
     n_redo = I_new.join(redo, "user_id", "left_semi").count()
-    fresh = materialize(recompute(I_new, redo, k, num_blocks, n_redo))
+    fresh = materialize(recompute(I_new, redo, k, num_blocks, n_redo, longest, measure))
     updated = merged.join(labels.where(F.col("label") == "updated"), "user_id", "left_semi")
     rewritten = labels.where(F.col("label") != "unchanged").select("user_id").unionByName(changed).distinct()
     cols = ["user_id", "neighbor_id", "similarity", "rank"]
@@ -234,9 +240,9 @@ def forget(state: ModelState, deletions: DataFrame) -> ForgetResult:
     t1 = time.time()
     E_new = store.commit("embeddings", v, gone=changed, rows=fresh_embeddings(p_new, changed, state))
     t2 = time.time()
-    m = maintain_neighbors(state.neighbors, state.interactions, I_new, changed, state.k, state.num_blocks)
+    m = maintain_neighbors(state.neighbors, state.interactions, I_new, changed, state.k, state.num_blocks, state.measure)
     m.neighbors = store.commit("neighbors", v, gone=m.rewritten, rows=m.rows)
-    norms = state.norms.join(changed, "user_id", "left_anti").unionByName(updated_norms(I_new, changed))
+    norms = state.norms.join(changed, "user_id", "left_anti").unionByName(updated_norms(I_new, changed, state.measure))
     store.seal(v)
     t3 = time.time()
     new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors, norms=norms,

@@ -377,6 +377,14 @@ def q_sim_index(spark, d):
     return _neighbors(spark, d, 50)
 
 
+@register("sim_index_tanimoto", S.with_ctes("SELECT * FROM nbr", S.interactions_cte(),
+                                             S.neighbors_cte(50, similarity=S.TANIMOTO_SQL)))
+def q_sim_index_tanimoto(spark, d):
+    from trolley.functions.measures import TANIMOTO
+    from trolley.session import materialize
+    return K.build_neighbors(materialize(EM.interactions(load_purchases(spark, d))), 50, measure=TANIMOTO)
+
+
 @register("sim_out", S.with_ctes("SELECT * FROM nbr WHERE user_id IN (SELECT user_id FROM coh)",
                                  NATION_COHORTS_CTE, S.interactions_cte(), S.neighbors_cte(50)))
 def q_sim_out(spark, d):

@@ -80,7 +80,7 @@ class ModelStore:
         t = {name: self.read(name, version) for name in TABLES}
         return template.with_(purchases=template.purchases.with_(order_products=t["order_products"]),
                               interactions=t["interactions"], embeddings=t["embeddings"], neighbors=t["neighbors"],
-                              norms=K.norms(t["interactions"]), store=self, version=version)
+                              norms=K.norms(t["interactions"], template.measure), store=self, version=version)
 
     def drop_before(self, version: int) -> None:
         for t in self.tables.values():

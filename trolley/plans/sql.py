@@ -60,13 +60,17 @@ def interactions_cte(lines: str = "ln", name: str = "inter") -> str:
     return f"{name} AS (SELECT DISTINCT user_id, product_id AS item_id, 1.0::DOUBLE AS value FROM {lines})"
 
 
-def neighbors_cte(k: int, inter: str = "inter", name: str = "nbr") -> str:
+COSINE_SQL = "d.dot / (sqrt(na.nsq) * sqrt(nb.nsq))"
+TANIMOTO_SQL = "d.dot / (na.nsq + nb.nsq - d.dot)"
+
+
+def neighbors_cte(k: int, inter: str = "inter", name: str = "nbr", similarity: str = COSINE_SQL) -> str:
     return f"""
 {name}_nsq AS (SELECT user_id, SUM(value * value) AS nsq FROM {inter} GROUP BY user_id),
 {name}_dot AS (SELECT a.user_id AS user_id, b.user_id AS neighbor_id, SUM(a.value * b.value) AS dot
            FROM {inter} a JOIN {inter} b ON a.item_id = b.item_id AND a.user_id <> b.user_id
            GROUP BY a.user_id, b.user_id),
-{name}_sim AS (SELECT d.user_id, d.neighbor_id, d.dot / (sqrt(na.nsq) * sqrt(nb.nsq)) AS similarity
+{name}_sim AS (SELECT d.user_id, d.neighbor_id, {similarity} AS similarity
            FROM {name}_dot d JOIN {name}_nsq na ON na.user_id = d.user_id
                           JOIN {name}_nsq nb ON nb.user_id = d.neighbor_id
            WHERE d.dot > 0),

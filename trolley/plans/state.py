@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from trolley.functions.measures import COSINE, Measure
 from trolley.operators import embeddings as EM
 from trolley.operators import similarity as K
 from trolley.schema import DEFAULT_K, DEFAULT_PARAMS, HyperParams
@@ -26,13 +27,14 @@ class ModelState:
     num_blocks: int = 1
     store: object = None      # the ModelStore that the tables are read from, if any, and its version
     version: int = 0
+    measure: Measure = COSINE
 
     def with_(self, **kw) -> "ModelState":
         return replace(self, **kw)
 
 
 def build_state(p: Purchases, params: HyperParams = DEFAULT_PARAMS, k: int = DEFAULT_K,
-                ordered: bool = False, num_blocks: int | None = None) -> ModelState:
+                ordered: bool = False, num_blocks: int | None = None, measure: Measure = COSINE) -> ModelState:
     """The whole model. Interactions, embeddings and lists are written once: later steps read each of
     them several times."""
     I = materialize(EM.interactions(p))
@@ -42,7 +44,7 @@ def build_state(p: Purchases, params: HyperParams = DEFAULT_PARAMS, k: int = DEF
         purchases=p,
         interactions=I,
         embeddings=materialize(EM.embeddings(p, params, ordered)),
-        neighbors=materialize(K.build_neighbors(I, k, num_blocks=B, longest_row=longest)),
-        norms=K.norms(I),
-        params=params, k=k, ordered=ordered, num_blocks=B,
+        neighbors=materialize(K.build_neighbors(I, k, num_blocks=B, longest_row=longest, measure=measure)),
+        norms=K.norms(I, measure),
+        params=params, k=k, ordered=ordered, num_blocks=B, measure=measure,
     )

@@ -12,7 +12,7 @@ ROWS = [(1, "http://a.example/n/1", SITE.format("<p>First &amp; story</p>")), (2
 def test_differencing_and_markup(spark):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "'t' as text", "'l' as lines", "1 as main")
     got = sorted(((r.page_id, r.text, r.n_chars) for r in H.extract(pages).collect()), key=repr)
-    text = {1: "First & story", 2: "Second story", 3: "Welcome to the site\nAlone\nTerms of use", 4: "No url", 5: "", 6: "", 7: "T\nKept", 8: "T\nKept", None: "x"}
+    text = {1: "First & story", 2: "Second story", 3: "Welcome to the site\nAlone\nTerms of use", 4: "No url", 5: "", 6: "", 7: "T\nKept\nout", 8: "T\nKept", None: "x"}
     assert got == sorted(((i, text[i], len(text[i])) for i, _, _ in ROWS), key=repr)
 
 
@@ -58,3 +58,46 @@ def test_shared_lines_are_a_longest_common_subsequence():
 
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_marks_are_whole_words_of_real_attributes():
+    lines = lambda page: [t for t, _ in H.lines_of(page)]
+    for kept in ('<div class="entry comments-open"><p>kept', '<section data-id="share-results">kept', '<div class="search-engine-history">kept',
+                 '<p title="the hidden gem">kept</p>', '<div class="content with-sidebar">kept', '<P ID=results>kept'):
+        assert lines(f"<article>{kept}</article>") == ["kept"] == lines(kept), kept
+    for gone in ('<div class="ad">x', '<div id=cookie-banner>x', '<div class="box main-nav">x', "<p hidden>x", '<p style="display: none">x',
+                 '<div role="navigation">x', '<div class="comment-list">x'):
+        assert lines(f"<article>{gone}</article>") == [], gone
+    assert lines('<p>a > b < c <b x="<i>">d</b> <!-- no --> <ScRipt>z</i></sCript>e') == ["a > b < c d e"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+    t = time.time()
+    for page in ("<div>" * 60_000 + "</span>" * 60_000, '<a b="x' * 60_000, "<a " * 60_000, '<a b="x' * 60_000 + ">", "<p '" * 60_000 + ">",
+                 "<span><main>" + "</span>" * 60_000, "<!--" * 60_000, "<script>" * 60_000, "<" * 200_000):
+        H.lines_of(page)
+    assert time.time() - t < 60
+    t = time.time()
+    assert len(H.shared_lines([1] * 4000 + [2], [3] + [1] * 3000)) == 3000
+    assert time.time() - t < 60
+
+
+def test_alignment_by_halving_equals_chaining():
+    import random
+
+    import numpy as np
+    rng = random.Random(4)
+    for _ in range(150):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        x, y = H._halved(np.array(a, np.int64), np.array(b, np.int64)), H._chained(a, b)
+        assert len(x) == len(y) == len(H.shared_lines(a, b)) and x == sorted(x)
+        rest = iter(b)
+        assert all(a[i] in rest for i in x)
+
+
+def test_differencing_decides_outside_the_article(spark):
+    page = "<body><p>Site slogan</p><p>Own lead {0}</p><article><p>Teaser</p></article><p>Main text {0}</p><p>All rights</p></body>"
+    rows = [(i, f"http://a.org/p/{i}", page.format(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own lead {i}\nTeaser\nMain text {i}" for i in range(4)}

@@ -4,8 +4,8 @@ Each page becomes lines (one per block of its markup, in page order). Pages of a
 url path, and each is paired with the neighbour whose path has the longer common start. The line
 sequences of a pair are aligned by their longest common subsequence; shared lines are what the site
 repeats and go. Markup decides first: menus, footers, forms and the like never become lines, and
-a page with lines inside an ``article`` (or ``main``) element keeps exactly those, shared or not, because
-two urls may carry one article. So differencing decides only on pages without such an element.
+lines inside an ``article`` (or ``main``) element stay, shared or not, because two urls may carry one
+article. Differencing decides every other line.
 
 Only line hashes are compared. Sorting is one range partitioning over all hosts; a page at the edge
 of a range takes its neighbour from a table of range edges, so a large host is never one task.
@@ -16,58 +16,130 @@ from __future__ import annotations
 import html as htmllib
 import re
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trolley.llm.common import broadcast_if_small, map_batches, materialize
+from trolley.llm.common import ASCII_UPPER, broadcast_if_small, map_batches, materialize
 from trolley.llm.urlfilter import with_host_path
 
 MAX_BROADCAST_PAGES = 20_000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-                    re.S | re.I)
+_LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"}   # their content is no text
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
              "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary "
              "table tbody td tfoot th thead tr ul".split())
 _NOT_TEXT = {"nav", "aside", "form", "button", "select", "menu", "dialog", "head", "footer", "object", "canvas", "map"}
 _MAIN = {"article", "main"}
-_MARK = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_SITE = re.compile(r"(?:^|[\s_\"'-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|"
-                   r"consent|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|"
-                   r"related|replies|respond|search|share|sharing|sidebar|signup|site-header|social|sponsor\w*|subscribe|"
-                   r"toolbar|widget)(?:$|[\s_\"'-])", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_MARKS = {"class", "id", "role", "aria-label"}
+# fixed values: a class, id, role or label marks what is not content if each hyphened part of it is a word of
+# one of these lists, one of the first at least ("cookie-banner", "site-footer", not "with-sidebar")
+_SITE = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
+            "cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo "
+            "related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+_FILLER = set("area bar block bottom box container form global header left list main page primary right section site slot top "
+              "wrap wrapper".split())
+MAX_MATCHES = 200_000    # matching places up to which an alignment keeps them all
 LINE = "array<struct<text:string,main:boolean>>"
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, lower-case name, attributes) of each tag; comments, declarations and
+    elements whose content is no text are one nameless item. One pass: what has no end is found out once."""
+    low = page.translate(_LOWER)
+    last = {q: page.rfind(q) for q in "\"'>"}
+    at = page.find("<")
+    while at >= 0:
+        following = page[at + 1:at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif at > last[">"]:
+            return                       # no tag ends any more: the rest is text
+        elif following in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, False, "", ""
+        else:
+            closes = following == "/"
+            m = _NAME.match(page, at + 1 + closes)
+            if not m:
+                end = at + 1
+            else:
+                name, end = low[m.start():m.end()], m.end()
+                while True:              # the end of the tag, past quoted values; an unclosed quote is no quote
+                    stop = _STOP.search(page, end)
+                    if stop and stop[0] == ">":
+                        end = stop.end()
+                        break
+                    if not stop or stop.start() >= last[stop[0]]:
+                        end = page.find(">", m.end()) + 1
+                        break
+                    end = page.find(stop[0], stop.end()) + 1
+                    if end > last[">"]:
+                        end = page.find(">", m.end()) + 1
+                        break
+                attributes = page[m.end():end - 1]
+                if name in _RAW and not closes:
+                    close = low.find(f"</{name}", end)
+                    close = low.find(">", close) if close >= 0 else -1
+                    end = len(page) if close < 0 else close + 1
+                    name = ""
+                yield at, end, closes, name, attributes
+        at = page.find("<", end)
+
+
+def marked_off(attributes: str) -> bool:
+    """Whether attributes hide an element or mark it as a menu, advert, comment or the like (see ``_SITE``)."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+        if name in _MARKS:
+            for token in value.split():
+                parts = re.split("[-_]+", token)
+                if any(p in _SITE for p in parts) and all(p in _SITE or p in _FILLER for p in parts):
+                    return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """(text, inside article or main) of each block that may be content."""
     out: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool]] = []   # open elements: name, whether it hides its content
     buffer: list[str] = []
-    hidden = main = 0
+    open_at: dict[str, list[int]] = {}   # places in the stack of each open name, and of article and main
+    main_at: list[int] = []
+    hidden = 0
     at = 0
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            out.append((text, main > 0))
+            out.append((text, bool(main_at)))
 
     def pop(to: int) -> None:
-        nonlocal hidden, main
+        nonlocal hidden
         while len(stack) > to:
             name, hides = stack.pop()
             hidden -= hides
-            main -= name in _MAIN
+            open_at[name].pop()
+            if name in _MAIN:
+                main_at.pop()
 
-    for m in _TOKEN.finditer(page):
-        if not hidden and m.start() > at:
-            buffer.append(htmllib.unescape(page[at:m.start()]))
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+    for start, end, closes, name, attributes in tags(page):
+        if not hidden and start > at:
+            buffer.append(htmllib.unescape(page[at:start]))
+        at = end
         if not name:
             continue
         if name in _BLOCK:
@@ -75,13 +147,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                 flush()
         elif name in ("br", "wbr"):
             buffer.append(" " if name == "br" else "")
-        if m[2] or m[5]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-                if stack[i][0] in _MAIN and name not in ("body", "html"):
-                    break
+        if closes:
+            places = open_at.get(name)
+            if places and (not main_at or places[-1] >= main_at[-1] or name in ("body", "html")):
+                pop(places[-1])
             continue
         if name in _VOID:
             continue
@@ -95,14 +164,14 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-        attributes = m[4] or m[7] or ""
-        hides = name in _NOT_TEXT or (name == "header" and not main)
+        hides = name in _NOT_TEXT or (name == "header" and not main_at)
         if not hides and attributes and name not in _MAIN and name not in ("body", "html"):
-            hides = any(_SITE.search(v) for v in _MARK.findall(attributes)) or bool(
-                re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes))
+            hides = marked_off(attributes)
+        open_at.setdefault(name, []).append(len(stack))
+        if name in _MAIN:
+            main_at.append(len(stack))
         stack.append((name, hides))
         hidden += hides
-        main += name in _MAIN
     if not hidden and at < len(page):
         buffer.append(htmllib.unescape(page[at:]))
     if not hidden:
@@ -111,7 +180,53 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
 
 
 def shared_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Places in ``mine`` of one longest common subsequence: a longest chain over matching places."""
+    """Places in ``mine`` of one longest common subsequence.
+
+    Equal starts and ends are aligned first. Few matching places are chained; many (a line that repeats
+    on both sides) are aligned by halving, in memory linear in the lines.
+    """
+    lo, most = 0, min(len(mine), len(other))
+    while lo < most and mine[lo] == other[lo]:
+        lo += 1
+    end = 0
+    while end < most - lo and mine[-1 - end] == other[-1 - end]:
+        end += 1
+    a, b = mine[lo:len(mine) - end], other[lo:len(other) - end]
+    count = Counter(b)
+    if sum(count[h] for h in a) <= MAX_MATCHES:
+        inner = _chained(a, b)
+    else:
+        inner = _halved(np.array(a, np.int64), np.array(b, np.int64))
+    return [*range(lo), *(lo + i for i in inner), *range(len(mine) - end, len(mine))]
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each start of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def _halved(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places in ``a`` of one longest common subsequence: ``a`` is halved, ``b`` cut where both halves share most."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        lo, hi, left, right = todo.pop()
+        if lo == hi or left == right:
+            continue
+        if hi - lo == 1:
+            if (b[left:right] == a[lo]).any():
+                out.append(lo)
+            continue
+        mid = (lo + hi) // 2
+        cut = left + int((_lengths(a[lo:mid], b[left:right]) + _lengths(a[mid:hi][::-1], b[left:right][::-1])[::-1]).argmax())
+        todo += [(mid, hi, cut, right), (lo, mid, left, cut)]
+    return out
+
+
+def _chained(mine: list[int], other: list[int]) -> list[int]:
+    """The same by a longest chain over all matching places."""
     places: dict[int, list[int]] = {}
     for j, h in enumerate(other):
         places.setdefault(h, []).append(j)
@@ -206,15 +321,13 @@ def repeated_lines(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` per input row.
 
-    Pages with an article (or main) element give its lines; others give all lines that the nearest
-    page does not share. Null or empty html, and pages without content, give the empty text.
+    Lines inside an article (or main) element stay; of all others, those that the nearest page does not share.
+    Of two neighbours with equally long common starts the one before is the nearest. Null or empty html, and pages without content, give the empty text.
     Rows with a null url have no partner; repeated rows repeat their result.
     """
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col), "page-lines")
     gone = broadcast_if_small(materialize(repeated_lines(parsed), "shared-lines"), MAX_BROADCAST_PAGES)
     rows = parsed.join(gone, "page_key", "left")
-    has_main = F.exists("lines", lambda x: x["main"])
-    kept = F.filter("lines", lambda x, i: F.when(has_main, x["main"]).otherwise(
-        ~F.coalesce(F.array_contains(F.col("shared"), i), F.lit(False))))
+    kept = F.filter("lines", lambda x, i: x["main"] | ~F.coalesce(F.array_contains(F.col("shared"), i), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -64,7 +64,6 @@ def test_apply_changes_keeps_negative_counts(spark):
 
 
 def test_restart_finds_its_version_and_old_ones_go(spark):
-    from trolley.sources.store import version_exists
     root = CH.run_folder(spark, "test-restart")
     for i in range(3):
         changes(spark, [(1, 10 + i, 1, 5 + i)]).coalesce(1).write.json(f"{root}/in/part={i:05d}")
@@ -72,20 +71,36 @@ def test_restart_finds_its_version_and_old_ones_go(spark):
         assert v == i + 1
     assert CH.run_change_log(spark, f"{root}/in/part=*/*.json", root, max_files=1) == 3   # no new file
     assert CH.lines_at(spark, root, 3).count() == 3
-    assert not version_exists(spark, root, "lines/manifest", 1) and version_exists(spark, root, "lines/manifest", 2)
-
-
-def test_a_batch_writes_its_users_buckets_only(spark):
-    import os
-    root = CH.run_folder(spark, "test-buckets")
-    batches = [[(1, u, u, 5) for u in range(40)], [(1, 100, 7, 6)], [(-1, 7, 7, 5), (-1, 100, 7, 6)]]
-    for i, rows in enumerate(batches):
-        changes(spark, rows).coalesce(1).write.json(f"{root}/in/part={i:05d}")
-    assert CH.run_change_log(spark, f"{root}/in/part=*/*.json", root, max_files=1) == 3
-    data = f"{root.removeprefix('file:')}/lines/data"
-    written = {v: sorted(x for x in os.listdir(f"{data}/{v}") if x.startswith("bucket=")) for v in os.listdir(data)}
-    assert len(written["v=1"]) > 1 and len(written["v=2"]) == 1 and len(written["v=3"]) <= 1
-    assert sorted(r["user_id"] for r in CH.lines_at(spark, root, 3).collect()) == [u for u in range(40) if u != 7]
+    assert CH.line_table(spark, root).versions() == [2, 3]
+
+
+def test_a_batch_writes_in_proportion_to_its_lines(spark):
+    from collections import Counter
+    root = CH.run_folder(spark, "test-proportion")
+    table = CH.start(CH.line_table(spark, root, bucket_bytes=40_000))
+    # a third of the log is one user's; its buckets go on by basket
+    big = [(1, u, u % 5000 if u % 3 else 7, u % 11) for u in range(30_000)]
+    want = Counter()
+    written = []
+    for i, rows in enumerate([big, [(1, 100, 7, 6)], [(-1, 6, 7, 6), (-1, 100, 7, 6), (1, 1, 1, 1)], [(-1, 3, 9, 9)]]):
+        written.append(CH.step_lines(table, changes(spark, rows), i))
+        for op, *key in rows:
+            want[tuple(key)] += op
+        if i:
+            m = table.manifest(i + 1)
+            assert len(m.directory) > 8 and max(d for d, _ in m.directory) > 32
+            assert max(p.size for p in m.parts) < 100_000
+    got = {(r["basket_id"], r["user_id"], r["item_id"]): r["mult"] for r in table.read(4).collect()}
+    assert got == {k: n for k, n in want.items() if n} and got[(3, 9, 9)] == -1
+    assert max(written[1:]) * 10 < written[0]
+
+
+def test_null_ids_are_keys_like_others(spark):
+    root = CH.run_folder(spark, "test-null-lines")
+    table = CH.start(CH.line_table(spark, root))
+    for i in range(2):
+        CH.step_lines(table, changes(spark, [(1, None, 1, 5), (1, 2, None, None)]), i)
+    assert sorted(map(tuple, table.read(2).collect()), key=str) == [(2, None, None, 2), (None, 1, 5, 2)]
 
 
 def test_a_failing_read_is_not_an_absent_version(spark):
@@ -93,21 +108,38 @@ def test_a_failing_read_is_not_an_absent_version(spark):
 
     from trolley.sources.store import version_exists
     root = CH.run_folder(spark, "test-missing")
-    assert CH.lines_at(spark, root, 0).count() == 0
+    assert CH.start(CH.line_table(spark, root)).read(0).count() == 0
     with pytest.raises(Exception):
         CH.lines_at(spark, root, 3)      # a later batch never starts from nothing
     with pytest.raises(Exception):
         version_exists(spark, "nosuchstore://x", "lines", 0)
 
 
+def test_keyed_stream_emits_the_change_alone(spark):
+    from trolley.streaming.keyed import count_table, factor_table, keyed_embedding_stream, vectors_at
+    root = CH.run_folder(spark, "test-lazy")
+    long_vector = [(1, 1, 1, i) for i in range(3000)]
+    glob = CH.write_change_files([c.coalesce(1) for c in (
+        changes(spark, long_vector + [(1, 5, 2, 5)]),
+        changes(spark, [(1, 2, 1, 0), (1, 2, 1, 1)]),           # a second basket: every weight of user 1 moves
+        changes(spark, [(-1, 5, 2, 5), (1, None, 2, 1)]))], f"{root}/in")
+    assert keyed_embedding_stream(spark, glob, root, max_files=1, share=10.0) == 3
+    m = count_table(spark, root).manifest(3)
+    new = [p.path for p in m.parts if p.kind == "rows" and p.seq > m.parts[0].seq]
+    assert spark.read.parquet(*new).count() == 2                # of 3000
+    got = {(r["user_id"], r["item_id"]): r["weight"] for r in vectors_at(spark, root, 3).collect()}
+    f = factor_table(spark, root).read(3).collect()
+    assert [r["user_id"] for r in f] == [1] and set(got) == {(1, i) for i in range(3000)}
+    assert got[(1, 0)] == 2 * f[0]["factor"] and got[(1, 2999)] == f[0]["factor"]
+
+
 def test_keyed_state_embeddings_match_batch(spark):
     from tests.conftest import SF_SMALL
     from trolley.operators import embeddings as EM
     from trolley.operators import unlearn as U
     from trolley.sources.purchases import lines, load_purchases
-    from trolley.sources.store import read_buckets
     from trolley.streaming import maintain as MT
-    from trolley.streaming.keyed import keyed_embedding_stream
+    from trolley.streaming.keyed import keyed_embedding_stream, vectors_at
     p = load_purchases(spark, SF_SMALL)
     dels = U.most_bought_item_deletions(p).withColumnRenamed("item_id", "product_id")
     removed = lines(p).join(dels, ["user_id", "product_id"], "left_semi")
@@ -115,7 +147,7 @@ def test_keyed_state_embeddings_match_batch(spark):
     glob = CH.write_change_files([MT.line_changes(lines(p), 1).repartition(2),
                                   MT.line_changes(removed, -1).coalesce(1)], f"{root}/in")
     v = keyed_embedding_stream(spark, glob, root, max_files=1)
-    got = read_buckets(spark, root, "embeddings", v, MT.VECTORS)
+    got = vectors_at(spark, root, v)
     p_new = U.apply_deletions(p, U.most_bought_item_deletions(p))
     want = EM.embeddings(p_new)
     cols = ["user_id", "item_id", F.round("weight", 9).alias("w")]

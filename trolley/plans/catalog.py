@@ -834,7 +834,6 @@ def q_diff_report_aisles(spark, d):
 # ------------------------------------------------------------------------------------- streaming
 
 from trolley.plans.model_store import ModelStore  # noqa: E402
-from trolley.sources.store import read_buckets  # noqa: E402
 from trolley.streaming import changes as CH  # noqa: E402
 from trolley.streaming import maintain as MT  # noqa: E402
 from trolley.streaming import requests as RQ  # noqa: E402
@@ -906,7 +905,7 @@ def q_stream_maintain(spark, d):
 def q_stream_embeddings(spark, d):
     p, root, glob = _change_log(spark, d)
     v = MT.embedding_stream(spark, glob, root, p.orders, max_files=2)
-    return _rounded(read_buckets(spark, root, "embeddings", v, MT.VECTORS), "weight")
+    return _rounded(MT.vector_table(spark, root).read(v), "weight")
 
 
 # ------------------------------------------------------------------------- index store, changes
@@ -938,7 +937,7 @@ def q_emb_changed(spark, d):
 @register("stream_embeddings_keyed", S.with_ctes(f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM emb2",
                                                  *RECALL_CTES, S.embeddings_cte("ln2", "emb2")))
 def q_stream_embeddings_keyed(spark, d):
-    from trolley.streaming.keyed import keyed_embedding_stream
+    from trolley.streaming.keyed import keyed_embedding_stream, vectors_at
     p, root, glob = _change_log(spark, d)
     v = keyed_embedding_stream(spark, glob, root, max_files=2)
-    return _rounded(read_buckets(spark, root, "embeddings", v, MT.VECTORS), "weight")
+    return _rounded(vectors_at(spark, root, v), "weight")

@@ -219,7 +219,7 @@ class DeltaTable:
     def _without(self, rows: DataFrame, gone: DataFrame, seq: Column) -> DataFrame:
         match = seq < F.col("_gone_seq")
         for k in self.keys:
-            match = match & (F.col(k) == F.col(f"_gone_{k}"))
+            match = match & F.col(k).eqNullSafe(F.col(f"_gone_{k}"))
         return rows.join(gone, match, "left_anti")
 
     def _merged(self, parts: list[Part]) -> DataFrame:
@@ -241,22 +241,39 @@ class DeltaTable:
             out = out.unionByName(self._without(old, gone, F.col("_seq")).drop("_seq"))
         return out
 
+    def _buckets_of(self, directory: list[tuple[int, int]], asked: DataFrame) -> set[str]:
+        """The names of the buckets that can hold the asked keys: at most one a bucket. With the first hashed
+        column alone, a bucket split on the second one's bits is known by its first ``FIRST_BITS``."""
+        if set(self.hashed) <= set(asked.columns):
+            return {r["b"] for r in asked.select(self.bucket(directory).alias("b")).distinct().collect()}
+        mask = (1 << FIRST_BITS) - 1
+        cut = sorted({(min(d, FIRST_BITS), b & mask) for d, b in directory})
+        first = DeltaTable(self.spark, self.root, self.keys, self.hashed[:1], self.schema).bucket(cut)
+        found = {r["b"] for r in asked.select(first.alias("b")).distinct().collect()}
+        return {f"{d}-{b}" for d, b in directory if f"{min(d, FIRST_BITS)}-{b & mask}" in found}
+
     def read(self, version: int, only: DataFrame | None = None) -> DataFrame:
-        """The rows of a version; with ``only``, a table of first key values, those rows, from their buckets alone."""
+        """The rows of a version; with ``only``, a table of values of keys (the first hashed one among them), the
+        rows that have them, from their buckets alone. Null equals null."""
         m = self.manifest(version)
         parts = m.parts
         if only is not None:
-            asked = only.select(self.hashed[0]).distinct()
-            if len(self.hashed) == 1 or all(d <= FIRST_BITS for d, _ in m.directory):
-                names = DeltaTable(self.spark, self.root, self.keys, self.hashed[:1], self.schema).bucket(m.directory)
-                found = {r["b"] for r in asked.select(names.alias("b")).distinct().collect()}     # at most one a bucket
-                parts = [p for p in parts if p.bucket in found]
+            on = [k for k in self.keys if k in only.columns]
+            asked = only.select(*on).distinct()
+            found = self._buckets_of(m.directory, asked)
+            parts = [p for p in parts if p.bucket in found]
         out = self._merged(parts)
         if self.source is not None:
             gone = [p for p in m.parts if p.kind == "gone"]
             base = self.source.select(*[f.name for f in self.schema.fields])
             out = (self._without(base, self._gone(gone), F.lit(0)) if gone else base).unionByName(out)
-        return out if only is None else out.join(asked, self.hashed[0], "left_semi")
+        if only is None:
+            return out
+        asked = asked.select(*[F.col(k).alias(f"_asked_{k}") for k in on])
+        match = F.lit(True)
+        for k in on:
+            match = match & F.col(k).eqNullSafe(F.col(f"_asked_{k}"))
+        return out.join(asked, match, "left_semi")
 
     def drop_before(self, version: int) -> None:
         """Forget versions lower than ``version`` and delete the files that no other manifest names."""

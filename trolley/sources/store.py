@@ -3,8 +3,7 @@
 Each table version is an immutable parquet folder ``<root>/<table>/v=<n>``; a new state is
 written as a new version, so lineage is cut by the write and an executor loss only re-runs the
 tasks of the current version. Writing ``v=<n>`` with overwrite makes a replayed batch harmless.
-Tables that a stream changes for a few keys at a time are kept in buckets of the key: a version writes
-the touched buckets only (``write_buckets``). The root lives under the cluster's shared ``spark.checkpoint.dir`` unless a caller names another.
+Tables that a stream changes for a few keys at a time are delta tables (``sources.delta``). The root lives under the cluster's shared ``spark.checkpoint.dir`` unless a caller names another.
 """
 
 from __future__ import annotations
@@ -41,93 +40,6 @@ def version_exists(spark: SparkSession, root: str, table: str, version: int) ->
     return bool(fs.exists(path))
 
 
-def latest_version(spark: SparkSession, root: str, table: str, default: int = 0) -> int:
-    """The highest committed version, which a restarted stream finds again; ``default`` if there is none."""
-    fs, path = filesystem(spark, f"{root.rstrip('/')}/{table}")
-    if not fs.exists(path):
-        return default
-    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-    return next((v for v in sorted(found, reverse=True) if version_exists(spark, root, table, v)), default)
-
-
-def drop_versions(spark: SparkSession, root: str, table: str, before: int) -> None:
-    """Delete versions lower than ``before``; a replayed batch still needs the one it continues."""
-    fs, path = filesystem(spark, f"{root.rstrip('/')}/{table}")
-    if not fs.exists(path):
-        return
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        if name.startswith("v=") and int(name[2:]) < before:
-            fs.delete(s.getPath(), True)
-
-
-# ------------------------------------------------------------------------------ tables in buckets
-
-BUCKETS = 64
-
-
-def bucket(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def buckets_of(df: DataFrame, key: str) -> list[int]:
-    """The buckets that the rows' keys fall in: at most ``BUCKETS`` numbers."""
-    return sorted(r["b"] for r in df.select(bucket(key).alias("b")).distinct().collect())
-
-
-def _manifest(spark: SparkSession, root: str, table: str, version: int) -> dict[int, int]:
-    rows = read_version(spark, root, f"{table}/manifest", version).collect()   # at most BUCKETS rows
-    return {r["bucket"]: r["version"] for r in rows}
-
-
-def _bucket_path(root: str, table: str, version: int, b: int) -> str:
-    return f"{version_path(root, f'{table}/data', version)}/bucket={b}"
-
-
-def write_buckets(df: DataFrame, root: str, table: str, version: int, key: str, touched: list[int]) -> None:
-    """Write ``df``, the whole new content of the ``touched`` buckets, as part of ``version``.
-
-    A manifest of the version names the version that holds each bucket; buckets that were not touched
-    keep their files. Writing the manifest commits the version, and a replay overwrites both.
-    """
-    spark = df.sparkSession
-    data = version_path(root, f"{table}/data", version)
-    df.withColumn("bucket", bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
-    held = {}
-    if version and version_exists(spark, root, f"{table}/manifest", version - 1):
-        held = {b: v for b, v in _manifest(spark, root, table, version - 1).items() if b not in set(touched)}
-    fs, _ = filesystem(spark, data)
-    new_path = spark._jvm.org.apache.hadoop.fs.Path
-    held |= {b: version for b in touched if fs.exists(new_path(_bucket_path(root, table, version, b)))}
-    rows = spark.createDataFrame(sorted(held.items()), "bucket int, version int")
-    write_version(rows.coalesce(1), root, f"{table}/manifest", version)
-
-
-def read_buckets(spark: SparkSession, root: str, table: str, version: int, schema: str,
-                 only: list[int] | None = None) -> DataFrame:
-    """A version's rows, or those of some buckets. Only before the first batch may there be no version."""
-    if version == 0 and not version_exists(spark, root, f"{table}/manifest", 0):
-        return spark.createDataFrame([], schema)
-    held = _manifest(spark, root, table, version)
-    paths = [_bucket_path(root, table, v, b) for b, v in sorted(held.items()) if only is None or b in set(only)]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def drop_buckets(spark: SparkSession, root: str, table: str, before: int) -> None:
-    """Delete manifests lower than ``before`` and the bucket files that no remaining manifest names."""
-    drop_versions(spark, root, f"{table}/manifest", before)
-    last = latest_version(spark, root, f"{table}/manifest")
-    needed = {item for v in range(before, last + 1) if version_exists(spark, root, f"{table}/manifest", v)
-              for item in _manifest(spark, root, table, v).items()}
-    fs, data = filesystem(spark, f"{root.rstrip('/')}/{table}/data")
-    for s in fs.listStatus(data) if fs.exists(data) else []:
-        version = int(s.getPath().getName()[2:])
-        for f in fs.listStatus(s.getPath()):
-            name = f.getPath().getName()
-            if name.startswith("bucket=") and version <= last and (int(name[7:]), version) not in needed:
-                fs.delete(f.getPath(), True)
-
-
 def save_index(index: dict[str, DataFrame], k: int, path: str) -> None:
     """Write interactions, squared norms and neighbour lists, plus a one-row meta table."""
     spark = index["neighbors"].sparkSession

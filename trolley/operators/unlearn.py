@@ -25,9 +25,10 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trolley.functions.measures import COSINE, Measure
@@ -77,18 +78,21 @@ def refresh_embeddings(E_old: DataFrame, p_new: Purchases, changed: DataFrame, s
     return E_old.join(changed, "user_id", "left_anti").unionByName(fresh_embeddings(p_new, changed, state))
 
 
+def lines_of_users(p: Purchases, users: DataFrame) -> Purchases:
+    """The purchases of some users alone."""
+    o = p.orders.join(users, "user_id", "left_semi")
+    return p.with_(orders=o, order_products=p.order_products.join(o.select("order_id"), "order_id", "left_semi"))
+
+
 def fresh_embeddings(p_new: Purchases, changed: DataFrame, state: ModelState) -> DataFrame:
     """The vectors of the changed users alone, from their remaining lines."""
-    o = p_new.orders.join(changed, "user_id", "left_semi")
-    sub = p_new.with_(orders=o, order_products=p_new.order_products.join(o.select("order_id"), "order_id",
-                                                                          "left_semi"))
-    return EM.embeddings(sub, state.params, state.ordered)
+    return EM.embeddings(lines_of_users(p_new, changed), state.params, state.ordered)
 
 
 # ------------------------------------------------------------------------------ U8-U11
 
 def affected_users(I_old: DataFrame, changed: DataFrame) -> DataFrame:
-    """U8: users outside C that shared any pre-deletion item with a user of C."""
+    """U8: users outside C that shared any item of ``I_old`` (before a deletion; before or after other changes) with a user of C."""
     items = I_old.join(changed, "user_id", "left_semi").select("item_id").distinct()
     return (I_old.join(items, "item_id", "left_semi").select("user_id").distinct()
             .join(changed, "user_id", "left_anti"))
@@ -237,20 +241,110 @@ def forget(state: ModelState, deletions: DataFrame) -> ForgetResult:
         "order_products", v, gone=gone.select("order_id", F.col("item_id").alias("product_id"))))
     I_new = store.commit("interactions", v, gone=accepted)
     changed = accepted.select("user_id").distinct()
+    p_new = p_new.with_(orders=store.commit("orders", v))
+    new_state, m, ms = _refresh(state, store, v, p_new, state.interactions, I_new, changed, t0)
+    return ForgetResult(new_state, accepted, rejected, changed, m, ms, gone, state.neighbors)
+
+
+def _refresh(state: ModelState, store: ModelStore, v: int, p_new: Purchases, I_seen: DataFrame, I_new: DataFrame,
+             changed: DataFrame, t0: float) -> tuple[ModelState, Maintenance, dict]:
+    """Vectors, lists and norms after the changed users' lines and interactions are committed as version ``v``.
+
+    ``I_seen``: the interactions through which a list can hold a changed user, before or after.
+    """
     t1 = time.time()
     E_new = store.commit("embeddings", v, gone=changed, rows=fresh_embeddings(p_new, changed, state))
     t2 = time.time()
-    m = maintain_neighbors(state.neighbors, state.interactions, I_new, changed, state.k, state.num_blocks, state.measure)
-    m.neighbors = store.commit("neighbors", v, gone=m.rewritten, rows=m.rows)
+    m = maintain_neighbors(state.neighbors, I_seen, I_new, changed, state.k, state.num_blocks, state.measure)
+    m.neighbors = store.commit_lists(v, m.rewritten, m.rows)
     norms = state.norms.join(changed, "user_id", "left_anti").unionByName(updated_norms(I_new, changed, state.measure))
     store.seal(v)
     t3 = time.time()
     new_state = state.with_(purchases=p_new, interactions=I_new, embeddings=E_new, neighbors=m.neighbors, norms=norms,
                             store=store, version=v)
-    return ForgetResult(new_state, accepted, rejected, changed, m,
-                        {"database_update": int((t1 - t0) * 1000), "embedding_update": int((t2 - t1) * 1000),
-                         "topk_index_update": int((t3 - t2) * 1000)},
-                        gone, state.neighbors)
+    return new_state, m, {"database_update": int((t1 - t0) * 1000), "embedding_update": int((t2 - t1) * 1000),
+                          "topk_index_update": int((t3 - t2) * 1000)}
+
+
+def forget_in_turn(state: ModelState, deletions: DataFrame) -> Iterator[tuple[ModelState, ForgetResult]]:
+    """U1 with one version per request of a user: the state before each turn and the result of the turn.
+
+    A user's accepted requests take turns by item id, and turn r forgets the r-th request of every user
+    that has one. So each request has its own differences, also where a batch holds several of one user;
+    there are as many turns as the user with the most requests has (at least one). The last state equals
+    that of one ``forget`` of all.
+    """
+    accepted, _ = split_requests(state.interactions, deletions)
+    turns = materialize(accepted.withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("item_id"))))
+    last = turns.agg(F.max("turn").alias("n")).first()["n"] or 1
+    for turn in range(1, last + 1):
+        res = forget(state, turns.where(F.col("turn") == turn))
+        yield state, res
+        state = res.state
+
+
+# ------------------------------------------------------------------------------ U1 for insertions and removals
+
+@dataclass
+class LinesResult:
+    state: ModelState
+    changed: DataFrame       # users with a line that came or went
+    rejected: DataFrame      # records without effect, and why
+    maintenance: Maintenance
+    durations_ms: dict
+
+
+def change_lines(state: ModelState, changes: DataFrame, orders: DataFrame | None = None) -> LinesResult:
+    """New and removed order lines through one input; the new state equals a rebuild on the resulting lines.
+
+    ``changes``: ``(op, order_id, user_id, product_id)``, op = +1 (a line more) or -1 (one less); records of
+    one line are summed first. Lines are a bag, so a line has a count, never below zero: what is removed
+    beyond it is rejected, as are records with a null and records that name another user than the
+    basket's (the stored one; of a new basket, the smallest named). ``orders``: the other columns of new
+    baskets by ``order_id`` (time, number), null where it has none. Every table gets a delta, as in ``forget``.
+    """
+    spark = state.interactions.sparkSession
+    t0 = time.time()
+    store = state.store if state.store is not None else ModelStore.over(state)
+    v, p = state.version + 1, state.purchases
+    line = ["order_id", "product_id"]
+    record = ["order_id", "user_id", "product_id"]
+    net = changes.groupBy(*record).agg(F.sum(F.col("op").cast("long")).alias("op")).where(F.col("op") != 0)
+    whole = net.dropna(subset=record)
+    named = whole.groupBy("order_id").agg(F.min("user_id").alias("named"))
+    stored = store.read("orders", v - 1, only=named).select("order_id", F.col("user_id").alias("stored"))
+    owners = named.join(stored, "order_id", "left").select(
+        "order_id", F.coalesce("stored", "named").alias("owner"), F.col("stored").isNull().alias("new"))
+    have = store.read("order_products", v - 1, only=whole).groupBy(*line).agg(F.count(F.lit(1)).alias("have"))
+    counted = materialize(
+        net.join(owners, "order_id", "left").join(have, line, "left").fillna(0, ["have"])
+        .withColumn("reason", F.when(F.col("order_id").isNull() | F.col("user_id").isNull() | F.col("product_id").isNull(), "null id")
+                    .when(F.col("user_id") != F.col("owner"), "basket of another user")
+                    .when(F.col("have") + F.col("op") < 0, "not that many lines"))
+        .withColumn("keep", F.greatest(F.col("have") + F.col("op"), F.lit(0))))
+    valid = counted.where((F.col("reason").isNull() | (F.col("reason") == "not that many lines")) & (F.col("keep") != F.col("have")))
+    rejected = counted.where(F.col("reason").isNotNull()).select("op", *record, "reason")
+    changed = materialize(valid.select("user_id").distinct())
+    # a basket is new with its first line
+    fresh = valid.where(F.col("new") & (F.col("keep") > 0)).select("order_id", "user_id").distinct()
+    rest = [f for f in p.orders.schema.fields if f.name not in ("order_id", "user_id")]
+    if orders is not None:
+        extra = [f.name for f in rest if f.name in orders.columns]
+        fresh = fresh.join(orders.select("order_id", *extra).dropDuplicates(["order_id"]), "order_id", "left")
+    for f in rest:
+        fresh = fresh if f.name in fresh.columns else fresh.withColumn(f.name, F.lit(None).cast(f.dataType))
+    p_new = p.with_(
+        orders=store.commit("orders", v, rows=fresh.select(*p.orders.columns)),
+        order_products=store.commit("order_products", v, gone=valid, rows=valid.select(
+            *line, F.explode(F.array_repeat(F.lit(0), F.col("keep").cast("int")))).select(*line)))
+    mine = materialize(EM.interactions(lines_of_users(p_new, changed)))
+    before = store.read("interactions", v - 1, only=changed)
+    pair = ["user_id", "item_id"]
+    I_new = store.commit("interactions", v, gone=before.join(mine, pair, "left_anti"), rows=mine.join(before, pair, "left_anti"))
+    seen = state.interactions.select(*pair).unionByName(I_new.select(*pair))
+    blocks = max(state.num_blocks, K.choose_blocks(spark, I_new.count()))
+    new_state, m, ms = _refresh(state.with_(num_blocks=blocks), store, v, p_new, seen, I_new, changed, t0)
+    return LinesResult(new_state, changed, rejected, m, ms)
 
 
 def changed_lists(N_old: DataFrame, m: Maintenance) -> DataFrame:

@@ -458,8 +458,8 @@ EGO_CTES = (NATION_COHORTS_CTE,) + MODEL_CTES + (
 
 
 def _egos(spark, d):
-    p, st = _model(spark, d)
-    return G.ego_networks(p, st.neighbors, nation_cohorts(spark, d), "alcohol")
+    from trolley.session import materialize
+    return G.ego_networks(load_purchases(spark, d), materialize(_neighbors(spark, d)), nation_cohorts(spark, d), "alcohol")
 
 
 @register("graph_vertices", S.with_ctes("SELECT ego_id, user_id FROM gv", *EGO_CTES))
@@ -500,8 +500,8 @@ def q_graph_ego_stats(spark, d):
     "nm AS (SELECT user_id AS ego_id, neighbor_id AS user_id FROM nbr WHERE user_id IN (SELECT ego_id FROM egos) "
     "UNION SELECT neighbor_id AS ego_id, user_id FROM nbr WHERE neighbor_id IN (SELECT ego_id FROM egos))"))
 def q_graph_neighborhood(spark, d):
-    p, st = _model(spark, d)
-    return G.neighborhoods(p, st.neighbors, nation_cohorts(spark, d))["top_aisles"]
+    from trolley.session import materialize
+    return G.neighborhoods(load_purchases(spark, d), materialize(_neighbors(spark, d)), nation_cohorts(spark, d))["top_aisles"]
 
 
 # ----------------------------------------------------------------------------------- unlearning
@@ -900,6 +900,27 @@ def q_stream_maintain(spark, d):
     return ModelStore.at(st, f"{root}/model").read("neighbors", v)
 
 
+@register("stream_maintain_changes", S.with_ctes("SELECT * FROM nbr2", *UNL_CTES))
+def q_stream_maintain_changes(spark, d):
+    """From a model without purchases: all order lines as insertions, then the removals of the recall."""
+    p, root, glob = _change_log(spark, d)
+    empty = build_state(p.with_(orders=p.orders.where(F.lit(False)), order_products=p.order_products.where(F.lit(False))))
+    v = MT.maintain_changes(spark, empty, glob, root, orders=p.orders, max_files=1)
+    return ModelStore.at(empty, f"{root}/model").read("neighbors", v)
+
+
+@register("sim_in_maintained", S.with_ctes("""
+SELECT neighbor_id AS user_id, user_id AS in_neighbor_id, similarity FROM nbr2
+WHERE neighbor_id IN (SELECT user_id FROM coh)""", NATION_COHORTS_CTE, *UNL_CTES))
+def q_sim_in_maintained(spark, d):
+    """K7 from the reverse lists of a lasting store after a forget."""
+    p = load_purchases(spark, d)
+    st = build_state(p)
+    store = ModelStore.at(st, CH.run_folder(spark, "reverse"))
+    res = U.forget(store.state(st, 0), U.most_bought_item_deletions(p))
+    return res.state.in_neighbors(nation_cohorts(spark, d))
+
+
 @register("stream_embeddings", S.with_ctes(f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM emb2",
                                            *RECALL_CTES, S.embeddings_cte("ln2", "emb2")))
 def q_stream_embeddings(spark, d):

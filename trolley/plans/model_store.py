@@ -1,8 +1,9 @@
-"""The four tables of a model as delta tables: a forgotten purchase writes what it changes, no more.
+"""The tables of a model as delta tables: a forgotten or new purchase writes what it changes, no more.
 
 ``over(state)`` lays deltas over a state's own tables, which stay as they are; ``create`` writes them as
 buckets of a lasting store, for streams. Lists and vectors are replaced whole per user; order lines and
-interactions go by their keys. ``seal`` commits a version of all tables at once.
+interactions go by their keys. ``reverse`` holds each list entry under its neighbour, so that the lists
+holding a user (K7) are read from that user's bucket; it takes only entries that came, went or moved. ``seal`` commits a version of all tables at once.
 """
 
 from __future__ import annotations
@@ -10,19 +11,23 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trolley.session import checkpoint_root
+from trolley.session import checkpoint_root, materialize
 from trolley.sources.delta import DeltaTable
 from trolley.sources.store import filesystem
 
 # table: (keys of a tombstone, hashed columns)
 TABLES = {
+    "orders": (("order_id",), ("order_id",)),
     "order_products": (("order_id", "product_id"), ("order_id", "product_id")),
     "interactions": (("user_id", "item_id"), ("user_id", "item_id")),
     "embeddings": (("user_id",), ("user_id",)),
     "neighbors": (("user_id",), ("user_id",)),
+    "reverse": (("neighbor_id", "user_id"), ("neighbor_id", "user_id")),   # a user in a great many lists goes on by list
 }
+REVERSE = ("neighbor_id", "user_id", "similarity")
 
 
 class ModelStore:
@@ -36,8 +41,9 @@ class ModelStore:
 
     @staticmethod
     def _tables_of(state) -> dict[str, DataFrame]:
-        return {"order_products": state.purchases.order_products, "interactions": state.interactions,
-                "embeddings": state.embeddings, "neighbors": state.neighbors}
+        return {"orders": state.purchases.orders, "order_products": state.purchases.order_products,
+                "interactions": state.interactions, "embeddings": state.embeddings, "neighbors": state.neighbors,
+                "reverse": state.neighbors.select(*REVERSE)}
 
     @classmethod
     def over(cls, state) -> "ModelStore":
@@ -65,6 +71,23 @@ class ModelStore:
         self.written.setdefault(version, {})[name] = self.tables[name].commit(version, gone, rows)
         return self.read(name, version)
 
+    def commit_lists(self, version: int, rewritten: DataFrame, rows: DataFrame) -> DataFrame:
+        """Replace the ``rewritten`` lists by ``rows``, here and in the reverse lists, and read them back."""
+        old = self.read("neighbors", version - 1, only=rewritten)
+        moved = materialize(
+            old.select("neighbor_id", "user_id", F.col("similarity").alias("was"))
+            .join(rows.select(*REVERSE), ["neighbor_id", "user_id"], "full")
+            .where(~F.col("was").eqNullSafe(F.col("similarity"))))
+        self.commit("reverse", version, gone=moved.where(F.col("was").isNotNull()),
+                    rows=moved.where(F.col("similarity").isNotNull()).select(*REVERSE))
+        return self.commit("neighbors", version, gone=rewritten, rows=rows)
+
+    def in_neighbors(self, version: int, users: DataFrame) -> DataFrame:
+        """K7 from the reverse lists: the buckets of the given users alone are read."""
+        asked = users.select(F.col("user_id").alias("neighbor_id"))
+        return self.read("reverse", version, only=asked).select(
+            F.col("neighbor_id").alias("user_id"), F.col("user_id").alias("in_neighbor_id"), "similarity")
+
     def versions(self) -> list[int]:
         """Sealed versions: those of which every table is committed."""
         fs, path = filesystem(self.spark, f"{self.root}/sealed")
@@ -77,8 +100,8 @@ class ModelStore:
     def state(self, template, version: int):
         """``template`` with the tables of a version; norms are those of its interactions."""
         from trolley.operators import similarity as K
-        t = {name: self.read(name, version) for name in TABLES}
-        return template.with_(purchases=template.purchases.with_(order_products=t["order_products"]),
+        t = {name: self.read(name, version) for name in TABLES if name != "reverse"}
+        return template.with_(purchases=template.purchases.with_(orders=t["orders"], order_products=t["order_products"]),
                               interactions=t["interactions"], embeddings=t["embeddings"], neighbors=t["neighbors"],
                               norms=K.norms(t["interactions"], template.measure), store=self, version=version)
 

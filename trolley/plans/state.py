@@ -32,6 +32,12 @@ class ModelState:
     def with_(self, **kw) -> "ModelState":
         return replace(self, **kw)
 
+    def in_neighbors(self, users: DataFrame) -> DataFrame:
+        """K7: from the kept reverse lists where the state has a store, else by a scan of the lists."""
+        if self.store is None:
+            return K.in_neighbors_of(self.neighbors, users)
+        return self.store.in_neighbors(self.version, users)
+
 
 def build_state(p: Purchases, params: HyperParams = DEFAULT_PARAMS, k: int = DEFAULT_K,
                 ordered: bool = False, num_blocks: int | None = None, measure: Measure = COSINE) -> ModelState:

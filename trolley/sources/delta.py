@@ -266,7 +266,8 @@ class DeltaTable:
         if self.source is not None:
             gone = [p for p in m.parts if p.kind == "gone"]
             base = self.source.select(*[f.name for f in self.schema.fields])
-            out = (self._without(base, self._gone(gone), F.lit(0)) if gone else base).unionByName(out)
+            base = self._without(base, self._gone(gone), F.lit(0)) if gone else base
+            out = base.unionByName(out) if m.parts else base
         if only is None:
             return out
         asked = asked.select(*[F.col(k).alias(f"_asked_{k}") for k in on])

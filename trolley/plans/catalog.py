@@ -962,3 +962,13 @@ def q_stream_embeddings_keyed(spark, d):
     p, root, glob = _change_log(spark, d)
     v = keyed_embedding_stream(spark, glob, root, max_files=2)
     return _rounded(vectors_at(spark, root, v), "weight")
+
+
+@register("stream_embeddings_ordered", S.with_ctes(
+    f"SELECT user_id, item_id, {S.q('weight')} AS weight FROM oemb2",
+    *RECALL_CTES, S.ordered_embeddings_cte(_P.group_size, _P.r_basket, _P.r_group, "oemb2", "ln2")))
+def q_stream_embeddings_ordered(spark, d):
+    from trolley.streaming.ordered import ordered_embedding_stream, vectors_at
+    p, root, glob = _change_log(spark, d)
+    v = ordered_embedding_stream(spark, glob, root, p.orders, order_by=p.order_by, max_files=2)
+    return _rounded(vectors_at(spark, root, v), "weight")

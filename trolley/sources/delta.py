@@ -244,6 +244,8 @@ class DeltaTable:
     def _buckets_of(self, directory: list[tuple[int, int]], asked: DataFrame) -> set[str]:
         """The names of the buckets that can hold the asked keys: at most one a bucket. With the first hashed
         column alone, a bucket split on the second one's bits is known by its first ``FIRST_BITS``."""
+        if len(directory) == 1:
+            return {f"{d}-{b}" for d, b in directory}
         if set(self.hashed) <= set(asked.columns):
             return {r["b"] for r in asked.select(self.bucket(directory).alias("b")).distinct().collect()}
         mask = (1 << FIRST_BITS) - 1

@@ -37,6 +37,8 @@ def test_cascade_is_exact_over_its_universe(spark):
     frame = lambda ks: spark.createDataFrame([(k,) for k in ks], "key string")
     cascade = U.build_cascade(frame([*listed, "not in the corpus", None]), frame([*keys, keys[0], None]))
     assert len(cascade.levels) > 1
+    # about 1.44 * 700 * (4 + log2(5300 / 700)) bits, then a sixteenth and less of the keys
+    assert len(cascade.levels[0].words) * 64 < 1.45 * 700 * 7 + 64 and sum(len(x.words) for x in cascade.levels[1:]) * 64 < 1500
     assert [bool(x) for x in cascade.contains(U.hashes(keys))] == [k in listed for k in keys]
 
 
@@ -44,3 +46,16 @@ def test_empty(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     none = spark.createDataFrame([], "key string")
     assert not U.build_cascade(none, none).contains(U.hashes(["a"])).any()
+
+
+def test_a_list_beyond_the_bound_is_cut_into_shards(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    rules = spark.createDataFrame([*U.RULES, ("block", None, "/"), (None, "org", "/")], "action string, host string, path string") \
+        .selectExpr("*", "1 as page_id")
+    got = sorted((tuple(r) for r in U.judge(pages, rules, max_bytes=1).collect()), key=repr)
+    assert got == sorted(((i, *expected(u)) for i, u in enumerate(URLS)), key=repr)
+
+
+def test_level_zero_follows_the_list_not_the_universe():
+    sizes = [U.filter_words(10**6, U.first_rate(10**6, m)) * 64 / 10**6 for m in (10**7, 10**9, 10**11)]
+    assert sizes[0] < 12 and sizes[1] - sizes[0] < 10 and sizes[2] - sizes[1] < 10      # 1.44 log2(100) bits a key each

@@ -159,3 +159,33 @@ def test_forget_with_another_measure_equals_a_rebuild(spark):
     cols = ["user_id", "neighbor_id", "similarity", "rank"]
     got, full = res.state.neighbors.select(*cols), want.neighbors.select(*cols)
     assert got.exceptAll(full).count() == 0 == full.exceptAll(got).count()
+
+
+def test_entries_go_only_to_blocks_that_hold_their_item(spark):
+    """60 users in 30 pairs, each pair with its own items: 32 blocks must not copy the input 32 times."""
+    rows = {u: [10 * (u // 2) + i for i in range(5)] for u in range(60)}
+    I = interactions(spark, rows)
+    routed, groups = K.routed_rows(I, I, 32)
+    sent = routed.selectExpr("sum(size(r_users)) as r", "sum(size(l_users)) as l", "max(gid) as top").first()
+    assert groups == 32 and sent["top"] < 32
+    assert sent["r"] <= 2 * 300 and sent["l"] == 300
+    assert_lists(as_lists(K.build_neighbors(I, 3, num_blocks=32)), {u: {u ^ 1: 1.0} for u in range(60)})
+
+
+def test_routing_follows_the_item_counts(spark):
+    light = spark.sql("select id as item_id, 30L as l, 30L as r from range(1000)")
+    assert K.choose_routing(light, 8) == (8, 1)
+    heavy = spark.sql("select id as item_id, 3000000L as l, 3000000L as r from range(10)")
+    blocks, parts = K.choose_routing(heavy, 8)
+    assert blocks == 8 and parts == 15      # blocks would copy it; the right side is split instead
+
+
+def test_popular_item_in_parts_and_chunks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK_ENTRIES", 3)
+    monkeypatch.setattr(K, "GROUP_ENTRIES", 40)
+    rows, I = weighted(spark, np.random.default_rng(3), users=50)
+    rows |= {(u, 99): 2.0 for u in range(50)}
+    I = spark.createDataFrame([(u, i, x) for (u, i), x in rows.items()], "user_id long, item_id long, value double")
+    from trolley.functions.measures import COSINE
+    got = {(r.user_id, r.neighbor_id, round(r.similarity, 12)) for r in K.build_neighbors(I, 6, num_blocks=2).collect()}
+    assert got == brute_lists(rows, COSINE.name, range(50), range(50), 6)

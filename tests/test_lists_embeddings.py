@@ -124,3 +124,35 @@ def test_discretise_roundtrip(spark):
     assert [r["weight"] for r in d.orderBy("item_id").collect()] == [123456789012345, 1000000000000000]
     back = [r["weight"] for r in EM.restore(d).orderBy("item_id").collect()]
     assert back == pytest.approx([0.123456789012345, 1.0], abs=1e-15)
+
+
+def test_presets_number_the_baskets_once(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+    from trolley.operators import embeddings as EM
+    from trolley.schema import PRESETS
+    from trolley.sources.purchases import load_purchases
+    calls, numbered = [], EM.row_numbers
+    monkeypatch.setattr(EM, "row_numbers", lambda *a, **kw: calls.append(1) or numbered(*a, **kw))
+    p = load_purchases(spark, SF_SMALL)
+    swept = EM.preset_sweep(p)
+    assert len(calls) == 1
+    name, params = sorted(PRESETS.items())[-1]
+    cols = ["user_id", "item_id", "weight"]
+    rounded = lambda df: {(r.user_id, r.item_id, round(r.weight, 9)) for r in df.select(*cols).collect()}
+    assert rounded(swept.where(swept.preset == name)) == rounded(EM.embeddings(p, params, ordered=True))
+
+
+def test_shuffles_start_with_partitions_in_proportion_to_the_rows(spark):
+    from trolley import session as SE
+    before = spark.conf.get(SE.INITIAL_PARTITIONS, None)
+    try:
+        spark.conf.unset(SE.INITIAL_PARTITIONS)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert SE.size_shuffles(spark, 10) == least and not spark.conf.get(SE.INITIAL_PARTITIONS, None)
+        assert SE.size_shuffles(spark, 1000 * SE.ROWS_PER_PARTITION) == 1000
+        assert spark.conf.get(SE.INITIAL_PARTITIONS) == "1000"
+        assert SE.size_shuffles(spark, 10) == 1000      # an open plan of a larger input keeps its number
+    finally:
+        spark.conf.unset(SE.INITIAL_PARTITIONS)
+        if before is not None:
+            spark.conf.set(SE.INITIAL_PARTITIONS, before)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from trolley.functions.numbering import row_numbers
 from trolley.schema import DEFAULT_PARAMS, DISCRETISATION_FACTOR, PRESETS, HyperParams
+from trolley.session import materialize
 from trolley.sources.purchases import Purchases
 
 
@@ -122,10 +123,16 @@ def embeddings(p: Purchases, params: HyperParams = DEFAULT_PARAMS, ordered: bool
 
 
 def preset_sweep(p: Purchases, ordered: bool = True) -> DataFrame:
-    """The model under every preset, tagged by name (a union of one plan per preset)."""
+    """The model under every preset, tagged by name.
+
+    Baskets and their positions are the same under all presets; they are made and written once.
+    """
+    bi = materialize(basket_items(p, with_time=ordered))
+    positions = materialize(basket_positions(bi, [*p.order_by, "basket_id"])) if ordered else None
     out = None
     for name, params in PRESETS.items():
-        e = embeddings(p, params, ordered).withColumn("preset", F.lit(name))
+        e = (user_vectors(group_vectors(bi, basket_groups(positions, params.group_size), params), params) if ordered
+             else embeddings_unordered(bi, params)).withColumn("preset", F.lit(name))
         out = e if out is None else out.unionByName(e)
     return out.select("preset", "user_id", "item_id", "weight")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trolley.schema import ORDER_PRODUCTS, ORDERS, PRODUCTS, REFERENCE_SCENARIOS, TEST_SCENARIOS, check_columns
+from trolley.session import size_shuffles
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,7 @@ def load_purchases(spark: SparkSession, sf_dir: str) -> Purchases:
         F.col("o_orderdate").cast("timestamp_ntz").alias("order_ts"),
     )
     li = table(spark, sf_dir, "lineitem")
+    size_shuffles(spark, li.count())   # from the file footers
     order_products = li.select(
         F.col("l_orderkey").cast("long").alias("order_id"),
         F.col("l_partkey").cast("long").alias("product_id"),
@@ -94,7 +96,9 @@ def load_instacart(spark: SparkSession, folder: str) -> Purchases:
         F.col("order_dow").cast("int"), F.col("order_hour_of_day").cast("int"),
         F.lit(None).cast("timestamp_ntz").alias("order_ts"),
         F.col("order_number").cast("long"))
-    order_products = read("order_products").select(F.col("order_id").cast("long"),
+    order_products = read("order_products")
+    size_shuffles(spark, order_products.count())
+    order_products = order_products.select(F.col("order_id").cast("long"),
                                                    F.col("product_id").cast("long"))
     departments = read("departments").select(F.col("department_id").cast("int"), "department")
     products = (read("products").select(F.col("product_id").cast("long"), "product_name",

@@ -189,3 +189,9 @@ def test_popular_item_in_parts_and_chunks_equals_brute_force(spark, monkeypatch)
     from trolley.functions.measures import COSINE
     got = {(r.user_id, r.neighbor_id, round(r.similarity, 12)) for r in K.build_neighbors(I, 6, num_blocks=2).collect()}
     assert got == brute_lists(rows, COSINE.name, range(50), range(50), 6)
+
+
+def test_null_ids_count_as_one_id_of_their_own(spark):
+    I = spark.createDataFrame([(1, None, 1.0), (2, None, 1.0), (None, 5, 1.0), (3, 5, 1.0)],
+                              "user_id long, item_id long, value double")
+    assert_lists(as_lists(K.build_neighbors(I, 3)), {1: {2: 1.0}, 2: {1: 1.0}, 3: {K.NULL_KEY: 1.0}, K.NULL_KEY: {3: 1.0}})

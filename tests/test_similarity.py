@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trolley.functions.blockdot import topk_per_owner
 from trolley.operators import similarity as K
@@ -195,3 +196,41 @@ def test_null_ids_count_as_one_id_of_their_own(spark):
     I = spark.createDataFrame([(1, None, 1.0), (2, None, 1.0), (None, 5, 1.0), (3, 5, 1.0)],
                               "user_id long, item_id long, value double")
     assert_lists(as_lists(K.build_neighbors(I, 3)), {1: {2: 1.0}, 2: {1: 1.0}, 3: {K.NULL_KEY: 1.0}, K.NULL_KEY: {3: 1.0}})
+
+
+def test_entries_travel_packed(spark):
+    """The rows of a group cross the network as a few bytes an entry and come back as they were."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    from trolley.functions import blockdot as B
+    rng = np.random.default_rng(2)
+    users = [np.sort(rng.choice(600_000, 30, replace=False)) for _ in range(600)]
+    users[5] = np.array([K.NULL_KEY, 3, (1 << 63) - 1])
+    column = lambda s, rows: {f"{s}_users": rows, f"{s}_values": [[1.0] * len(r) for r in rows],
+                              f"{s}_masses": [[float(x % 97) for x in r] for r in rows]}
+    table = pa.table({"gid": pa.array(rng.integers(0, 3, 600), pa.int32()), **column("l", [r[:1].tolist() for r in users]),
+                      **column("r", [r.tolist() for r in users])})
+    packed = pa.Table.from_batches(list(B.pack_task(entries=7_000)(table.to_batches(max_chunksize=100))))
+    assert packed.num_rows == 6      # two flushes of three groups
+    assert sum(len(x) for x in packed.column("data").to_pylist()) < 6 * (18_000 + 600)
+    for gid in range(3):
+        rows = table.filter(pa.compute.equal(table["gid"], gid))
+        pieces = [tuple(B._unpacked(r)) for r in packed.to_pylist() if r["gid"] == gid]
+        for i, s in enumerate("lr"):
+            sizes, *entries = (np.concatenate(x) for x in zip(*(p[i] for p in pieces)))
+            assert sizes.tolist() == [len(x) for x in rows[f"{s}_users"].to_pylist()]
+            for got, c in zip(entries, ("users", "values", "masses")):
+                assert got.tolist() == [v for x in rows[f"{s}_{c}"].to_pylist() for v in x]
+
+
+def test_lists_of_one_part_are_not_dealt_again(spark):
+    rows, I = weighted(spark, np.random.default_rng(8))
+    lists = K.build_neighbors(I, 4, num_blocks=5)
+    assert "Window" not in lists._jdf.queryExecution().executedPlan().toString()
+    from trolley.functions.measures import COSINE
+    assert {(r.user_id, r.neighbor_id, round(r.similarity, 12)) for r in lists.collect()} == brute_lists(rows, COSINE.name, range(40), range(40), 4)
+    ranks = {}
+    for r in lists.orderBy("user_id", F.desc("similarity"), "neighbor_id").collect():
+        ranks.setdefault(r.user_id, []).append(r["rank"])
+    assert all(x == list(range(1, len(x) + 1)) for x in ranks.values())

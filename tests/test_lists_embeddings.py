@@ -156,3 +156,19 @@ def test_shuffles_start_with_partitions_in_proportion_to_the_rows(spark):
         spark.conf.unset(SE.INITIAL_PARTITIONS)
         if before is not None:
             spark.conf.set(SE.INITIAL_PARTITIONS, before)
+
+
+def test_tasks_after_a_shuffle_are_bounded_in_bytes(spark):
+    """Adaptive execution joins partitions up to its advisory size; 64 MB of bare ids are a gigabyte of hash table."""
+    from trolley import session as SE
+    assert [SE._bytes_of(x) for x in ("64MB", "65536b", "1g", "7", "8m")] == [64 << 20, 65536, 1 << 30, 7, 8 << 20]
+    before = spark.conf.get(SE.ADVISORY)
+    try:
+        spark.conf.set(SE.ADVISORY, "64MB")
+        SE.size_shuffles(spark, 10)
+        assert SE._bytes_of(spark.conf.get(SE.ADVISORY)) == SE.TASK_BYTES
+        spark.conf.set(SE.ADVISORY, "1MB")
+        SE.size_shuffles(spark, 10)
+        assert spark.conf.get(SE.ADVISORY) == "1MB"
+    finally:
+        spark.conf.set(SE.ADVISORY, before)

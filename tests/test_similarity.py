@@ -234,3 +234,37 @@ def test_lists_of_one_part_are_not_dealt_again(spark):
     for r in lists.orderBy("user_id", F.desc("similarity"), "neighbor_id").collect():
         ranks.setdefault(r.user_id, []).append(r["rank"])
     assert all(x == list(range(1, len(x) + 1)) for x in ranks.values())
+
+
+@pytest.mark.parametrize("chunk,group,lot", [(4_096, 2_000_000, 16_384), (3, 40, 4)])
+def test_blocks_in_waves_equal_brute_force(spark, monkeypatch, chunk, group, lot):
+    """Routed entries of many times the input go a wave at a time; its shelves and shuffles are gone after."""
+    import os
+
+    from trolley import session
+    monkeypatch.setattr(K, "CHUNK_ENTRIES", chunk)
+    monkeypatch.setattr(K, "GROUP_ENTRIES", group)
+    monkeypatch.setattr(K, "LOT_ENTRIES", lot)
+    whole, waves = K._routing, 3
+    monkeypatch.setattr(K, "_routing", lambda *a: (*whole(*a)[:2], waves))
+    rows, _ = weighted(spark, np.random.default_rng(4), users=50)
+    rows |= {(u, 99): 2.0 for u in range(50)}
+    I = session.materialize(spark.createDataFrame([(u, i, x) for (u, i), x in rows.items()], "user_id long, item_id long, value double"))
+    tables = os.path.dirname(session._written[I].removeprefix("file:"))
+    before = set(os.listdir(tables))
+    lists = K.build_neighbors(I, 6, num_blocks=5)
+    assert len(set(os.listdir(tables)) - before) == 1 and "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    assert session.materialize(lists) is lists
+    from trolley.functions.measures import COSINE
+    assert {(r.user_id, r.neighbor_id, round(r.similarity, 12)) for r in lists.collect()} == brute_lists(rows, COSINE.name, range(50), range(50), 6)
+    left = I.where("user_id < 20")
+    got = {(r.user_id, r.neighbor_id, round(r.similarity, 12)) for r in K.neighbors_for(left, I, 6, left_blocks=4, right_blocks=2).collect()}
+    assert got == brute_lists(rows, COSINE.name, range(20), range(50), 6)
+
+
+def test_waves_follow_the_routed_entries(spark):
+    """30 buyers an item in many blocks route 28 times the entries; a wave takes at most four times as many."""
+    counts = spark.sql("select id as item_id, 30L as l, 30L as r from range(4000000)")
+    blocks, parts, waves = K._routing(counts, 8, None)
+    assert parts * 120_000_000 * 4 * waves >= 30 * 120_000_000 > 120_000_000 * 4 and waves <= blocks
+    assert K._routing(spark.sql("select id as item_id, 30L as l, 30L as r from range(1000)"), 8, None)[2] == 1

@@ -268,3 +268,24 @@ def test_waves_follow_the_routed_entries(spark):
     blocks, parts, waves = K._routing(counts, 8, None)
     assert parts == 1 and 120_000_000 * 4 * waves >= 30 * 120_000_000 and 1 < waves <= blocks
     assert K._routing(spark.sql("select id as item_id, 30L as l, 30L as r from range(1000)"), 8, None)[2] == 1
+
+
+def test_shelves_are_written_in_ranges_of_items(spark, monkeypatch):
+    """Each range of the items is dealt and written on its own, so its shuffles alone are on disk at once."""
+    from trolley.functions.measures import COSINE
+    whole, ranges = K._routing, []
+    monkeypatch.setattr(K, "_routing", lambda *a: (*whole(*a)[:2], 2))
+    sides = K._routed._sides
+
+    def dealt(self, left, right):
+        ranges.append([{r.item_id for r in side.select("item_id").distinct().collect()} for side in (left, right)])
+        return sides(self, left, right)
+    monkeypatch.setattr(K._routed, "_sides", dealt)
+    rows, _ = weighted(spark, np.random.default_rng(6), users=40)
+    I = spark.createDataFrame([(u, i, x) for (u, i), x in rows.items()], "user_id long, item_id long, value double")
+    got = {(r.user_id, r.neighbor_id, round(r.similarity, 12)) for r in K.build_neighbors(I, 5, num_blocks=4).collect()}
+    assert got == brute_lists(rows, COSINE.name, range(40), range(40), 5)
+    items = {i for _, i in rows}
+    assert len(ranges) == K.SHELF_PASSES and all(left == right for left, right in ranges)
+    assert set().union(*(x for x, _ in ranges)) == items and sum(len(x) for x, _ in ranges) == len(items)
+    assert max(len(x) for x, _ in ranges) < len(items)

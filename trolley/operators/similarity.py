@@ -46,6 +46,7 @@ LOT_ENTRIES = 16_384         # left entries of an item in one row of the shelves
 WAVE_SHARE = 4               # entries that a wave routes, as a multiple of those given
 SHELF_PASSES = 4             # ranges of the items in which the shelves are written
 DOUBLINGS = 16
+PARTS_OF_ONE_BLOCK = 2       # of the right side where all rows are one block, so that tasks share it
 NULL_KEY = -(1 << 63)        # a null id counts as one id of its own
 
 
@@ -300,13 +301,15 @@ def build_neighbors(I: DataFrame, k: int = 50, num_blocks: int | None = None,
     block) take the join path described above. Without ``longest_row`` (and ``nnz``) one
     aggregation over the row lengths finds them.
     """
+    right_blocks = None
     if num_blocks is None or longest_row is None:
         nnz, longest_row = row_stats(I)
         if num_blocks is None:
             num_blocks = choose_blocks(I.sparkSession, nnz)
+            right_blocks = PARTS_OF_ONE_BLOCK if num_blocks == 1 else None
     threshold = hot_threshold if hot_threshold is not None else rows_per_block(I.sparkSession) // 5
     if longest_row <= threshold:
-        return routed_top_k(I, I, k, num_blocks, measure=measure)
+        return routed_top_k(I, I, k, num_blocks, right_blocks, measure)
     hot = hot_users(I, threshold)
     cold = I.join(hot, "user_id", "left_anti")
     cands = routed_candidates(cold, cold, k, num_blocks, measure=measure)[0].drop("rank").unionByName(hot_candidates(I, hot, k, measure))
